@@ -16,6 +16,8 @@ from citegrove.plans.tables import cut
 TOPICS = ("abstract", "note", "report", "full", "huge", "blob")
 #: Documents of a source that one task orders, about.
 BLOCK_ROWS = 20_000
+#: Starting points of the systematic sample that are tried.
+PHASES = 64
 
 
 def source_key(c: Column | str) -> Column:
@@ -116,20 +118,34 @@ class Mix:
             rows_of[c.source] = rows_of.get(c.source, 0) + c.n
         self.cells = [(c.source, c.language, c.topic, float(w), -(-rows_of[c.source] // BLOCK_ROWS)) for c, w in zip(cells, weights, strict=True)]
 
-    @property
-    def usage(self) -> DataFrame:
-        """Systematic sampling: in each block of a source, ordered by size, the running sum of expected uses is rounded.
+    def _running(self) -> DataFrame:
+        """Documents with the running sum of expected uses before and after each, by size, in blocks of their source.
 
         A block has about BLOCK_ROWS documents, chosen by hash, so that a source of any size is spread over many tasks.
         """
         cells = self.spark.createDataFrame(self.cells, "source string, language string, topic string, _w double, _blocks long")
         df = self.sized.join(F.broadcast(cells), ["source", "language", "topic"])
         df = df.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")))
-        phase = F.pmod(F.xxhash64("source", "_block", F.lit("phase")), F.lit(1 << 20)) / float(1 << 20)
         upto = F.sum("_w").over(Window.partitionBy("source", "_block").orderBy("n_tokens", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-        df = df.withColumn("_upto", F.round(upto, 9)).withColumn("_before", F.round(upto - F.col("_w"), 9)).withColumn("_u", phase)
-        uses = F.floor(F.col("_upto") + F.col("_u")) - F.floor(F.col("_before") + F.col("_u"))
-        return df.select("doc_id", "source", "language", "topic", "n_tokens", uses.cast("int").alias("uses"))
+        return df.withColumn("_upto", F.round(upto, 9)).withColumn("_before", F.round(upto - F.col("_w"), 9))
+
+    @staticmethod
+    def _uses(phase: Column) -> Column:
+        return F.floor(F.col("_upto") + phase) - F.floor(F.col("_before") + phase)
+
+    def _phases(self) -> dict[str, float]:
+        """Of PHASES starting points of the systematic sample, the one by which each source comes nearest to its tokens."""
+        every = [(k + 0.5) / PHASES for k in range(PHASES)]
+        sums = self._running().groupBy("source").agg(*(F.sum(self._uses(F.lit(u)) * F.col("n_tokens")).alias(f"_{k}") for k, u in enumerate(every)))
+        return {r["source"]: min(range(PHASES), key=lambda k: (abs(r[f"_{k}"] - self.goals[r["source"]]), k)) for r in sums.collect()}  # a row per target source
+
+    @property
+    def usage(self) -> DataFrame:
+        """Systematic sampling with the calibrated weights: the running sum of expected uses is rounded."""
+        phase = F.lit(0.5)
+        for source, k in self._phases().items():
+            phase = F.when(F.col("source") == source, F.lit((k + 0.5) / PHASES)).otherwise(phase)
+        return self._running().select("doc_id", "source", "language", "topic", "n_tokens", self._uses(phase).cast("int").alias("uses"))
 
     @property
     def shares(self) -> DataFrame:

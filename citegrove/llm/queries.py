@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrove.llm import canonical, mixing, pieces, survivors, tokens
+from citegrove.llm import canonical, cooccur, mixing, pieces, setjoin, survivors, tokens
 from citegrove.plans.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cooccur.record_pairs(table(spark, sf_dir, "records")).select("field", "item_a", "item_b")
+
+
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cooccur.record_pairs(table(spark, sf_dir, "records"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.surviving_rows(table(spark, sf_dir, "records"))
 
@@ -22,6 +30,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.formatting_duplicates(table(spark, sf_dir, "records"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.SetJoin(setjoin.reference_sets(table(spark, sf_dir, "records"))).pairs()
+
+
+def p7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.SetJoin(setjoin.reference_sets(table(spark, sf_dir, "records"))).links()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"))
 
@@ -43,7 +59,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p2_found, p2_merged, p3_found, p8_ids, p8_round_trips, p9_usage, p9_shares, p10_pieces)
+    found = (p1_found, p1_pairs, p2_found, p2_merged, p3_found, p7_found, p7_links, p8_ids, p8_round_trips, p9_usage, p9_shares, p10_pieces)
     return {f.__name__: f for f in found}
 
 

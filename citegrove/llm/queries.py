@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrove.llm import canonical, cooccur, mixing, pieces, setjoin, survivors, tokens
+from citegrove.llm import canonical, cooccur, mixing, pieces, setjoin, survivors, termcount, tokens
 from citegrove.plans.tables import table
 
 
@@ -30,6 +30,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.formatting_duplicates(table(spark, sf_dir, "records"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_terms(spark, sf_dir).filter("mark is not null").select("field", "term", "mark")
+
+
+def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "records")
+    return termcount.marked_terms(termcount.record_terms(records), records.count())
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.SetJoin(setjoin.reference_sets(table(spark, sf_dir, "records"))).pairs()
 
@@ -59,7 +68,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_pairs, p2_found, p2_merged, p3_found, p7_found, p7_links, p8_ids, p8_round_trips, p9_usage, p9_shares, p10_pieces)
+    found = (p1_found, p1_pairs, p2_found, p2_merged, p3_found, p5_found, p5_terms, p7_found, p7_links, p8_ids, p8_round_trips, p9_usage, p9_shares, p10_pieces)
     return {f.__name__: f for f in found}
 
 

@@ -3,24 +3,26 @@
 A text of more than ``max_tokens`` tokens is cut at the strongest boundary near its middle; halves still longer than
 ``max_tokens - overlap_tokens`` are cut again; at last every piece but the first is extended to the left by
 ``overlap_tokens`` tokens of the piece before. Boundaries, strongest first: blank line, line end, sentence end, clause
-mark, blank between words, edge of a word. Text without any of them is cut between tokens, never inside a character.
+mark, edge of a word. Text without any of them is cut between tokens, never inside a character.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from citegrove.llm.tokens import Encoder
+from citegrove.llm.tokens import Encoder, without_gc
 
-BLANK_LINE, LINE, SENTENCE, CLAUSE = "blank_line", "line", "sentence", "clause"
-#: Each strength's mark and the blanks after it; a cut comes after the blanks.
-_BOUNDARY = regex.compile(r"""(?P<blank_line>\s*[\n\r]\s*?(?<!\r(?=\n))[\n\r]\s*)|(?P<line>\s*[\n\r]\s*)|(?P<sentence>[.!?…]["'”’»)\]]*\s+|[。！？]+\s*)|(?P<clause>[,;:]\s+|[，；、：]\s*)""")
+BLANK_LINE, LINE, SENTENCE, CLAUSE, EDGE = "blank line", "line", "sentence", "clause", "edge"
+#: Line ends with the blanks after them, and sentence ends within a line; a cut comes after the blanks. A mark before a
+#: small letter or a digit ends no sentence (abbreviations, numbers).
+_STRONG = re.compile(r"""[\n\r]\s*|[.!?…]["'”’»)\]]*[^\S\n\r]+(?![\n\r0-9a-zß-öø-ÿ])|[。！？]+""")
+_CLAUSES = re.compile(r"[,;:]\s+|[，；、：]")
 
 
 class Text:
@@ -32,19 +34,30 @@ class Text:
         self.token_at = list(accumulate(map(len, self.ids), initial=0))
         self.char_at = list(accumulate(map(len, self.words), initial=0))
         self.size = self.token_at[-1]
-        self._boundaries: dict[str, list[int]] | None = None
-
-    @property
-    def boundaries(self) -> dict[str, list[int]]:
-        """Token positions of the boundaries of each strength, ascending; found when the first cut is made."""
-        if self._boundaries is None:
-            found: dict[str, list[int]] = {BLANK_LINE: [], LINE: [], SENTENCE: [], CLAUSE: []}
-            for m in _BOUNDARY.finditer(self.text):
-                k = bisect_right(self.char_at, m.end()) - 1  # a single blank before a word is part of that word
-                if self.char_at[k] > m.start():
-                    found[m.lastgroup].append(self.token_at[k])
-            self._boundaries = found
-        return self._boundaries
+        self._found: dict[str, list[int]] = {}
+
+    def boundaries(self, strength: str) -> list[int]:
+        """Token positions of the boundaries of a strength, ascending; looked for when first asked for."""
+        if strength not in self._found:
+            edges, at, found = self.char_at, self.token_at, self._found
+            if strength == CLAUSE:
+                found[CLAUSE] = [at[k] for m in _CLAUSES.finditer(self.text) if edges[k := bisect_right(edges, m.end()) - 1] > m.start()]
+            else:
+                lines: list[int] = []
+                blank_lines: list[int] = []
+                sentences: list[int] = []
+                found.update({BLANK_LINE: blank_lines, LINE: lines, SENTENCE: sentences})
+                for m in _STRONG.finditer(self.text):
+                    start, end = m.span()
+                    k = bisect_right(edges, end) - 1  # a single blank before a word is part of that word
+                    if edges[k] > start:
+                        mark = m[0]
+                        if mark[0] in "\n\r":
+                            breaks = mark.count("\n") or mark.count("\r")
+                            (blank_lines if breaks > 1 else lines).append(at[k])
+                        else:
+                            sentences.append(at[k])
+        return self._found[strength]
 
     def _inside(self, at: int) -> bool:
         """Whether a token position lies inside a character."""
@@ -75,7 +88,9 @@ class Text:
         n = end - start
         k = bisect_right(self.token_at, start) - 1
         if self.token_at[k] != start:
-            stop = min(k + 3, len(self.words))
+            stop = min(k + 2, len(self.words))
+            while stop < len(self.words) and self.words[stop - 1].isspace():
+                stop += 1
             upto = min(self.token_at[stop], end)
             n += self.encoder.count(self.text[self.chars_before(start) : self.chars_before(upto)]) - (upto - start)
             if upto == end:
@@ -98,7 +113,8 @@ class Text:
         middle = (low + high) // 2
         for share in (4, 50):
             margin = max(1, (high - low) // share)
-            for positions in (*self.boundaries.values(), self.token_at):
+            for strength in (BLANK_LINE, LINE, SENTENCE, CLAUSE, EDGE):
+                positions = self.token_at if strength == EDGE else self.boundaries(strength)
                 at = bisect_left(positions, middle)
                 near = [p for p in positions[max(0, at - 1) : at + 1] if low + margin <= p <= high - margin]
                 if near:
@@ -160,7 +176,7 @@ def split_documents(documents: DataFrame, limits: list[tuple[str, int, int]], pa
         kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
         rows: list[tuple] = []
         chars = 0
-        for batch in batches:
+        for batch in without_gc(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text or len(text.encode("utf-8", "surrogatepass")) <= least:
                     continue

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -41,6 +42,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+BYTES = [bytes((b,)) for b in range(256)]
+
+
 class Transducer:
     """Bytes in, token ids out. A state is (last emitted token or -1, ((open bytes, tokens before them), ...))."""
 
@@ -49,7 +53,7 @@ class Transducer:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.open = {b[:k] for b in ranks for k in range(1, len(b))}
         self.neighbours: dict[tuple[int, int], bool] = {}
-        self.grown: dict[tuple[int, int], list[tuple[bytes, int, int]]] = {}
+        self.grown: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
         self.split_at: dict[bytes, tuple[bytes, bytes]] = {}
         self._forget()
 
@@ -57,7 +61,7 @@ class Transducer:
         start = (-1, ((b"", ()),))
         self.ids: dict[tuple, int] = {start: 0}
         self.states = [start]
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def merged(self, word: bytes, until: int = 1) -> list[int]:
         """The encoding by its definition: the lowest-ranked pair is joined first, down to ``until`` parts."""
@@ -69,17 +73,17 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _edges(self, token: int, side: int) -> list[tuple[bytes, int, int]]:
-        """The parts at the right (-1) or left (0) edge of a token while it grows: bytes, rank of birth and of end."""
+    def _edges(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """The parts at the right (-1) or left (0) edge of a token while it grows, with the rank at which each ends."""
         known = self.grown.get((token, side))
         if known is None:
             word, ends, known = self.bytes_of[token], 1 << 60, []
             while True:
-                born = self.ranks[word] if len(word) > 1 else -1
-                known.append((word, born, ends))
+                known.append((word, ends))
                 if len(word) == 1:
                     break
-                word, ends = self._halves(word)[side], born
+                word, ends = self._halves(word)[side], self.ranks[word]
+            known.reverse()
             self.grown[token, side] = known
         return known
 
@@ -102,52 +106,66 @@ class Transducer:
         if known is None:
             if len(self.neighbours) > 4 * MAX_WORDS:
                 self.neighbours.clear()
-            known = True
-            for left, born_left, ends_left in self._edges(a, -1):
-                for right, born_right, ends_right in self._edges(b, 0):
-                    if max(born_left, born_right) < min(ends_left, ends_right):
-                        rank = self.ranks.get(left + right)
-                        if rank is not None and rank < ends_left and rank <= ends_right:
-                            known = False
+            lefts, rights, ranks, i, j = self._edges(a, -1), self._edges(b, 0), self.ranks, 0, 0
+            while True:
+                left, ends_left = lefts[i]
+                right, ends_right = rights[j]
+                rank = ranks.get(left + right)
+                if rank is not None and rank < ends_left and rank <= ends_right:
+                    known = False
+                    break
+                if ends_left <= ends_right:
+                    i += 1
+                    if i == len(lefts):
+                        known = True
+                        break
+                else:
+                    j += 1
             self.neighbours[a, b] = known
         return known
 
     def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         last, places = state
-        here, kept = None, []
+        here, kept, letter, ranks, can_grow = None, [], BYTES[byte], self.ranks, self.open
+        shared = 1 << 30
         for span, before in places:
-            longer = span + bytes((byte,))
-            token = self.ranks.get(longer)
-            if token is not None and here is None and self.may_follow(before[-1] if before else last, token):
-                here = (*before, token)
-            if longer in self.open:
+            longer = span + letter
+            if here is None:
+                token = ranks.get(longer)
+                if token is not None and self.may_follow(before[-1] if before else last, token):
+                    here = (*before, token)
+            if longer in can_grow:
                 kept.append((longer, before))
+                if len(before) < shared:
+                    shared = len(before)
         if here is None:
             raise ValueError("the vocabulary has a text without an encoding by neighbours")
+        if not kept:
+            return (here[-1], ((b"", ()),)), here
         kept.append((b"", here))
-        shared = 0
-        while all(len(before) > shared and before[shared] == here[shared] for _, before in kept):
-            shared += 1
-        return (here[shared - 1] if shared else last, tuple((span, before[shared:]) for span, before in kept)), here[:shared]
+        while shared and any(before[:shared] != here[:shared] for _, before in kept):
+            shared -= 1
+        if not shared:
+            return (last, tuple(kept)), ()
+        return (here[shared - 1], tuple([(span, before[shared:]) for span, before in kept])), here[:shared]
 
     def encode(self, word: bytes) -> list[int]:
         if len(self.states) > MAX_STATES:
             self._forget()
-        at, out = 0, []
+        moves, states, at, out = self.moves, self.states, 0, []
         for byte in word:
-            move = self.moves[at].get(byte)
+            move = moves.get(at << 8 | byte)
             if move is None:
-                following, emitted = self._step(self.states[at], byte)
+                following, emitted = self._step(states[at], byte)
                 to = self.ids.get(following)
                 if to is None:
-                    to = self.ids[following] = len(self.states)
-                    self.states.append(following)
-                    self.moves.append({})
-                move = self.moves[at][byte] = (to, emitted)
+                    to = self.ids[following] = len(states)
+                    states.append(following)
+                move = moves[at << 8 | byte] = (to, emitted)
             at, emitted = move
             if emitted:
                 out += emitted
-        return [*out, *self.states[at][1][-1][1]]
+        return [*out, *states[at][1][-1][1]]
 
 
 class _Words(dict):
@@ -201,6 +219,17 @@ class Encoder:
         return "".join(self.pieces(ids))
 
 
+def without_gc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with the search for cycles off until the last is done: what an encoder keeps has none, and is large."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        if was:
+            gc.enable()
+
+
 def _id_lists(texts: list[str | None], encoder: Encoder) -> pa.Array:
     lists = [encoder.encode(t) for t in texts]
     offsets = np.zeros(len(lists) + 1, np.int32)
@@ -214,7 +243,7 @@ def encoded(documents: DataFrame, path: str | None = None, rows: int = 256) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(path)
-        for batch in batches:
+        for batch in without_gc(batches):
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(part.column(1).to_pylist(), encoder)], ["doc_id", "ids"])
@@ -229,7 +258,7 @@ def token_counts(documents: DataFrame, keep: list[str], path: str | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(path)
-        for batch in batches:
+        for batch in without_gc(batches):
             counts = pa.array((encoder.count(t) for t in batch.column("text").to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), counts], [*keep, "n_tokens"])
 
@@ -242,7 +271,7 @@ def round_trips(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(path)
-        for batch in batches:
+        for batch in without_gc(batches):
             n, same = [], []
             for t in batch.column(1).to_pylist():
                 ids = encoder.encode(t)

@@ -226,6 +226,8 @@ def trained(texts: DataFrame, per_language: int = 800) -> Model:
     return train([t for t, _ in sample], [y for _, y in sample], idf)
 
 
+#: Confidence under which a paragraph without running sentences gets the main language of its document.
+SURE = 0.8
 _LINE = regex.compile(r"[\n\r]+")
 PARAGRAPHS = regex.compile(r"(?:\r\n|\r|\n)(?:[^\S\r\n]*(?:\r\n|\r|\n))+")
 _SENTENCE = regex.compile(r"""\p{L}{2}["'”’»)\]]*[.!?…](?:["'”’»)\]]*)(?:\s|\Z)|[?!](?:\s|\Z)""")
@@ -266,7 +268,7 @@ def judge_many(model: Model, texts: list[str]) -> list[tuple[int, float]]:
 
 
 def _judged(model: Callable[[], Model], least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["item_kind", "item_id", "seg_no", "lang", "confidence", "label", "mixed"]
+    names = ["item_kind", "item_id", "seg_no", "lang", "confidence", "label", "mixed", "chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model()
@@ -293,25 +295,27 @@ def _judged(model: Callable[[], Model], least: int) -> Callable[[Iterator[pa.Rec
                         mixed[i] = ks
                 for i in range(len(ids)):
                     language, sure = verdicts[i]
-                    rows.append((kinds[i], ids[i], 0, LANGUAGES[language] if language >= 0 else None, sure, labels[i], i in mixed))
+                    rows.append((kinds[i], ids[i], 0, LANGUAGES[language] if language >= 0 else None, sure, labels[i], i in mixed, len(texts[i] or "")))
                     for no, k in enumerate(mixed.get(i, []), 1):
-                        language, sure = of_parts[k] if of_parts[k][0] >= 0 else (int(bare[k]), float(bare_sure[k]))
-                        rows.append((kinds[i], ids[i], no, LANGUAGES[language], sure, labels[i], True))
+                        language, sure = of_parts[k] if running(parts[k]) else (int(bare[k]), float(bare_sure[k]))
+                        if sure < SURE and not running(parts[k]) and verdicts[i][0] >= 0:
+                            language = verdicts[i][0]  # headings and lists go with their document
+                        rows.append((kinds[i], ids[i], no, LANGUAGES[language], sure, labels[i], True, len(parts[k])))
                 if rows:
-                    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.bool_()]
+                    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.bool_(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return run
 
 
 def languages(texts: DataFrame, model: Model, least: int = 60) -> DataFrame:
-    """(item_kind, item_id, seg_no, lang, confidence, label, mixed) of texts (kind, id, text, label).
+    """(item_kind, item_id, seg_no, lang, confidence, label, mixed, chars) of texts (kind, id, text, label).
 
     seg_no 0 is the whole text; paragraphs are numbered from 1, and given for documents in which paragraphs of
     ``least`` characters differ. ``lang`` is null for texts without running words (null and empty ones too).
     """
     held = texts.sparkSession.sparkContext.broadcast(model)  # of fixed size: a row per trigram
-    schema = "item_kind string, item_id long, seg_no long, lang string, confidence double, label string, mixed boolean"
+    schema = "item_kind string, item_id long, seg_no long, lang string, confidence double, label string, mixed boolean, chars long"
     return texts.select("kind", "id", "text", "label").mapInArrow(_judged(lambda: held.value, least), schema)
 
 
@@ -322,6 +326,10 @@ def corpus_texts(records: DataFrame, documents: DataFrame, abstract: Column) ->
     return one.unionByName(two)
 
 
-def wrong_or_missing(judged: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """Of ``languages``' rows: whole texts whose label is missing or another, and all paragraphs of mixed documents."""
-    return judged.filter(F.col("lang").isNotNull() & ((F.col("seg_no") > 0) | ~F.col("label").eqNullSafe(F.col("lang")))).select("item_kind", "item_id", "seg_no", "lang", "confidence")
+def wrong_or_missing(judged: DataFrame, least: int = 100) -> DataFrame:
+    """Of ``languages``' rows: whole texts of ``least`` characters whose label is missing or another, and all paragraphs of mixed documents.
+
+    Texts labelled zh or zxx, and texts without running words, are no cases.
+    """
+    wrong = (F.col("chars") >= least) & ~F.coalesce(F.col("label"), F.lit("")).isin("zh", "zxx") & ~F.col("label").eqNullSafe(F.col("lang"))
+    return judged.filter(F.col("lang").isNotNull() & ((F.col("seg_no") > 0) | wrong))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrove.llm import canonical, cooccur, mixing, pieces, setjoin, survivors, termcount, tokens
+from citegrove.functions.text import real_abstract
+from citegrove.llm import canonical, cooccur, langid, mixing, pieces, setjoin, survivors, termcount, tokens
 from citegrove.plans.tables import table
 
 
@@ -39,6 +40,20 @@ def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return termcount.marked_terms(termcount.record_terms(records), records.count())
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    texts = langid.corpus_texts(table(spark, sf_dir, "records"), table(spark, sf_dir, "documents"), real_abstract("abstract"))
+    return texts, langid.languages(texts, langid.trained(texts))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, judged = _judged(spark, sf_dir)
+    return langid.wrong_or_missing(judged).select("item_kind", "item_id", "seg_no", "lang")
+
+
+def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir)[1].drop("label")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.SetJoin(setjoin.reference_sets(table(spark, sf_dir, "records"))).pairs()
 
@@ -68,7 +83,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_pairs, p2_found, p2_merged, p3_found, p5_found, p5_terms, p7_found, p7_links, p8_ids, p8_round_trips, p9_usage, p9_shares, p10_pieces)
+    found = (p1_found, p1_pairs, p2_found, p2_merged, p3_found, p5_found, p5_terms, p6_found, p6_languages, p7_found, p7_links, p8_ids, p8_round_trips, p9_usage, p9_shares, p10_pieces)
     return {f.__name__: f for f in found}
 
 

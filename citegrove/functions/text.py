@@ -9,8 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Blanks: Unicode white space and the four ASCII separators.
-BLANK = r"[\s\u0085   -     　\u001c-\u001f]"
-NOT_BLANK_PAREN = r"[^\s\u0085   -     　\u001c-\u001f()]"
+ODD_BLANK = r"[\t-\r\u001c-\u001f\u0085   -     　]"
+BLANK = "[ " + ODD_BLANK[1:]
+#: What collapsing changes: runs with a blank other than a space, or of two spaces. Single spaces are left alone.
+BLANK_RUN = f" *+{ODD_BLANK}{BLANK}*+| {{2,}}+"
+NOT_BLANK_PAREN = "[^()" + BLANK[1:]
 #: A DOI name in running text: brackets count only as balanced groups (two levels), so a closing bracket around the
 #: name is never taken for a part of it. Possessive and bounded, so that no text makes the matcher recurse deeply.
 DOI = rf"(?<![0-9])10\.[0-9]+{BLANK}*/{BLANK}*(?:{NOT_BLANK_PAREN}++|\((?:{NOT_BLANK_PAREN}++|\({NOT_BLANK_PAREN}*+\)){{0,50}}\)){{1,200}}"
@@ -22,7 +25,7 @@ def text(c: Column | str) -> Column:
 
 def squeeze(c: Column | str) -> Column:
     """Blanks trimmed and collapsed to one space; null gives ''."""
-    return F.trim(F.regexp_replace(text(c), BLANK + "+", " "))
+    return F.trim(F.regexp_replace(text(c), BLANK_RUN, " "))
 
 
 def plain(c: Column | str) -> Column:
@@ -58,8 +61,16 @@ def split_semicolon(c: Column | str) -> Column:
     return _trimmed(F.split(text(c), F.lit(";")))
 
 
+#: Blanks that are trimmed around list values.
+EDGE_BLANKS = " \t\n\r\x0b\x0c\u00a0"
+
+
+def trimmed(c: Column | str) -> Column:
+    return F.btrim(text(c), F.lit(EDGE_BLANKS))
+
+
 def _trimmed(values: Column) -> Column:
-    return F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(values, lambda x: F.btrim(x, F.lit(EDGE_BLANKS))), lambda x: x != "")
 
 
 def field_values(field: str, c: Column | str) -> Column:
@@ -124,4 +135,5 @@ def first_surname(c: Column | str) -> Column:
 
 def year_of(c: Column | str) -> Column:
     """The first whole number 1900-2099 in a text, else 0."""
-    return F.coalesce(F.expr("null").cast("int"), F.when(text(c).rlike(r"\b(19|20)[0-9]{2}\b"), F.regexp_extract(text(c), r"\b((?:19|20)[0-9]{2})\b", 1).cast("int")), F.lit(0))
+    found = F.regexp_extract(text(c), r"\b((?:19|20)[0-9]{2})\b", 1)
+    return F.when(found == "", F.lit(0)).otherwise(found.cast("int"))

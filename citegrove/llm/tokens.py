@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import codecs
 import gc
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -27,6 +28,22 @@ from pyspark.sql import DataFrame
 #: The split before the merges (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def _plane_pattern() -> re.Pattern[str]:
+    """The same split for texts of the basic plane, with its letters, digits and blanks as plain character classes.
+
+    The standard matcher looks such classes up in a bitmap, which takes half the time.
+    """
+    plane = "".join(map(chr, range(0x10000)))
+
+    def members(kind: str) -> str:
+        return "".join(f"{re.escape(plane[m.start()])}-{re.escape(plane[m.end() - 1])}" for m in regex.finditer(f"(?:{kind})+", plane))
+
+    letter, digit, blank = members(r"\p{L}"), members(r"\p{N}"), members(r"\s")
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{digit}]+| ?[^{blank}{letter}{digit}]+|[{blank}]+(?![^{blank}])|[{blank}]+")
+
+
 #: Bounds of what a worker keeps: transducer states, encoded words, and the longest word kept.
 MAX_STATES, MAX_WORDS, MAX_WORD = 200_000, 400_000, 64
 
@@ -62,6 +79,7 @@ class Transducer:
         self.ids: dict[tuple, int] = {start: 0}
         self.states = [start]
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.wanted: set[int] = set()
 
     def merged(self, word: bytes, until: int = 1) -> list[int]:
         """The encoding by its definition: the lowest-ranked pair is joined first, down to ``until`` parts."""
@@ -149,19 +167,44 @@ class Transducer:
             return (last, tuple(kept)), ()
         return (here[shared - 1], tuple([(span, before[shared:]) for span, before in kept])), here[:shared]
 
+    def _walked(self, word: bytes) -> list[int]:
+        """The encoding by the rule of the transducer for one word, without making states: the last token of each prefix."""
+        ranks, may_follow = self.ranks, self.may_follow
+        last, back = [-1], [0]
+        for i in range(1, len(word) + 1):
+            for j in range(i):
+                token = ranks.get(word[j:i])
+                if token is not None and (not j or may_follow(last[j], token)):
+                    last.append(token)
+                    back.append(j)
+                    break
+            else:
+                raise ValueError("the vocabulary has a text without an encoding by neighbours")
+        out, i = [], len(word)
+        while i:
+            out.append(last[i])
+            i = back[i]
+        out.reverse()
+        return out
+
     def encode(self, word: bytes) -> list[int]:
-        if len(self.states) > MAX_STATES:
+        """Through the transducer; a transition is made when it is wanted the second time, so that rare words leave none."""
+        if len(self.states) > MAX_STATES or len(self.wanted) > 4 * MAX_WORDS:
             self._forget()
         moves, states, at, out = self.moves, self.states, 0, []
         for byte in word:
-            move = moves.get(at << 8 | byte)
+            key = at << 8 | byte
+            move = moves.get(key)
             if move is None:
+                if key not in self.wanted and len(word) <= MAX_WORD:
+                    self.wanted.add(key)
+                    return self._walked(word)
                 following, emitted = self._step(states[at], byte)
                 to = self.ids.get(following)
                 if to is None:
                     to = self.ids[following] = len(states)
                     states.append(following)
-                move = moves[at << 8 | byte] = (to, emitted)
+                move = moves[key] = (to, emitted)
             at, emitted = move
             if emitted:
                 out += emitted
@@ -190,7 +233,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.machine = Transducer(read_ranks(path))
         self.words = _Words(self.machine)
-        self.split = regex.compile(PATTERN).findall
+        self._split, self._split_plane = regex.compile(PATTERN).findall, _plane_pattern().findall
 
     @classmethod
     def at(cls, path: str | None) -> Encoder:
@@ -200,6 +243,11 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def split(self, text: str) -> list[str]:
+        if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text):
+            return self._split_plane(text)
+        return self._split(text)
+
     def encode(self, text: str | None) -> array:
         return array("i", chain.from_iterable(map(self.words.__getitem__, self.split(text)))) if text else array("i")
 

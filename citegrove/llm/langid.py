@@ -206,17 +206,17 @@ def document_frequencies(texts: DataFrame, column: str) -> tuple[np.ndarray, int
 
 
 def labelled_sample(texts: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    """About ``per_language`` rows (text, label) of 100 to 4,000 characters whose label names each language, by hash."""
-    base = texts.filter(F.col("label").isin(*LANGUAGES) & F.length("text").between(100, 4_000))
-    have = {r["label"]: r["count"] for r in base.groupBy("label").count().collect()}
+    """Of about ``per_language`` rows whose label names each language, by hash, those of 100 to 4,000 characters: (text, label)."""
+    base = texts.filter(F.col("label").isin(*LANGUAGES))
+    have = {r["label"]: r["count"] for r in base.groupBy("label").count().collect()}  # reads no text; at most a row per language
     share = F.lit(0)
     for language, n in have.items():
         share = F.when(F.col("label") == language, F.lit(int(min(1.0, per_language / n) * 1_000_000))).otherwise(share)
-    picked = base.filter(F.pmod(F.xxhash64("kind", "id", F.lit("sample")), F.lit(1_000_000)) < share).select("text", "label", F.xxhash64("kind", "id").alias("h"))
+    picked = base.filter(F.pmod(F.xxhash64("kind", "id", F.lit("sample")), F.lit(1_000_000)) < share).filter(F.length("text").between(100, 4_000)).select("text", "label", F.xxhash64("kind", "id").alias("h"))
     return [(r.text, r.label) for r in picked.orderBy("h").limit(3 * per_language * len(LANGUAGES)).collect()]
 
 
-def trained(texts: DataFrame, per_language: int = 800) -> Model:
+def trained(texts: DataFrame, per_language: int = 1_000) -> Model:
     """A model from texts (kind, id, text, label): bounded labelled sample (``per_language``), IDF over all rows."""
     df, n = document_frequencies(texts, "text")
     idf = np.log((1 + n) / (1 + df)) + 1

@@ -5,6 +5,8 @@ Nulls: every function reads null as the empty text; what it returns for that is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def squeeze(c: Column | str) -> Column:
     """Blanks trimmed and collapsed to one space; null gives ''."""
     return F.trim(F.regexp_replace(text(c), BLANK_RUN, " "))
@@ -39,15 +46,20 @@ def doi_name(c: Column | str) -> Column:
     Read through: URL and ``doi:`` forms, %-escapes, zero-width characters, blanks around the slash, brackets,
     quotes and final marks around the name.
     """
-    s = F.regexp_replace(text(c), r"\p{Cf}+", "")
-    s = F.when(s.contains("%"), F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)).otherwise(s)
-    hit = F.regexp_replace(F.regexp_extract(F.lower(s), DOI, 0), r"[^\p{L}\p{N})]+$|" + BLANK + "+", "")
-    return F.when(hit.rlike(r"^10\.[0-9]+/."), hit)
+    decoded = lambda s: F.when(s.contains("%"), F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)).otherwise(s)
+    s = F.lower(let(F.regexp_replace(text(c), r"\p{Cf}+", ""), decoded))
+    hit = F.regexp_replace(F.regexp_extract(s, DOI, 0), r"[^\p{L}\p{N})]+$|" + BLANK + "+", "")
+    return let(hit, lambda h: F.when(h.rlike(r"^10\.[0-9]+/."), h))
+
+
+#: A DOI name as most references write it, which needs no further reading.
+BARE_DOI = r"^ *10\.[0-9]+/[a-z0-9._:/-]*[a-z0-9] *$"
 
 
 def ref_name(c: Column | str) -> Column:
-    """A cited reference: its DOI name, else its plain text."""
-    return F.coalesce(doi_name(c), plain(c))
+    """A cited reference: its DOI name, else its plain text. Bare names and texts without any are settled first."""
+    x = text(c)
+    return F.when(x.rlike(BARE_DOI), F.trim(x)).when(~x.contains("10.") & ~x.rlike(r"[%\p{Cf}]"), plain(x)).otherwise(F.coalesce(doi_name(x), plain(x)))
 
 
 def split_auto(c: Column | str) -> Column:
@@ -88,7 +100,8 @@ def field_values(field: str, c: Column | str) -> Column:
 
 def strip_tags(c: Column | str) -> Column:
     """Markup tags replaced by a blank, blanks collapsed and trimmed."""
-    return squeeze(F.regexp_replace(text(c), r"<[^>]+>", " "))
+    s = text(c)
+    return squeeze(F.when(s.contains("<"), F.regexp_replace(s, r"<[^>]+>", " ")).otherwise(s))
 
 
 #: Texts that only say that there is none, compared after lower case and without marks (fixed values).
@@ -103,11 +116,18 @@ NO_ABSTRACT = (
 )
 
 
+#: Longer texts say more than that there is none.
+LONGEST_NOTE = 60
+
+
 def real_abstract(c: Column | str) -> Column:
     """The abstract without tags; null where it is missing or only says that there is none."""
-    s = strip_tags(c)
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"n\s*/\s*a|n\.\s*a\.?", "na"), r"[^\p{L}\p{N}]+", " "))
-    return F.when(~bare.isin(*NO_ABSTRACT), s)
+
+    def kept(s: Column) -> Column:
+        bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"n\s*/\s*a|n\.\s*a\.?", "na"), r"[^\p{L}\p{N}]+", " "))
+        return F.when((F.length(s) > LONGEST_NOTE) | ~bare.isin(*NO_ABSTRACT), s)
+
+    return let(strip_tags(c), kept)
 
 
 def normalised_doi(c: Column | str) -> Column:

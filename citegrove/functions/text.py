@@ -132,9 +132,9 @@ def real_abstract(c: Column | str) -> Column:
 
 def normalised_doi(c: Column | str) -> Column:
     """The simple DOI form of the corpus tools: lower, trim, five prefixes removed in order, final slashes removed."""
-    s = F.trim(F.lower(text(c)))
+    s = trimmed(F.lower(text(c)))
     for prefix in ("https://doi.org/", "http://doi.org/", "https://dx.doi.org/", "http://dx.doi.org/", "doi:"):
-        s = F.trim(F.when(s.startswith(prefix), F.substring(s, len(prefix) + 1, 1 << 30)).otherwise(s))
+        s = F.regexp_replace(s, f"^{prefix}[ ]*", "")
     return F.regexp_replace(s, "/+$", "")
 
 
@@ -150,7 +150,7 @@ def dedup_key(c: Column | str) -> Column:
 
 def first_surname(c: Column | str) -> Column:
     """The text before the first ``;`` and then before the first ``,``, trimmed, lower case."""
-    return F.lower(F.trim(F.substring_index(F.substring_index(text(c), ";", 1), ",", 1)))
+    return F.lower(trimmed(F.substring_index(F.substring_index(text(c), ";", 1), ",", 1)))
 
 
 def year_of(c: Column | str) -> Column:

@@ -44,7 +44,12 @@ def tokens(c: Column, stops: list[str]) -> Column:
 
 def ngrams(words: Column, most: int = 3) -> Column:
     """All n-grams of 1 to ``most`` words; formed after stop words are gone, so they may span removed words."""
-    return F.flatten(F.array(*(F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, most + 1))))
+
+    def of(n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*map(of, range(1, most + 1))))
 
 
 def doc_terms(c: DataFrame, field: str = "keywords", stops: list[str] | None = None, most: int = 3) -> DataFrame:

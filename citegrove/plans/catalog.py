@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from citegrove.operators import packed_fields
+from citegrove.plans import bibliometrics
 from citegrove.plans.tables import table
 
 
@@ -16,8 +17,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found}
+    return bibliometrics.QUERIES | {"p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(bibliometrics.SQL)

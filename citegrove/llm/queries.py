@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from citegrove.functions.text import real_abstract
 from citegrove.llm import canonical, cooccur, langid, mixing, pieces, setjoin, survivors, termcount, tokens
+from citegrove.llm.sql import SQL
 from citegrove.plans.tables import table
 
 
@@ -88,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -160,7 +160,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for row_id, field, text, dialect in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            values = next(v for name, _, v in parses(field, text) if name == dialect)
+            found = {name: v for name, _, v in parses(field, text)}
+            values = found[dialect] if dialect in found else next(reversed(found.values()))
             rows += [(row_id, field, k, v, dialect) for k, v in enumerate(values, 1)]
         types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names)
@@ -196,8 +197,14 @@ def dialects(fields: DataFrame) -> DataFrame:
 
 
 def split_values(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(id, field, pos, item, dialect): one row per value, pos from 1 in the order of the field."""
-    texts = packed(df, id_col, fields)
-    chosen = dialects(texts).select("id", "field", "dialect")
+    """(id, field, pos, item, dialect): one row per value, pos from 1 in the order of the field.
+
+    A dialect is chosen once for each different text of a field, so repeated rows, and null or repeated ids, do no harm.
+    """
+    texts = packed(df, id_col, fields).withColumn("key", F.xxhash64("field", "text"))
+    unique = texts.groupBy("key").agg(F.any_value("field").alias("field"), F.any_value("text").alias("text"), F.count(F.lit(1)).alias("rows"))
+    unique = cut(unique, "texts")
+    chosen = dialects(unique.select(F.col("key").alias("id"), "field", "text")).select(F.col("id").alias("key"), "dialect")
+    chosen = cut(chosen.join(unique.select("key", "rows"), "key"), "chosen")
     schema = "id long, field string, pos long, item string, dialect string"
-    return texts.join(chosen, ["id", "field"]).select("id", "field", "text", "dialect").mapInArrow(_parsed, schema)
+    return salted_join(texts, chosen, ["key"], "rows").select("id", "field", "text", "dialect").mapInArrow(_parsed, schema)

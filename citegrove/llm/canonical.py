@@ -37,7 +37,7 @@ def fingerprint(canonical: Column) -> tuple[Column, Column, Column]:
 
 
 def collapse(df: DataFrame, id_col: str, canonical: Column) -> DataFrame:
-    """(first_id, copy_id) of every row that is not the first of its canonical form; ids must be unique and not null.
+    """(first_id, copy_id) of every row that is not the first of its canonical form. Rows without id are no copies; rows of one id are one.
 
     Groups are counted with map-side combining on (k1, k2); only groups of two or more rows are kept. A group whose
     check values differ holds a hash collision; its rows are regrouped on the canonical text itself.

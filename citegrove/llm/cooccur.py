@@ -20,10 +20,11 @@ FIELDS = ("keywords", "authors", "refs")
 BLOCK_ITEMS, BLOCK_PAIRS = 200_000, 4_000_000
 
 
-def baskets(records: DataFrame, id_col: str = "rec_id") -> DataFrame:
-    """(id, field, items): the distinct items of each field of each record that has any."""
+def baskets(records: DataFrame) -> DataFrame:
+    """(id, field, items): the distinct items of each field of each record that has any. Every row is a basket of its own,
+    numbered by its place, so null and repeated ids do no harm."""
     sets = F.array(*(F.struct(F.lit(f).alias("field"), F.array_distinct(field_values(f, f)).alias("items")) for f in FIELDS))
-    return records.select(F.col(id_col).alias("id"), F.inline(sets)).filter(F.size("items") > 0)
+    return records.select(F.monotonically_increasing_id().alias("id"), F.inline(sets)).filter(F.size("items") > 0)
 
 
 def _gram(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,4 +115,4 @@ def together(sets: DataFrame, least: int = 10, lift: float = 8.0) -> DataFrame:
 
 
 def record_pairs(records: DataFrame) -> DataFrame:
-    return together(baskets(records.select("rec_id", *FIELDS)))
+    return together(baskets(records.select(*FIELDS)))

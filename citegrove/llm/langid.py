@@ -216,13 +216,13 @@ def labelled_sample(texts: DataFrame, per_language: int) -> list[tuple[str, str]
     return [(r.text, r.label) for r in picked.orderBy("h").limit(3 * per_language * len(LANGUAGES)).collect()]
 
 
-def trained(texts: DataFrame, per_language: int = 1_000) -> Model:
-    """A model from texts (kind, id, text, label): bounded labelled sample (``per_language``), IDF over all rows."""
+def trained(texts: DataFrame, per_language: int = 1_000) -> Model | None:
+    """A model from texts (kind, id, text, label): bounded labelled sample (``per_language``), IDF over all rows. None without labels."""
     df, n = document_frequencies(texts, "text")
     idf = np.log((1 + n) / (1 + df)) + 1
     sample = labelled_sample(texts, per_language)
     if not sample:
-        raise ValueError("no labelled text to learn from")
+        return None
     return train([t for t, _ in sample], [y for _, y in sample], idf)
 
 
@@ -250,8 +250,10 @@ def _wordy(line: str) -> bool:
     return len(parts) >= 8 and sum(p.strip(".,;:!?()'\"").isalpha() for p in parts) * 3 >= len(parts) * 2 and sum(map(line.count, ",;:/|=")) * 6 < len(parts)
 
 
-def judge_many(model: Model, texts: list[str]) -> list[tuple[int, float]]:
+def judge_many(model: Model | None, texts: list[str]) -> list[tuple[int, float]]:
     """(language number or -1, confidence) of each text: of its judged lines the language of most letters."""
+    if model is None:
+        return [(-1, 0.0)] * len(texts)
     lines, owner = [], []
     for i, t in enumerate(texts):
         found = lines_of(t)
@@ -285,7 +287,7 @@ def _judged(model: Callable[[], Model], least: int) -> Callable[[Iterator[pa.Rec
                         parts += found
                         owner += [i] * len(found)
                 of_parts = judge_many(m, parts)
-                bare, bare_sure = m.judge(parts)
+                bare, bare_sure = m.judge(parts) if m else ([], [])
                 by_owner: dict[int, list[int]] = {}
                 for k, i in enumerate(owner):
                     by_owner.setdefault(i, []).append(k)
@@ -308,11 +310,12 @@ def _judged(model: Callable[[], Model], least: int) -> Callable[[Iterator[pa.Rec
     return run
 
 
-def languages(texts: DataFrame, model: Model, least: int = 60) -> DataFrame:
+def languages(texts: DataFrame, model: Model | None, least: int = 60) -> DataFrame:
     """(item_kind, item_id, seg_no, lang, confidence, label, mixed, chars) of texts (kind, id, text, label).
 
     seg_no 0 is the whole text; paragraphs are numbered from 1, and given for documents in which paragraphs of
-    ``least`` characters differ. ``lang`` is null for texts without running words (null and empty ones too).
+    ``least`` characters differ. ``lang`` is null for texts without running words (null and empty ones too), and for all
+    texts without a model.
     """
     held = texts.sparkSession.sparkContext.broadcast(model)  # of fixed size: a row per trigram
     schema = "item_kind string, item_id long, seg_no long, lang string, confidence double, label string, mixed boolean, chars long"

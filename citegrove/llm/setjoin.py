@@ -110,11 +110,15 @@ def similar_classes(classes: DataFrame, threshold: float, miss: float = MISS) ->
 
 
 class SetJoin:
-    """Similar pairs of rows (id, values array<string>) with at least ``least`` distinct values; fewer, or null, take no part."""
+    """Similar pairs of rows (id, values array<string>) with at least ``least`` distinct values.
+
+    Rows with fewer or null values, or a null id, take no part. Ids should be unique: a repeated one gives its pairs as
+    often as it occurs, never one with itself.
+    """
 
     def __init__(self, sets: DataFrame, threshold: float = 0.6, least: int = 5, miss: float = MISS) -> None:
         items = F.array_sort(F.transform(F.array_distinct("values"), lambda x: F.xxhash64(x)))
-        rows = sets.select("id", items.alias("items")).filter(F.size("items") >= least)
+        rows = sets.filter("id is not null").select("id", items.alias("items")).filter(F.size("items") >= least)
         rows = rows.select("id", "items", F.xxhash64(F.lit("s1"), "items").alias("k1"), F.xxhash64(F.lit("s2"), "items").alias("k2"))
         groups = rows.groupBy("k1", "k2").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("rows"), F.any_value("items").alias("items"))
         self.classes = cut(groups, "classes")
@@ -146,7 +150,7 @@ class SetJoin:
         both = self.class_pairs().unionByName(within)
         one = members.select(F.col("id").alias("x"), F.col("cls").alias("a"))
         two = members.select(F.col("id").alias("y"), F.col("cls").alias("b"))
-        pairs = both.join(one, "a").join(two, "b").filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+        pairs = both.join(one, "a").join(two, "b").filter(F.when(F.col("a") == F.col("b"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
         return pairs.select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b"))
 
 

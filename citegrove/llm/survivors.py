@@ -13,14 +13,14 @@ def best_rows(df: DataFrame, key: str, id_col: str, latest: Column, scores: dict
     """For each key of two or more rows: the id of the best row for each role, 0 where no row qualifies.
 
     ``scores`` gives for each role the score of a row, higher being better, null where the row cannot serve. Ties go
-    to the latest row (null being the earliest), then to the smaller id. Rows with a null key take no part.
+    to the latest row (null being the earliest), then to the smaller id. Rows with a null key or id take no part.
 
     Each row becomes one candidate per role it can serve, and one ranking serves all roles. The filter on the rank
     lets Spark keep only the first row per (key, role) in each map task before the shuffle, so that a group holding a
     third of the table reaches its reducer as one row per map task and role.
     """
     roles = F.filter(F.array(*(F.struct(F.lit(i).alias("role"), s.cast("long").alias("score")) for i, s in enumerate(scores.values()))), lambda x: x["score"].isNotNull())
-    base = df.filter(F.col(key).isNotNull()).select(key, F.col(id_col).alias("_id"), latest.alias("_at"), roles.alias("_roles"))
+    base = df.filter(F.col(key).isNotNull() & F.col(id_col).isNotNull()).select(key, F.col(id_col).alias("_id"), latest.alias("_at"), roles.alias("_roles"))
     one = base.select(key, "_id", "_at", F.inline("_roles"))
     order = [F.desc("score"), F.desc_nulls_last("_at"), F.asc("_id")]
     top = one.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "role").orderBy(*order))).filter("_rank = 1")

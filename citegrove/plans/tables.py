@@ -19,13 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); where it is unset, as in tests, a local one."""
+    """The folder all executors share (spark.checkpoint.dir); where it is unset, as in tests, a local one of this process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = tempfile.mkdtemp(prefix="citegrove-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if not at and not _own:
+        _own.append(tempfile.mkdtemp(prefix="citegrove-"))
+    return (at or _own[0]).rstrip("/")
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -196,8 +196,8 @@ def split_documents(documents: DataFrame, limits: list[tuple[str, int, int]], pa
 
 
 def limits_of(piece_limits: DataFrame) -> list[tuple[str, int, int]]:
-    """The profiles of the (fixed, small) table of limits; at most 1,000 are read."""
-    rows = piece_limits.select("profile", "max_tokens", "overlap_tokens").dropna().orderBy("profile").limit(1_001).collect()
+    """The profiles of the (fixed, small) table of limits; at most 1,000 are read. Without an overlap it is 0; rows without a name or limit are left out."""
+    rows = piece_limits.select("profile", "max_tokens", "overlap_tokens").dropna(subset=["profile", "max_tokens"]).orderBy("profile").limit(1_001).collect()
     if len(rows) > 1_000:
         raise ValueError("over 1,000 profiles of limits")
     return [(r.profile, r.max_tokens, r.overlap_tokens or 0) for r in rows]

@@ -24,8 +24,10 @@ WORDS = 4
 BITS = 64 * WORDS
 #: Part of the similar pairs that the radius may miss.
 MISS = 1e-7
-#: Items whose frequency is told apart in the order of rarity; those with fewer rows than all rows / RANKED are one rank.
-RANKED = 50_000
+#: Items in this many sets at most are equally rare in the order of the prefixes.
+FEW = 8
+#: Up to this many items in over FEW sets (counted first) their frequencies are broadcast; beyond it they are joined.
+RANKED = 200_000
 
 
 def radius(threshold: float, bits: int = BITS, miss: float = MISS) -> int:
@@ -62,27 +64,34 @@ def similar_classes(classes: DataFrame, threshold: float, miss: float = MISS) ->
     """(a, b) with a < b of classes (cls, items: distinct 64-bit items, not empty) whose Jaccard similarity is at least the threshold."""
     spark = classes.sparkSession
     frequency = classes.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    total = classes.select(F.sum(F.size("items"))).first()[0] or 0
-    # at most RANKED items are as frequent as that
-    frequent = frequency.filter(F.col("n") > max(8, total // RANKED)).collect()
-    by_item = sorted((r.item, r.n) for r in frequent)
-    hot = spark.sparkContext.broadcast((np.array([i for i, _ in by_item], np.int64), np.array([n for _, n in by_item], np.int64)))
+    frequent = frequency.filter(F.col("n") > FEW).limit(RANKED + 1).collect()
+    hot = None
+    if len(frequent) <= RANKED:
+        by_item = sorted((r.item, r.n) for r in frequent)
+        hot = spark.sparkContext.broadcast((np.array([i for i, _ in by_item], np.int64), np.array([n for _, n in by_item], np.int64)))
+        lists = classes.select("cls", "items")
+    else:
+        each = salted_join(classes.select("cls", F.explode("items").alias("item")), cut(frequency, "frequency"), ["item"], "n")
+        ranked = F.array_sort(F.collect_list(F.struct("item", "n")))  # one set's items
+        lists = each.groupBy("cls").agg(ranked.alias("r")).select("cls", F.col("r.item").alias("items"), F.col("r.n").alias("rarity"))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_items, hot_n = hot.value
         for batch in batches:
-            lists = batch.column(1)
-            sizes = np.diff(lists.offsets.to_numpy())
+            sets = batch.column(1)
+            sizes = np.diff(sets.offsets.to_numpy())
             if not len(sizes):
                 continue
-            items, ids = lists.flatten().to_numpy(), batch.column(0).to_numpy()
+            items, ids = sets.flatten().to_numpy(), batch.column(0).to_numpy()
             starts = np.r_[0, np.cumsum(sizes)[:-1]]
             code = codes(starts, items)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             rarity = np.zeros(len(items), np.int64)
-            if len(hot_items):
-                at = np.minimum(np.searchsorted(hot_items, items), len(hot_items) - 1)
-                rarity = np.where(hot_items[at] == items, hot_n[at], 0)
+            if hot is None:
+                rarity = batch.column(2).flatten().to_numpy()
+                rarity = np.where(rarity > FEW, rarity, 0)
+            elif len(hot.value[0]):
+                at = np.minimum(np.searchsorted(hot.value[0], items), len(hot.value[0]) - 1)
+                rarity = np.where(hot.value[0][at] == items, hot.value[1][at], 0)
             order = np.lexsort((items, rarity, owner))
             place = np.arange(len(items)) - starts[owner]
             prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
@@ -92,7 +101,7 @@ def similar_classes(classes: DataFrame, threshold: float, miss: float = MISS) ->
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     names = ["item", "cls", "size", "place", *(f"code{w}" for w in range(WORDS))]
-    posted = classes.select("cls", "items").mapInArrow(postings, "item long, cls long, size int, place int, " + ", ".join(f"code{w} long" for w in range(WORDS)))
+    posted = lists.mapInArrow(postings, "item long, cls long, size int, place int, " + ", ".join(f"code{w} long" for w in range(WORDS)))
     a, b = (posted.select("item", *(F.col(c).alias(f"{c}_{s}") for c in names[1:])) for s in "ab")
     least = threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b"))
     apart = sum((F.bit_count(F.col(f"code{w}_a").bitwiseXOR(F.col(f"code{w}_b"))) for w in range(WORDS)), F.lit(0))

@@ -168,8 +168,9 @@ def some_sets(seed):
     return sets | {900: None, 901: [], 902: [f"hot{k % 3}" for k in range(9)]}
 
 
-@pytest.mark.parametrize("threshold", [0.6, 0.8])
-def test_similar_pairs_against_brute_force(spark, threshold):
+@pytest.mark.parametrize("threshold,ranked", [(0.6, 200_000), (0.8, 200_000), (0.6, 2)])
+def test_similar_pairs_against_brute_force(spark, monkeypatch, threshold, ranked):
+    monkeypatch.setattr(setjoin, "RANKED", ranked)
     sets = some_sets(4)
     df = spark.createDataFrame([(i, v, 0) for i, v in sets.items()] + [(None, ["a", "b", "c", "d", "e"], 0)], "id long, values array<string>, cls int")
     join = setjoin.SetJoin(df, threshold, 5)

@@ -11,6 +11,7 @@ and a text of any length is scored with one lookup per letter.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -184,17 +185,19 @@ def document_frequencies(texts: DataFrame, column: str) -> tuple[np.ndarray, int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(FEATURES, np.int64), 0
+        last = np.zeros(SIZES[2], np.int32)
         for batch in batches:
             values = [t for t in batch.column(0).to_pylist() if t]
             codes, at = trigrams(values) if values else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-            flags = [np.zeros(s, bool) for s in SIZES]
             for i in range(len(values)):
                 c = codes[at[i] : at[i + 1]]
-                for start, flag, mask in zip(STARTS, flags, (0x3F, 0xFFF, 0x3FFFF), strict=True):
-                    flag[c & mask] = True
-                    here = np.flatnonzero(flag) if len(c) > 20_000 or mask < 0x1000 else np.unique(c & mask)
-                    seen[start + here] += 1
-                    flag[here] = False
+                places = np.arange(len(c), dtype=np.int32)
+                last[c] = places
+                three = c[last[c] == places]  # each n-gram at its last place
+                two = np.unique(three & 0xFFF)
+                seen[STARTS[2] + three] += 1
+                seen[STARTS[1] + two] += 1
+                seen[np.unique(two & 0x3F)] += 1
             n += len(values)
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[used, FEATURES]), pa.array(np.r_[seen[used], n])], ["gram", "n"])
@@ -230,13 +233,13 @@ def trained(texts: DataFrame, per_language: int = 1_000) -> Model | None:
 SURE = 0.8
 _LINE = regex.compile(r"[\n\r]+")
 PARAGRAPHS = regex.compile(r"(?:\r\n|\r|\n)(?:[^\S\r\n]*(?:\r\n|\r|\n))+")
-_SENTENCE = regex.compile(r"""\p{L}{2}["'”’»)\]]*[.!?…](?:["'”’»)\]]*)(?:\s|\Z)|[?!](?:\s|\Z)""")
-_WORD = regex.compile(r"\p{L}+")
+_SENTENCE = re.compile(r"""(?:(?<=[^\W\d_][^\W\d_])|(?<=[^\W\d_][^\W\d_]["'”’»)\]]))[.!?…]["'”’»)\]]*(?:\s|\Z)|[?!](?:\s|\Z)""")
+_FIVE_WORDS = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]+[\W\d_]+){4}[^\W\d_]")
 
 
 def running(line: str) -> bool:
     """Whether a line has running sentences: a sentence's end and five words."""
-    return bool(_SENTENCE.search(line)) and len(_WORD.findall(line)) >= 5
+    return bool(_SENTENCE.search(line) and _FIVE_WORDS.search(line))
 
 
 def lines_of(text: str) -> list[str]:

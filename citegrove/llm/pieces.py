@@ -80,28 +80,30 @@ class Text:
         inside = b"".join(map(self.encoder.machine.bytes_of.__getitem__, self.ids[k][: at - self.token_at[k]]))
         return self.char_at[k] + len(inside.decode("utf-8"))
 
-    def tokens_alone(self, start: int, end: int) -> int:
-        """Tokens of the text between two positions when encoded by itself.
+    def tokens_alone(self, start: int, end: int, at: int) -> int:
+        """Tokens of the text between two positions, ``at`` being the character of the first, when encoded by itself.
 
-        They are the same tokens, except where blanks at the end join, or where a word begun in its middle joins the next.
+        They are the same tokens, except where blanks at the end join, or where the rest of a word begun in its middle
+        starts with a mark or blank and may join what follows.
         """
         n = end - start
         k = bisect_right(self.token_at, start) - 1
-        if self.token_at[k] != start:
+        if self.token_at[k] != start and not self.text[at].isalnum():
             stop = min(k + 2, len(self.words))
             while stop < len(self.words) and self.words[stop - 1].isspace():
                 stop += 1
             upto = min(self.token_at[stop], end)
-            n += self.encoder.count(self.text[self.chars_before(start) : self.chars_before(upto)]) - (upto - start)
+            n += self.encoder.count(self.text[at : self.chars_before(upto)]) - (upto - start)
             if upto == end:
                 return n
         last = bisect_left(self.token_at, end) - 1
-        if self.words[last].isspace():
-            first = last
+        if self.words[last].isspace() and last > k + 1 and self.words[last - 1].isspace():
+            first = last - 1
             while first > k + 1 and self.words[first - 1].isspace():
                 first -= 1
-            at = max(start, self.token_at[first])
-            n += self.encoder.count(self.text[self.chars_before(at) : self.chars_before(end)]) - (end - at)
+            from_ = max(start, self.token_at[first])
+            blanks = self.text[self.chars_before(from_) : self.chars_before(end)]
+            n += len(self.encoder.words[blanks]) - (end - from_)
         return n
 
     def cut(self, low: int, high: int) -> int:
@@ -159,7 +161,7 @@ def text_pieces(t: Text, max_tokens: int, overlap: int) -> list[tuple[int, int,
         own, end = cuts[k], cuts[k + 1]
         start = own if k == 0 else t.whole_char(max(cuts[k - 1], own - overlap))
         a = t.chars_before(start)
-        out.append((start, t.tokens_alone(start, end), own - start, a, t.text[a : t.chars_before(end)]))
+        out.append((start, t.tokens_alone(start, end, a), own - start, a, t.text[a : t.chars_before(end)]))
     return out
 
 

@@ -167,24 +167,44 @@ class Transducer:
             return (last, tuple(kept)), ()
         return (here[shared - 1], tuple([(span, before[shared:]) for span, before in kept])), here[:shared]
 
+    def _from(self, word: bytes, at: int) -> list[tuple[int, int]]:
+        """(end, token) of the tokens that begin at a place, shortest first."""
+        ranks, can_grow, out = self.ranks, self.open, []
+        for end in range(at + 1, len(word) + 1):
+            span = word[at:end]
+            token = ranks.get(span)
+            if token is not None:
+                out.append((end, token))
+            if span not in can_grow:
+                break
+        return out
+
     def _walked(self, word: bytes) -> list[int]:
-        """The encoding by the rule of the transducer for one word, without making states: the last token of each prefix."""
-        ranks, may_follow = self.ranks, self.may_follow
-        last, back = [-1], [0]
-        for i in range(1, len(word) + 1):
-            for j in range(i):
-                token = ranks.get(word[j:i])
-                if token is not None and (not j or may_follow(last[j], token)):
-                    last.append(token)
-                    back.append(j)
+        """The encoding by the rule of the transducer for one word, without making states.
+
+        Of the tokens that may follow the last one the longest is taken; where none leads on, the place is given up and
+        the token before is shortened. Tokens up to a place are the encoding of the text up to it and so the only ones
+        that reach it; hence a place once given up stays so.
+        """
+        may_follow, n = self.may_follow, len(word)
+        out: list[int] = []
+        before: list[tuple[int, list[tuple[int, int]]]] = []
+        given_up: set[int] = set()
+        at, choices = 0, self._from(word, 0)
+        while at < n:
+            while choices:
+                end, token = choices.pop()
+                if end not in given_up and (not out or may_follow(out[-1], token)):
+                    out.append(token)
+                    before.append((at, choices))
+                    at, choices = end, self._from(word, end)
                     break
             else:
-                raise ValueError("the vocabulary has a text without an encoding by neighbours")
-        out, i = [], len(word)
-        while i:
-            out.append(last[i])
-            i = back[i]
-        out.reverse()
+                given_up.add(at)
+                if not before:
+                    raise ValueError("the vocabulary has a text without an encoding by neighbours")
+                at, choices = before.pop()
+                out.pop()
         return out
 
     def encode(self, word: bytes) -> list[int]:

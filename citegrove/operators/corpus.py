@@ -9,7 +9,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citegrove.functions.text import split_auto, split_semicolon, text
+from citegrove.functions.text import let, split_auto, split_semicolon, text
 
 STRINGS = ("authors", "title", "source", "keywords", "abstract", "doi", "refs", "origin", "language", "language_source", "oa_url", "ipc")
 #: Letters of a term token (a fixed value); other letters break a word.
@@ -45,11 +45,14 @@ def tokens(c: Column, stops: list[str]) -> Column:
 def ngrams(words: Column, most: int = 3) -> Column:
     """All n-grams of 1 to ``most`` words; formed after stop words are gone, so they may span removed words."""
 
-    def of(n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+    def grams(w: Column) -> Column:
+        def of(n: int) -> Column:
+            each = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+            return F.when(F.size(w) >= n, each).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.array(*map(of, range(1, most + 1))))
+        return F.flatten(F.array(w, *map(of, range(2, most + 1))))
+
+    return let(words, grams)
 
 
 def doc_terms(c: DataFrame, field: str = "keywords", stops: list[str] | None = None, most: int = 3) -> DataFrame:

@@ -18,13 +18,24 @@ from pyspark.sql import DataFrame
 
 from citegrove.llm.tokens import Encoder, without_gc
 
-BLANK_LINE, LINE, SENTENCE, CLAUSE, EDGE = "blank line", "line", "sentence", "clause", "edge"
-#: Line ends with the blanks after them, and sentence ends within a line; a cut comes after the blanks. A mark before a
-#: small letter or a digit ends no sentence (abbreviations, numbers).
-_STRONG = re.compile(r"""[\n\r]\s*|[.!?…]["'”’»)\]]*[^\S\n\r]+(?![\n\r0-9a-zß-öø-ÿ])|[。！？]+""")
+#: Line ends with the blanks after them, sentence ends within a line, and sentence marks that need no blank. A mark
+#: before a small letter or a digit ends no sentence (abbreviations, numbers). A cut comes after the blanks.
+_LINES = re.compile(r"[\n\r]\s*")
+_SENTENCES = re.compile(r"""[.!?…]["'”’»)\]]*[^\S\n\r]+(?![\n\r0-9a-zß-öø-ÿ])""")
+_WIDE_SENTENCES = re.compile(r"[。！？]+")
 _CLAUSES = re.compile(r"[,;:]\s+|[，；、：]")
 
 
+def _nearest(positions: list[int], middle: int, first: int, last: int) -> int:
+    """Of ascending positions the one nearest to the middle, if it lies within first..last, else -1; of equal ones the lower."""
+    k = bisect_left(positions, middle)
+    above = positions[k] if k < len(positions) else 1 << 60
+    below = positions[k - 1] if k else -1
+    if below >= first and middle - below <= above - middle:
+        return below
+    return above if above <= last else below if below >= first else -1
+
+
 class Text:
     """A text's words (the split before the merges), the tokens and characters before each, and its boundaries."""
 
@@ -34,30 +45,40 @@ class Text:
         self.token_at = list(accumulate(map(len, self.ids), initial=0))
         self.char_at = list(accumulate(map(len, self.words), initial=0))
         self.size = self.token_at[-1]
-        self._found: dict[str, list[int]] = {}
-
-    def boundaries(self, strength: str) -> list[int]:
-        """Token positions of the boundaries of a strength, ascending; looked for when first asked for."""
-        if strength not in self._found:
-            edges, at, found = self.char_at, self.token_at, self._found
-            if strength == CLAUSE:
-                found[CLAUSE] = [at[k] for m in _CLAUSES.finditer(self.text) if edges[k := bisect_right(edges, m.end()) - 1] > m.start()]
-            else:
-                lines: list[int] = []
-                blank_lines: list[int] = []
-                sentences: list[int] = []
-                found.update({BLANK_LINE: blank_lines, LINE: lines, SENTENCE: sentences})
-                for m in _STRONG.finditer(self.text):
-                    start, end = m.span()
-                    k = bisect_right(edges, end) - 1  # a single blank before a word is part of that word
-                    if edges[k] > start:
-                        mark = m[0]
-                        if mark[0] in "\n\r":
-                            breaks = mark.count("\n") or mark.count("\r")
-                            (blank_lines if breaks > 1 else lines).append(at[k])
-                        else:
-                            sentences.append(at[k])
-        return self._found[strength]
+        self._strong: tuple[list[int], list[int], list[int]] | None = None
+        self._clauses: list[int] | None = None
+
+    def _edge(self, m: re.Match[str]) -> int:
+        """The token position of the last word edge within a match, after its first letter; -1 if it has none.
+
+        A single blank before a word is part of that word.
+        """
+        k = bisect_right(self.char_at, m.end()) - 1
+        return self.token_at[k] if self.char_at[k] > m.start() else -1
+
+    @property
+    def strong(self) -> tuple[list[int], list[int], list[int]]:
+        """Ascending token positions after blank lines, line ends and sentence ends; looked for when the first cut is made."""
+        if self._strong is None:
+            text, edges, at = self.text, self.char_at, self.token_at
+            lines: list[int] = []
+            blank_lines: list[int] = []
+            for m in _LINES.finditer(text):
+                if (edge := self._edge(m)) >= 0:
+                    mark = m[0]
+                    (blank_lines if (mark.count("\n") or mark.count("\r")) > 1 else lines).append(edge)
+            # blanks follow the mark, so a word ends between
+            sentences = [at[bisect_right(edges, m.end()) - 1] for m in _SENTENCES.finditer(text)]
+            if "。" in text or "！" in text or "？" in text:
+                sentences = sorted({*sentences, *(e for m in _WIDE_SENTENCES.finditer(text) if (e := self._edge(m)) >= 0)})
+            self._strong = blank_lines, lines, sentences
+        return self._strong
+
+    @property
+    def clauses(self) -> list[int]:
+        if self._clauses is None:
+            self._clauses = [e for m in _CLAUSES.finditer(self.text) if (e := self._edge(m)) >= 0]
+        return self._clauses
 
     def _inside(self, at: int) -> bool:
         """Whether a token position lies inside a character."""
@@ -115,12 +136,13 @@ class Text:
         middle = (low + high) // 2
         for share in (4, 50):
             margin = max(1, (high - low) // share)
-            for strength in (BLANK_LINE, LINE, SENTENCE, CLAUSE, EDGE):
-                positions = self.token_at if strength == EDGE else self.boundaries(strength)
-                at = bisect_left(positions, middle)
-                near = [p for p in positions[max(0, at - 1) : at + 1] if low + margin <= p <= high - margin]
-                if near:
-                    return min(near, key=lambda p: abs(p - middle))
+            first, last = low + margin, high - margin
+            for positions in self.strong:
+                if positions and (found := _nearest(positions, middle, first, last)) >= 0:
+                    return found
+            for positions in (self.clauses, self.token_at):
+                if (found := _nearest(positions, middle, first, last)) >= 0:
+                    return found
         at = self.whole_char(middle)
         if at > low:
             return at
@@ -156,12 +178,16 @@ def text_pieces(t: Text, max_tokens: int, overlap: int) -> list[tuple[int, int,
         raise ValueError("max_tokens must exceed overlap_tokens by 4 at least")
     if t.size <= max_tokens:
         return []
-    cuts, out = t.cuts(most), []
+    cuts, out, text = t.cuts(most), [], t.text
+    end_char = 0
     for k in range(len(cuts) - 1):
         own, end = cuts[k], cuts[k + 1]
-        start = own if k == 0 else t.whole_char(max(cuts[k - 1], own - overlap))
-        a = t.chars_before(start)
-        out.append((start, t.tokens_alone(start, end, a), own - start, a, t.text[a : t.chars_before(end)]))
+        start, at = own, end_char
+        if k and overlap:
+            start = t.whole_char(max(cuts[k - 1], own - overlap))
+            at = t.chars_before(start)
+        end_char = t.chars_before(end)
+        out.append((start, t.tokens_alone(start, end, at), own - start, at, text[at:end_char]))
     return out
 
 

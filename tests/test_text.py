@@ -76,8 +76,11 @@ def test_let_computes_once(spark):
 
 
 def test_ratio_matches_difflib(spark):
-    from citegrove.operators.dedup import _ratio
-
-    pairs = [("abcd", "bcde"), ("", ""), ("a" * 300, "a" * 299 + "b")]
-    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(_ratio("a", "b")).collect()]
-    assert got == [difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs]
+    from citegrove.operators.dedup import _common, ratio_at_least
+
+    pairs = [("abcd", "bcde"), ("", ""), ("a" * 300, "a" * 299 + "b"), ("abc", "xyz"), ("abcdef", "abxdef")]
+    want = [difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs]
+    for least in (0.0, 0.75):
+        got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(ratio_at_least(least)("a", "b")).collect()]
+        assert got == [w if w >= least else 0 for w in want]
+    assert _common({"a": 0b101, "b": 0b010}, 3, "abba") == 3

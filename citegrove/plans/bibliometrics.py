@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from citegrove.functions.text import EDGE_BLANKS, dedup_key, first_surname, normalised_doi, normalised_title, year_of
 from citegrove.operators import dedup, graph, metrics, networks, search
 from citegrove.operators.corpus import corpus, counts, doc_terms, items, ngrams, relevance, stop_words, tokens, with_thesaurus
-from citegrove.plans.tables import cut, table
+from citegrove.plans.tables import cut, new_folder, table
 from citegrove.sources import exports, readers
 from citegrove.sources.connectors import Query
 from citegrove.streaming import distinct_dois, windowed_counts
@@ -623,7 +622,7 @@ def open_pdfs(s, d):
 
 def _streamed(s: SparkSession, name: str, stream: DataFrame, mode: str) -> DataFrame:
     """The rows a stream gives for all that is there, from a table of files."""
-    at = tempfile.mkdtemp(prefix="citegrove-stream-")
+    at = new_folder(s, "stream")
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
         return s.read.schema(stream.schema).parquet(f"{at}/out")
@@ -642,7 +641,7 @@ def stream_counts(s, d):
 @query()
 def stream_dedup(s, d):
     r = table(s, d, "records").select("rec_id", "doi", F.col("harvested_at").cast("timestamp").alias("harvested_at"))
-    at = tempfile.mkdtemp(prefix="citegrove-stream-")
+    at = new_folder(s, "stream")
     r.write.parquet(f"{at}/in")
     stream = s.readStream.schema(r.schema).parquet(f"{at}/in")
     return _streamed(s, "stream", distinct_dois(stream, within="36500 days"), "append").select("rec_id")

@@ -30,17 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (at or _own[0]).rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: short lineage that outlives lost executors.
-
-    The folder is deleted when the JVM ends.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; it is deleted when the JVM ends."""
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    return at
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write df as a table in the shared folder and read it back: short lineage that outlives lost executors."""
+    at = new_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, hot_rows: int = HOT_ROWS, slices: int = SLICES) -> DataFrame:

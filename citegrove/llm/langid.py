@@ -229,11 +229,13 @@ def trained(texts: DataFrame, per_language: int = 1_000) -> Model | None:
     return train([t for t, _ in sample], [y for _, y in sample], idf)
 
 
-#: Confidence under which a paragraph without running sentences gets the main language of its document.
+#: Confidence under which a paragraph without running sentences gets the main language of its document and has no say in whether that is mixed.
 SURE = 0.8
 _LINE = regex.compile(r"[\n\r]+")
 PARAGRAPHS = regex.compile(r"(?:\r\n|\r|\n)(?:[^\S\r\n]*(?:\r\n|\r|\n))+")
 _SENTENCE = re.compile(r"""(?:(?<=[^\W\d_][^\W\d_])|(?<=[^\W\d_][^\W\d_]["'”’»)\]]))[.!?…]["'”’»)\]]*(?:\s|\Z)|[?!](?:\s|\Z)""")
+#: Any end of a sentence: after numbers, single letters and brackets too.
+_ANY_END = re.compile(r"""[^\W_]["'”’»)\]]*[.!?…]["'”’»)\]]*(?:\s|\Z)""")
 _FIVE_WORDS = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]+[\W\d_]+){4}[^\W\d_]")
 
 
@@ -242,6 +244,11 @@ def running(line: str) -> bool:
     return bool(_SENTENCE.search(line) and _FIVE_WORDS.search(line))
 
 
+def prose(text: str) -> bool:
+    """Whether a paragraph is sentences in a wider sense: any sentence's end and five words, or eight words and few marks."""
+    return bool(_ANY_END.search(text) and _FIVE_WORDS.search(text)) or _wordy(text)
+
+
 def lines_of(text: str) -> list[str]:
     """The lines judged: those with running sentences; if there are none, lines of eight words and few marks."""
     lines = [x for x in _LINE.split(text) if x.strip()]
@@ -296,7 +303,14 @@ def _judged(model: Callable[[], Model], least: int) -> Callable[[Iterator[pa.Rec
                     by_owner.setdefault(i, []).append(k)
                 mixed: dict[int, list[int]] = {}
                 for i, ks in by_owner.items():
-                    if len({of_parts[k][0] for k in ks if len(parts[k].strip()) >= least and of_parts[k][0] >= 0 and running(parts[k])}) > 1:
+                    said = set()
+                    for k in ks:
+                        if len(parts[k].strip()) >= least:
+                            if running(parts[k]):
+                                said.add(of_parts[k][0])
+                            elif m and bare_sure[k] >= SURE and prose(parts[k]):
+                                said.add(int(bare[k]))
+                    if len(said - {-1}) > 1:
                         mixed[i] = ks
                 for i in range(len(ids)):
                     language, sure = verdicts[i]

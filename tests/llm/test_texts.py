@@ -177,6 +177,16 @@ def test_mixed_and_odd_documents(spark, model):
     assert got == {(1, 1): "en", (1, 2): "en", (1, 3): "de", (1, 4): "en", (2, 0): "fr", (7, 0): "it"}
 
 
+def test_paragraphs_without_a_plain_full_stop_make_a_document_mixed(spark, model):
+    other = SENTENCES["fr"].rstrip(".").replace(". Une", " et une")
+    ends = (" 1995.", " 6.", "", " (B).", " A.")
+    rows = [("document", i, "\n\n".join([SENTENCES["en"], other + end]), "en") for i, end in enumerate(ends)]
+    rows.append(("document", 9, "\n\n".join([SENTENCES["en"], "sol; réseau; données; revue; auteurs; cartes; risque; ville; qualité"]), "en"))
+    judged = langid.languages(spark.createDataFrame(rows, "kind string, id long, text string, label string"), model)
+    got = {(r.item_id, r.seg_no): r.lang for r in langid.wrong_or_missing(judged).collect()}
+    assert got == {(i, no): lang for i in range(len(ends)) for no, lang in ((1, "en"), (2, "fr"))}
+
+
 def test_no_labels_and_no_rows(spark):
     df = corpus_of(spark, 2).drop("true").limit(0)
     assert langid.trained(df) is None and langid.languages(df, None).count() == 0

@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citegrove.plans.tables import cut
 
-#: Edges that one task may hold for the exact path and modularity algorithms; checked before.
+#: Edges that one task may hold for the exact path algorithms; checked before.
 TASK_EDGES = 500_000
 PALETTE = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#7f7f7f")
 
@@ -292,23 +293,126 @@ def numbered(groups: DataFrame) -> DataFrame:
     return groups.join(ids.select("label", "cluster_id"), "label").select("node", "cluster_id")
 
 
-def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(node, cluster_id): Louvain within one task up to TASK_EDGES edges (counted first), beyond that label propagation."""
-    if edges.count() > TASK_EDGES:
-        return numbered(label_propagation(edges))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(part["src"]) | set(part["dst"]))
-        number = {v: i for i, v in enumerate(names)}
-        near: list[dict[int, float]] = [{} for _ in names]
-        for s, d, w in zip(part["src"], part["dst"], part["weight"], strict=True):
-            near[number[s]][number[d]] = near[number[s]].get(number[d], 0.0) + float(w)
-            if s != d:
-                near[number[d]][number[s]] = near[number[s]][number[d]]
-        return pd.DataFrame({"node": names, "label": [str(g) for g in louvain_partition(near, resolution)]})
+def _links(edges: DataFrame) -> DataFrame:
+    """(a, near, w): a row per node that has neighbours, with their numbers in order and the weights, from (a, b, w)."""
+    near = F.sort_array(F.collect_list(F.struct("b", "w")))
+    rows = edges.groupBy("a", "b").agg(F.sum("w").alias("w")).groupBy("a").agg(near.alias("n"))
+    return cut(rows.select("a", F.col("n.b").alias("near"), F.col("n.w").alias("w")), "links")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of _links: its nodes, and of each link the place of its node in them, its other end and its weight."""
+    near, w = batch.column(1), batch.column(2)
+    at = np.repeat(np.arange(batch.num_rows), near.value_lengths().to_numpy(zero_copy_only=False))
+    return batch.column(0).to_numpy(), at, near.flatten().to_numpy(), w.flatten().to_numpy()
+
+
+def _moves(links: DataFrame, group: np.ndarray, strength: np.ndarray, resolution: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each node the group it gains most by (of equal ones the least), that gain, and the weight of its links into its own group."""
+    n, total = len(group), strength.sum() or 1.0
+    weight = np.bincount(group, strength, n)
+    held = links.sparkSession.sparkContext.broadcast((group, strength, weight))  # 24 bytes a node; edges stay in the shared folder
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, s, of_group = held.value
+        for batch in batches:
+            nodes, at, other, w = _flat(batch)
+            own = g[nodes]
+            every = np.arange(len(nodes))
+            key, place = np.unique(np.r_[at * n + g[other], every * n + own], return_inverse=True)
+            into = np.bincount(place, np.r_[w, np.zeros(len(nodes))], len(key))
+            row, to = key // n, key % n
+            stays = to == own[row]
+            value = into - resolution * s[nodes[row]] * (of_group[to] - np.where(stays, s[nodes[row]], 0.0)) / total
+            best = np.lexsort((to, -value, row))[np.r_[0, np.flatnonzero(np.diff(row)) + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(to[best]), pa.array(value[best] - value[stays]), pa.array(into[stays])], ["a", "best", "gain", "inside"])
+
+    found = links.mapInArrow(run, "a long, best long, gain double, inside double").toPandas()  # a row per node
+    held.destroy()
+    best, gain, inside = group.copy(), np.zeros(n), np.zeros(n)
+    best[found["a"]], gain[found["a"]], inside[found["a"]] = found["best"], found["gain"], found["inside"]
+    return best, gain, inside
+
+
+def _moved(links: DataFrame, strength: np.ndarray, own: np.ndarray, resolution: float) -> tuple[np.ndarray, np.ndarray]:
+    """Groups in which no node gains by another one, and each node's links into its group.
+
+    In each round a share of the nodes moves at once. A round that does not raise the modularity is taken back and
+    repeated with a smaller share, in the end with the one best move, so the modularity rises until nothing can move.
+    """
+    n, total = len(strength), strength.sum() or 1.0
+    least = 1e-9 * total / max(n, 1)
+    group, share, turn, before = np.arange(n), 0.5, 0, None
+    while True:
+        best, gain, inside = _moves(links, group, strength, resolution)
+        weight = np.bincount(group, strength, n) / total
+        quality = (inside.sum() + 2 * own.sum()) / total - resolution * (weight**2).sum()
+        if before and quality <= before[0]:
+            quality, group, best, gain, inside = before
+            share /= 2
+        else:
+            share = min(0.5, 2 * share) if before else share
+            before = (quality, group, best, gain, inside)
+        wish = np.flatnonzero(gain > least)
+        if not len(wish):
+            return group, inside
+        turn += 1
+        mixed = (wish.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(turn * 0xBF58476D1CE4E5B9 % 2**64)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        go = wish[(mixed >> np.uint64(11)) / 2.0**53 < share]
+        if share * len(wish) < 1 or not len(go):
+            go = wish[[int(np.argmax(gain[wish]))]]
+        group = group.copy()
+        group[go] = best[go]
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(node, label): communities by modularity moves and aggregation until nothing moves, the same at every size.
+
+    Edges stay in the shared folder; the driver and the tasks hold some numbers per node. The result does not depend on partitions.
+    """
+    e = both_ways(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight")))
+    names = cut(e.select("node").distinct().select("node", (F.row_number().over(Window.orderBy("node")) - 1).cast("long").alias("no")), "names")  # a row per node
+    n = names.count()
+    e = e.join(names.withColumnRenamed("no", "a"), "node").join(names.select(F.col("node").alias("other"), F.col("no").alias("b")), "other").select("a", "b", F.col("weight").alias("w"))
+    e = cut(e, "numbered")
+    own = np.zeros(n)
+    for r in e.filter("a = b").groupBy("a").agg(F.sum("w").alias("w")).toLocalIterator():  # a row per self-loop
+        own[r.a] = r.w
+    links = _links(e.filter("a <> b"))
+    where = np.arange(n)
+    while n:
+        sums = links.select("a", F.aggregate("w", F.lit(0.0), lambda x, y: x + y).alias("s")).toPandas()  # a row per node
+        strength = 2 * own
+        strength[sums["a"]] += sums["s"]
+        group, inside = _moved(links, strength, own, resolution)
+        used, number = np.unique(group, return_inverse=True)
+        if len(used) == len(group):
+            break
+        where = number[where]
+        own = np.bincount(number, own + inside / 2, len(used))
+        held = edges.sparkSession.sparkContext.broadcast(number)
 
-    one = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight"), F.lit(1).alias("all"))
-    return numbered(one.groupBy("all").applyInPandas(lambda part: run(part), "node string, label string"))
+        def merged(batches: Iterator[pa.RecordBatch], held=held, n=len(used)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                nodes, at, other, w = _flat(batch)
+                a, b = held.value[nodes[at]], held.value[other]
+                key, place = np.unique(a[a != b] * n + b[a != b], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key // n), pa.array(key % n), pa.array(np.bincount(place, w[a != b], len(key)))], ["a", "b", "w"])
+
+        links = _links(links.mapInArrow(merged, "a long, b long, w double"))
+    last = edges.sparkSession.sparkContext.broadcast(where)
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(last.value[batch.column(1).to_numpy()]).cast(pa.string())], ["node", "label"])
+
+    return names.mapInArrow(labelled, "node string, label string")
+
+
+def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(node, cluster_id): Louvain's communities, by one method at every size."""
+    return numbered(louvain(edges, resolution))
 
 
 def modularity(edges: DataFrame, clusters: DataFrame) -> DataFrame:

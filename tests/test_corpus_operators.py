@@ -128,6 +128,36 @@ def test_barbell_has_two_communities(spark):
     assert ids["a"] != ids["x"]
 
 
+def test_communities_are_louvain_at_every_size(spark, monkeypatch):
+    rng = random.Random(11)
+    nodes = [f"n{i:03d}" for i in range(90)]
+    pairs = [(a, b, rng.randint(1, 3)) for a, b in combinations(nodes, 2) if rng.random() < (0.35 if int(a[1:]) // 15 == int(b[1:]) // 15 else 0.04)] + [("n000", "n000", 2)]
+    e = edges_of(spark, pairs)
+    near = [{} for _ in nodes]
+    for a, b, w in pairs:
+        near[int(a[1:])][int(b[1:])] = near[int(b[1:])][int(a[1:])] = float(w)
+
+    def quality(group):
+        m, deg, inside = sum(w for _, _, w in pairs), Counter(), 0
+        for a, b, w in pairs:
+            x, y = group[int(a[1:])], group[int(b[1:])]
+            deg[x] += w
+            deg[y] += w
+            inside += w * (x == y)
+        return inside / m - sum((v / (2 * m)) ** 2 for v in deg.values())
+
+    def found(df):
+        ids = {r.node: r.cluster_id for r in df.collect()}
+        return [ids[v] for v in nodes]
+
+    many = found(graph.communities(e))
+    monkeypatch.setattr(graph, "TASK_EDGES", 10)  # no size changes the method or its result
+    assert found(graph.communities(e.repartition(7))) == many
+    assert quality(many) >= quality(graph.louvain_partition(near)) - 0.02
+    assert len(set(found(graph.communities(e, 8.0)))) > len(set(many))
+    assert graph.communities(e.limit(0)).count() == 0
+
+
 def test_paths(spark):
     line = edges_of(spark, [("a", "b", 1), ("b", "c", 2), ("c", "d", 1)])
     assert {r.node: r.betweenness for r in graph.betweenness(line).collect()} == {"a": 0.0, "b": 0.6667, "c": 0.6667, "d": 0.0}

@@ -13,8 +13,6 @@ from pyspark.sql.window import Window
 
 from citegrove.plans.tables import cut
 
-#: Edges that one task may hold for the exact path algorithms; checked before.
-TASK_EDGES = 500_000
 PALETTE = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#7f7f7f")
 
 
@@ -136,11 +134,9 @@ def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) ->
 
 
 class _Local:
-    """Adjacency of a checked, bounded graph for algorithms that walk it from each source."""
+    """Adjacency of a whole graph for algorithms that walk it from each source; the driver and each task hold it."""
 
     def __init__(self, edges: DataFrame) -> None:
-        if (n := edges.count()) > TASK_EDGES:
-            raise ValueError(f"{n} edges; paths from every node are only found up to TASK_EDGES = {TASK_EDGES}: prune the network first")
         rows = edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).toPandas()
         self.names = sorted(set(rows["src"]) | set(rows["dst"]))
         number = {v: i for i, v in enumerate(self.names)}
@@ -178,7 +174,7 @@ def _paths(g: _Local, source: int, weighted: bool) -> tuple[list[int], dict[int,
 def _from_each_node(edges: DataFrame, step, schema: str) -> DataFrame:
     spark = edges.sparkSession
     g = _Local(edges)
-    held = spark.sparkContext.broadcast(g)  # at most TASK_EDGES edges
+    held = spark.sparkContext.broadcast(g)  # the whole graph: its walks need it
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -457,17 +453,18 @@ def quadrants(themes: DataFrame) -> DataFrame:
 
 
 def layout(edges: DataFrame, steps: int = 200, seed: int = 42) -> DataFrame:
-    """(node, x, y): force-directed placing of a checked, bounded graph (attraction along edges, repulsion by degree)."""
+    """(node, x, y): force-directed placing of a graph (attraction along edges, repulsion by degree)."""
     g = _Local(edges)
     n = len(g.names)
-    if n > 5_000:
-        raise ValueError("over 5,000 nodes: place the most relevant ones")
+    rows = max(1, 2_000_000 // max(n, 1))  # placed at once against all nodes, for bounded memory
     rng = np.random.default_rng(seed)
     at, mass = rng.normal(size=(n, 2)), np.array([len(x) + 1.0 for x in g.near])
     a = np.array([[i, j, w] for i, x in enumerate(g.near) for j, w in x.items()] or np.zeros((0, 3)))
     for k in range(steps):
-        gap = at[:, None, :] - at[None, :, :]
-        push = (gap * (mass[:, None] * mass[None, :] / ((gap**2).sum(2) + 0.01))[:, :, None]).sum(1)
+        push = np.zeros_like(at)
+        for low in range(0, n, rows):
+            gap = at[low : low + rows, None, :] - at[None, :, :]
+            push[low : low + rows] = (gap * (mass[low : low + rows, None] * mass[None, :] / ((gap**2).sum(2) + 0.01))[:, :, None]).sum(1)
         pull = np.zeros_like(at)
         if len(a):
             i, j = a[:, 0].astype(int), a[:, 1].astype(int)

@@ -440,25 +440,19 @@ def eigenvector(s, d):
     return graph.eigenvector(_edges(s, d))
 
 
-def _small(s: SparkSession, d: str) -> DataFrame:
-    """The network of the 120 most relevant terms: paths are found from each of its nodes."""
-    t = _terms(s, d)
-    return networks.cooccurrence(t, networks.term_nodes(t, LEAST, max_nodes=120))
-
-
 @query()
 def betweenness(s, d):
-    return graph.betweenness(_small(s, d))
+    return graph.betweenness(_edges(s, d))
 
 
 @query()
 def closeness(s, d):
-    return graph.closeness(_small(s, d))
+    return graph.closeness(_edges(s, d))
 
 
 @query()
 def path_lengths(s, d):
-    return graph.path_lengths(_small(s, d))
+    return graph.path_lengths(_edges(s, d))
 
 
 @query()
@@ -478,7 +472,7 @@ def modularity(s, d):
 
 @query()
 def layout(s, d):
-    return graph.layout(_small(s, d), 60)
+    return graph.layout(_edges(s, d), 60)
 
 
 @query(f"{NET}, {WAYS} select * from ways")

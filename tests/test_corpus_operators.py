@@ -7,6 +7,7 @@ import pytest
 
 from citegrove.operators import graph, metrics, networks, search
 from citegrove.operators.corpus import corpus, counts, doc_terms, relevance, with_thesaurus
+from citegrove.plans import bibliometrics
 from citegrove.sources.connectors import Query
 
 
@@ -151,7 +152,7 @@ def test_communities_are_louvain_at_every_size(spark, monkeypatch):
         return [ids[v] for v in nodes]
 
     many = found(graph.communities(e))
-    monkeypatch.setattr(graph, "TASK_EDGES", 10)  # no size changes the method or its result
+    monkeypatch.setattr(graph, "TASK_EDGES", 10, raising=False)  # no size changes the method or its result
     assert found(graph.communities(e.repartition(7))) == many
     assert quality(many) >= quality(graph.louvain_partition(near)) - 0.02
     assert len(set(found(graph.communities(e, 8.0)))) > len(set(many))
@@ -166,6 +167,35 @@ def test_paths(spark):
     assert graph.density(line).first()[:] == (4, 3, 0.5)
 
 
+def test_path_queries_take_the_whole_network(spark, make_records, tmp_path):
+    n = 150  # a ring with a tail; each term has 20 occurrences or more
+    pairs = [(i, (i + 1) % (n - 5)) for i in range(n - 5)] + [(i, i + 1) for i in range(n - 6, n - 1)]
+    name = "t{:03d}".format
+    make_records(*({"keywords": f"{name(a)}; {name(b)}"} for a, b in [*pairs, (n - 1, n - 1)] for _ in range(10))).write.parquet(f"{tmp_path}/records.parquet")
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    far, ways = [], []
+    for s in range(n):
+        d, k, queue = {s: 0}, Counter({s: 1}), [s]
+        for v in queue:
+            for u in near[v]:
+                if u not in d:
+                    d[u] = d[v] + 1
+                    queue.append(u)
+                if d[u] == d[v] + 1:
+                    k[u] += k[v]
+        far.append(d)
+        ways.append(k)
+    want = {name(v): sum(ways[s][v] * ways[v][t] / ways[s][t] for s, t in combinations(range(n), 2) if v not in (s, t) and far[s][v] + far[v][t] == far[s][t]) * 2 / ((n - 1) * (n - 2)) for v in range(n)}
+    got = {f: bibliometrics.QUERIES[f](spark, str(tmp_path)).collect() for f in ("betweenness", "closeness", "path_lengths", "layout")}
+    assert {r.node: r.betweenness for r in got["betweenness"]} == {v: pytest.approx(x, abs=1e-4) for v, x in want.items()}
+    assert {r.node: r.closeness for r in got["closeness"]} == {name(v): pytest.approx((n - 1) / (10 * sum(far[v].values())), abs=1e-6) for v in range(n)}
+    assert got["path_lengths"][0][:] == (max(max(d.values()) for d in far), pytest.approx(sum(sum(d.values()) for d in far) / (n * (n - 1)), abs=1e-6))
+    assert {r.node for r in got["layout"]} == set(want)
+
+
 def test_ranks(spark):
     star = edges_of(spark, [("hub", x, 1) for x in "abc"])
     pr = {r.node: r.rank for r in graph.pagerank(star, 30).collect()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citegrove.operators.corpus import counts, items
+from citegrove.plans.tables import running_total
 
 
 def top_items(c: DataFrame, field: str, sep: str = "auto", lower: bool = False, k: int = 20) -> DataFrame:
@@ -70,21 +71,6 @@ def growth(c: DataFrame) -> DataFrame:
     return ends.withColumn("cagr", F.when(span > 0, F.round(F.pow(F.col("last_n") / F.col("first_n"), 1.0 / span) - 1, 6)))
 
 
-def running_total(df: DataFrame, order: list[Column], value: str, blocks: int = 200) -> DataFrame:
-    """df with ``rank`` (from 1) and ``upto`` (sum of value so far) over the whole order, without one task seeing all rows.
-
-    Rows are range-partitioned by the order; only the rows and sum of each partition (at most ``blocks`` of them) meet.
-    """
-    parts = df.repartitionByRange(blocks, *order).withColumn("_part", F.spark_partition_id())
-    inner = Window.partitionBy("_part").orderBy(*order)
-    local = parts.withColumn("_r", F.row_number().over(inner)).withColumn("_s", F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = local.groupBy("_part").agg(F.max("_r").alias("_n"), F.sum(value).alias("_v"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = ends.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_v").over(before), F.lit(0)).alias("_v0"))
-    out = local.join(F.broadcast(offsets), "_part")
-    return out.withColumn("rank", F.col("_r") + F.col("_n0")).withColumn("upto", F.col("_s") + F.col("_v0")).drop("_part", "_r", "_s", "_n0", "_v0")
-
-
 def bradford(c: DataFrame) -> DataFrame:
     """(zone, sources, articles): zones of sources, most productive first, that each close at a third of all articles.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegrove.plans.tables import cut, salted_join
+from citegrove.plans.tables import cut, lookup_join, salted_join
 
 #: Delimiters that hardly occur within a value; "/" only counts with blanks around it or doubled.
 STRONG = {"semicolon": ";", "wide": "；", "bar": r"\|", "line": r"\r\n|\n|\r", "tab": r"\t", "bullet": "•", "dot": "·", "slashes": "//", "slash": r"(?<=\s)/(?=\s)"}
@@ -176,16 +176,19 @@ def packed(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 def dialects(fields: DataFrame) -> DataFrame:
     """(id, field, dialect, bits): the cheapest dialect of each field of (id, field, text); ties go to the first by name.
 
-    One shuffle by value and one by field. A value's rows are counted before the shuffle, hot values are salted.
+    One shuffle by value and one by field. A value's rows are counted before the shuffle, hot values are salted. Every
+    shape that any field has keeps its count, whatever the size of the table; the counts are broadcast while they are
+    small and joined by salted keys beyond.
     """
     schema = "id long, field string, dialect string, bits double, value string, shape string, letters long, teaches long, own long"
-    rows = fields.select("id", "field", "text").mapInArrow(_scored_rows, schema).withColumn("key", F.xxhash64("field", "value"))
-    rows = cut(rows.select("id", "field", "dialect", "bits", "key", "shape", "letters", "teaches", "own"), "parses")
-    values = cut(rows.groupBy("key").agg(F.sum("teaches").alias("known"), F.count(F.lit(1)).alias("_rows")), "values")
-    shapes = rows.groupBy("field", "shape").agg(F.sum("teaches").alias("shaped"))
+    rows = fields.select("id", "field", "text").mapInArrow(_scored_rows, schema)
+    rows = rows.withColumn("k1", F.xxhash64(F.lit("v1"), "field", "value")).withColumn("k2", F.xxhash64(F.lit("v2"), "field", "value"))
+    rows = cut(rows.select("id", "field", "dialect", "bits", "k1", "k2", "shape", "letters", "teaches", "own"), "parses")
+    values = cut(rows.groupBy("k1", "k2").agg(F.sum("teaches").alias("known"), F.count(F.lit(1)).alias("_rows")), "values")
+    shapes = cut(rows.groupBy("field", "shape").agg(F.sum("teaches").alias("shaped"), F.count(F.lit(1)).alias("_rows")), "shapes")
     totals = rows.groupBy("field").agg(F.sum("teaches").alias("taught"))  # a row per field
-    shapes = shapes.filter("shaped > 0").join(F.broadcast(totals), "field").filter(F.col("shaped") * 20_000 > F.col("taught"))  # so at most 20,000 a field
-    known = salted_join(rows, values, ["key"], "_rows").join(F.broadcast(shapes.drop("taught")), ["field", "shape"], "left").join(F.broadcast(totals), "field")
+    known = salted_join(rows, values, ["k1", "k2"], "_rows").drop("k1", "k2", "_rows")
+    known = lookup_join(known, shapes, ["field", "shape"], "_rows").drop("_rows").withColumn("shaped", F.when(F.col("shaped") > 0, F.col("shaped"))).join(F.broadcast(totals), "field")
     other = F.col("known") - F.col("own")  # a field does not vouch for itself
     of_value = F.when(other > 0, F.log2((F.col("taught") + 1) / other) + 1)
     of_shape = F.coalesce(F.log2((F.col("taught") + 1) / F.col("shaped")), NEW_SHAPE_BITS + SYMBOL_BITS * F.length("shape"))
@@ -199,12 +202,13 @@ def dialects(fields: DataFrame) -> DataFrame:
 def split_values(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(id, field, pos, item, dialect): one row per value, pos from 1 in the order of the field.
 
-    A dialect is chosen once for each different text of a field, so repeated rows, and null or repeated ids, do no harm.
+    A dialect is chosen once for each different text of a field (told apart by 128 bits), so repeated rows, and null or
+    repeated ids, do no harm.
     """
-    texts = packed(df, id_col, fields).withColumn("key", F.xxhash64("field", "text"))
-    unique = texts.groupBy("key").agg(F.any_value("field").alias("field"), F.any_value("text").alias("text"), F.count(F.lit(1)).alias("rows"))
-    unique = cut(unique, "texts")
-    chosen = dialects(unique.select(F.col("key").alias("id"), "field", "text")).select(F.col("id").alias("key"), "dialect")
-    chosen = cut(chosen.join(unique.select("key", "rows"), "key"), "chosen")
+    texts = packed(df, id_col, fields).withColumn("k1", F.xxhash64(F.lit("t1"), "field", "text")).withColumn("k2", F.xxhash64(F.lit("t2"), "field", "text"))
+    unique = texts.groupBy("k1", "k2").agg(F.any_value("field").alias("field"), F.any_value("text").alias("text"), F.count(F.lit(1)).alias("rows"))
+    unique = cut(unique.withColumn("number", F.monotonically_increasing_id()), "texts")  # the numbers are fixed once they are written
+    chosen = dialects(unique.select(F.col("number").alias("id"), "field", "text")).select("id", "dialect")
+    chosen = cut(chosen.join(unique.select(F.col("number").alias("id"), "k1", "k2", "rows"), "id").drop("id"), "chosen")
     schema = "id long, field string, pos long, item string, dialect string"
-    return salted_join(texts, chosen, ["key"], "rows").select("id", "field", "text", "dialect").mapInArrow(_parsed, schema)
+    return salted_join(texts, chosen, ["k1", "k2"], "rows").select("id", "field", "text", "dialect").mapInArrow(_parsed, schema)

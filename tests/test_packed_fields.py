@@ -1,3 +1,4 @@
+from citegrove.plans import tables
 from citegrove.operators.packed_fields import parses, shape, split_values, trusted
 
 LISTS = {
@@ -80,3 +81,21 @@ def test_parses_compete_once():
 def test_shape_and_trust():
     assert shape("Souza, M. A.") == shape("Lima, B. C.") != shape("Souza")
     assert trusted("semicolon", "a; b") and not trusted("semicolon", "a; b|c") and trusted("list", '["a"]')
+
+
+def test_dialects_are_the_same_in_copies_and_beyond_the_broadcast(spark, monkeypatch):
+    df, _ = table(spark)
+    chosen = lambda d: sorted({(r.field, r.item, r.pos, r.dialect) for r in split_values(d, "raw_id", list(LISTS)).collect()})
+    one = chosen(df)
+    assert chosen(df.crossJoin(spark.range(20)).drop("id")) == one
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(tables, "HOT_ROWS", 5)
+    assert chosen(df) == one
+
+
+def test_a_rare_shape_keeps_its_count_in_a_large_table(spark):
+    filler = [(i, "; ".join(f"{a}{b}" for b in ("alpha", "beta", "gamma"))) for i, a in enumerate(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(9_000))]
+    rare = [(90_000, "X-9:Y/z; X-8:Q/v"), (90_001, "U-7:T/k, V-6:S/m")]  # a shape in one field in 27,000 values
+    got = {(r["id"], r.item) for r in split_values(spark.createDataFrame(filler + rare, "raw_id long, keywords string"), "raw_id", ["keywords"]).filter("id >= 90000").collect()}
+    few = {(r["id"], r.item) for r in split_values(spark.createDataFrame(filler[:30] + rare, "raw_id long, keywords string"), "raw_id", ["keywords"]).filter("id >= 90000").collect()}
+    assert got == few

@@ -15,20 +15,31 @@ from pyspark.sql.types import StringType
 from citegrove.functions.text import doi_name, text
 from citegrove.plans.tables import cut, salted_join
 
-#: Characters below U+0300 and general punctuation never change under NFC; only other texts go through Python.
-MAY_CHANGE = r"[^\u0000-˿‐-‧‰-⁞]"
+#: What lower case does not settle: all but ASCII, the Latin-1 letters with simple cases, and general punctuation.
+MAY_CHANGE = r"[^\u0000-´¶-Þà-ÿ‐-‧‰-⁞]"
+
+
+def folded(x: str) -> str:
+    """A text under full case folding, of equal forms for what is canonically equivalent or differs in case only.
+
+    Upper case first, for the letters that meet only there (the dotless i and I).
+    """
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", x).upper().casefold())
 
 
 @F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+def _folded(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x is None else folded(x))
 
 
 def letters_and_digits(c: Column | str) -> Column:
-    """Letters and decimal digits in order, full upper case (so that the German sharp s equals SS), NFC."""
+    """Letters and decimal digits in order, their case folded in full (so that the German sharp s equals SS), NFC.
+
+    Texts that lower case folds as well stay in the JVM.
+    """
     s = text(c)
-    whole = F.coalesce(_nfc(F.when(s.rlike(MAY_CHANGE), s)), s)
-    return F.regexp_replace(F.upper(whole), r"[^\p{L}\p{Nd}]+", "")
+    whole = F.coalesce(_folded(F.when(s.rlike(MAY_CHANGE), s)), F.lower(s))
+    return F.regexp_replace(whole, r"[^\p{L}\p{Nd}]+", "")
 
 
 def fingerprint(canonical: Column) -> tuple[Column, Column, Column]:

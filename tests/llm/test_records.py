@@ -105,6 +105,27 @@ def test_copies_against_brute_force(make_records):
     assert canonical.formatting_duplicates(empty(make_records)).count() == 0
 
 
+def test_every_character_meets_its_other_cases_and_forms(make_records):
+    """Each code point against its lower, upper, title and folded case and its normal forms; those the JVM folds, against the same."""
+    import re
+
+    kept = lambda x: "".join(c for c in canonical.folded(x) if unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd")
+    in_jvm, bare = re.compile(canonical.MAY_CHANGE), []
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        key = kept(c)
+        assert {kept(x) for x in (c.lower(), c.upper(), c.title(), c.casefold(), unicodedata.normalize("NFD", c), unicodedata.normalize("NFC", c))} == {key}, hex(ord(c))
+        if not in_jvm.search(c) and c not in "\r\n":
+            bare.append(c)
+    r = make_records(*({"title": c} for c in bare))
+    got = {x.title: x.key for x in r.select("title", canonical.letters_and_digits("title").alias("key")).collect()}
+    assert got == {c: kept(c) for c in bare} and len(bare) > 200
+
+
+def test_turkish_and_greek_letters(make_records):
+    r = make_records(*({"title": t} for t in ("İstanbul", "i̇stanbul", "İSTANBUL", "Maße", "MASSE", "ΐ", "Ϊ́", "Σίσυφος", "ΣΊΣΥΦΟΣ")))
+    assert {tuple(x) for x in canonical.formatting_duplicates(r).collect()} == {(1, 2), (1, 3), (4, 5), (6, 7), (8, 9)}
+
+
 def test_hash_collisions_are_told_apart(make_records, monkeypatch):
     from pyspark.sql import functions as F
 

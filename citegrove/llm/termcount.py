@@ -1,16 +1,20 @@
 """Frequency of every distinct value: burst tries in the tasks, routed by adaptive prefixes, merged subtree by subtree.
 
-First pass: each task counts its terms in a burst trie and reports how many distinct terms lie below each prefix; a
-prefix with more than its share of all of them over the whole table is burst, so that the routes below it each hold
-a bounded part. Second pass: each task cuts its trie at the routes and sends one compact subtree per route (terms
-sorted, shared beginnings left out, two counters each); subtrees of the same route are merged where they meet. A hot
-term is one entry per task, a crowded prefix is burst, so neither grows with its rows.
+Rows are read once: each task counts its terms in a burst trie and writes it as compact subtrees (terms sorted, shared
+beginnings left out, two counters each). From these it follows how many distinct terms of the tasks lie below each
+prefix of the whole table; a prefix with more than a bounded number is burst, so that the routes below it each hold a
+bounded part. Each compact trie is cut at the routes, and the subtrees of one route are merged in step, in the order of
+their letters, into one. A hot term is one entry per task, a crowded prefix is burst, and terms that are alike up to
+DEPTH letters are dealt by hash, so no merge grows with the data.
 """
 
 from __future__ import annotations
 
+import heapq
+import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -19,24 +23,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrove.functions.text import field_values, plain
+from citegrove.plans.tables import cut
 
-#: Routes a level of the trie may be burst into, about: a prefix is burst beyond 1 / ROUTES of all reported terms.
+#: The most terms of tasks that one merge takes. A prefix may hold one term of each task more, which they do not report.
+ROUTE_TERMS = 1_000_000
+#: Routes of a table too small to fill them.
 ROUTES = 512
 #: A container of a task's trie is burst beyond this; a prefix is never burst below it.
 CONTAINER = 2_048
-#: The longest prefix that routes; terms alike up to there share a route.
-DEPTH = 48
+#: Letters, from the beginning of a term, by which tries burst and terms are routed.
+DEPTH = 24
+#: Terms of a compact subtree as it is written, and of a task's trie before it is written.
+BLOCK, TASK_TERMS = 50_000, 1_000_000
 
 
 class BurstTrie:
-    """Counters of (occurrences, records) by term. A node is a container {rest: [occurrences, records]} until it bursts."""
+    """Counters of (occurrences, records) by term. A node is a container {rest: [occurrences, records]} until it bursts.
 
-    __slots__ = ("children", "here", "rests")
+    ``size`` is the number of terms. Nodes DEPTH letters down do not burst.
+    """
+
+    __slots__ = ("children", "here", "rests", "size")
 
     def __init__(self) -> None:
         self.rests: dict[str, list[int]] | None = {}
         self.children: dict[str, BurstTrie] = {}
         self.here: list[int] | None = None
+        self.size = 0
 
     def add(self, term: str, occurrences: int, records: int, limit: int = CONTAINER) -> None:
         node, at = self, 0
@@ -46,53 +59,53 @@ class BurstTrie:
                 child = node.children[term[at]] = BurstTrie()
             node, at = child, at + 1
         if node.rests is None:
-            node.here = node.here or [0, 0]
-            node.here[0] += occurrences
-            node.here[1] += records
-            return
-        rest = term[at:]
-        counts = node.rests.get(rest)
+            counts = node.here
+            if counts is None:
+                node.here = [occurrences, records]
+        else:
+            counts = node.rests.get(term[at:])
+            if counts is None:
+                node.rests[term[at:]] = [occurrences, records]
+                if len(node.rests) > limit and at < DEPTH:
+                    node._burst(limit, at)
         if counts is None:
-            node.rests[rest] = [occurrences, records]
-            if len(node.rests) > limit and at < DEPTH:
-                node._burst(limit)
+            self.size += 1
         else:
             counts[0] += occurrences
             counts[1] += records
 
-    def _burst(self, limit: int) -> None:
-        rests, self.rests = self.rests, None
-        for rest, (occurrences, records) in rests.items():
-            self.add(rest, occurrences, records, limit)
-
-    def terms(self, prefix: str = "") -> Iterator[tuple[str, int, int]]:
-        """In no particular order within a container."""
-        if self.here:
-            yield prefix, *self.here
-        for rest, (o, r) in (self.rests or {}).items():
-            yield prefix + rest, o, r
-        for c, child in self.children.items():
-            yield from child.terms(prefix + c)
-
-    def sizes(self, prefix: str, out: dict[str, int]) -> int:
-        """Distinct terms below each node, into out; of a container also by its next letters."""
-        n = int(self.here is not None)
-        if self.rests is not None:
-            n += len(self.rests)
-            for rest in self.rests:  # so that a global burst can go deeper than this task's
-                for k in range(1, min(len(rest), DEPTH - len(prefix), 12) + 1):
-                    out[prefix + rest[:k]] += 1
-        for c, child in self.children.items():
-            n += child.sizes(prefix + c, out)
-        if prefix:
-            out[prefix] += n
-        return n
-
-
-def pack(terms: list[tuple[str, int, int]]) -> bytes:
-    """Sorted terms as (letters shared with the one before, rest, occurrences, records): a compact subtree."""
+    def _burst(self, limit: int, depth: int) -> None:
+        full = [(self, depth)]
+        while full:
+            node, at = full.pop()
+            rests, node.rests = node.rests, None
+            for rest, counts in rests.items():
+                if not rest:
+                    node.here = counts
+                    continue
+                child = node.children.get(rest[0])
+                if child is None:
+                    child = node.children[rest[0]] = BurstTrie()
+                child.rests[rest[1:]] = counts
+            if at + 1 < DEPTH:
+                full += [(c, at + 1) for c in node.children.values() if len(c.rests) > limit]
+
+    def terms(self) -> Iterator[tuple[str, int, int]]:
+        """(term, occurrences, records) in the order of the terms."""
+        open_: list[tuple[str, BurstTrie]] = [("", self)]
+        while open_:
+            prefix, node = open_.pop()
+            if node.here:
+                yield prefix, *node.here
+            for rest in sorted(node.rests or ()):
+                yield prefix + rest, *node.rests[rest]
+            open_ += [(prefix + c, node.children[c]) for c in sorted(node.children, reverse=True)]
+
+
+def pack(terms: Iterable[tuple[str, int, int]]) -> bytes:
+    """Terms in order as (letters shared with the one before, rest, occurrences, records): a compact subtree."""
     out, before = [], ""
-    for term, o, r in sorted(terms):
+    for term, o, r in terms:
         k, most = 0, min(len(before), len(term))
         while k < most and before[k] == term[k]:
             k += 1
@@ -131,9 +144,18 @@ def unpack(data: bytes) -> Iterator[tuple[str, int, int]]:
         yield before, number(), number()
 
 
-def _grown(batches: Iterator[pa.RecordBatch]) -> dict[str, BurstTrie]:
-    """A trie per field from rows (field, terms with repeats, distinct terms); each batch is counted before it is added."""
+def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (field, terms with repeats, distinct terms) to (field, subtree); each batch is counted before it is added."""
     tries: dict[str, BurstTrie] = {}
+
+    def written(field: str) -> Iterator[pa.RecordBatch]:
+        terms, more = tries.pop(field).terms(), True
+        while more:
+            block = list(islice(terms, BLOCK))
+            more = len(block) == BLOCK
+            if block:
+                yield pa.RecordBatch.from_arrays([pa.array([field]), pa.array([pack(block)], pa.binary())], ["field", "subtree"])
+
     for batch in batches:
         fields = batch.column(0)
         for field in pc.unique(fields).to_pylist():
@@ -146,23 +168,65 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> dict[str, BurstTrie]:
                     counts[term][column - 1] = n
             for term, (o, r) in counts.items():
                 trie.add(term, o, r)
-    return tries
+            if trie.size > TASK_TERMS:
+                yield from written(field)
+    for field in list(tries):
+        yield from written(field)
+
+
+def prefix_sizes(terms: Iterable[str]) -> dict[str, int]:
+    """Of terms in order: how many begin with each prefix of up to DEPTH letters that more than one has, and of "" all."""
+    out: dict[str, int] = defaultdict(int)
+    since: list[int] = []  # place of the first term that has the open prefix of each length
+    before, n = "", 0
+
+    def close(down_to: int) -> None:
+        while len(since) > down_to:
+            size = n - since[-1]
+            if size > 1:
+                out[before[: len(since)]] += size
+            since.pop()
+
+    for term in terms:
+        k, most = 0, min(len(before), len(term), DEPTH)
+        while k < most and before[k] == term[k]:
+            k += 1
+        close(k)
+        since += [n] * (min(len(term), DEPTH) - len(since))
+        before, n = term, n + 1
+    close(0)
+    out[""] = n
+    return out
 
 
 def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for field, trie in _grown(batches).items():
-        sizes: dict[str, int] = defaultdict(int)
-        n = trie.sizes("", sizes)
-        sizes[""] = n
-        many = [(p, k) for p, k in sizes.items() if k > 1 or not p]
-        yield pa.RecordBatch.from_arrays([pa.array([field] * len(many)), pa.array([p for p, _ in many]), pa.array([k for _, k in many], pa.int64())], ["field", "prefix", "n"])
+    for batch in batches:
+        for field, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sizes = prefix_sizes(term for term, _, _ in unpack(data))
+            yield pa.RecordBatch.from_arrays([pa.array([field] * len(sizes)), pa.array(list(sizes)), pa.array(list(sizes.values()), pa.int64())], ["field", "prefix", "n"])
 
 
-def _route(term: str, burst: set[str]) -> str:
+def _route(term: str, burst: dict[str, int]) -> tuple[str, int]:
+    """The shortest beginning of a term that is not burst, and its slice if there is none of up to DEPTH letters."""
     k = 0
-    while k < len(term) and term[:k] in burst:
+    while k < len(term) and k < DEPTH and term[:k] in burst:
         k += 1
-    return term[:k]
+    slices = burst.get(term[:k], 1) if k == DEPTH else 1
+    return term[:k], zlib.crc32(term.encode()) % slices if slices > 1 else 0
+
+
+def merged_subtrees(subtrees: Iterable[bytes]) -> Iterator[tuple[str, int, int]]:
+    """One subtree out of several of the same route: they are walked in step, equal terms becoming one."""
+    last, occurrences, records = None, 0, 0
+    for term, o, r in heapq.merge(*map(unpack, subtrees)):
+        if term != last:
+            if last is not None:
+                yield last, occurrences, records
+            last, occurrences, records = term, 0, 0
+        occurrences += o
+        records += r
+    if last is not None:
+        yield last, occurrences, records
 
 
 def count_terms(lists: DataFrame) -> DataFrame:
@@ -170,42 +234,35 @@ def count_terms(lists: DataFrame) -> DataFrame:
 
     Null and empty arrays, and null terms, count nothing.
     """
-    spark = lists.sparkSession
     base = lists.filter(F.size("terms") > 0).select("field", F.filter("terms", lambda x: x.isNotNull()).alias("terms")).withColumn("distinct", F.array_distinct("terms"))
-    reports = base.mapInArrow(_reported, "field string, prefix string, n long").groupBy("field", "prefix").agg(F.sum("n").alias("n"))
-    # prefixes of one length share out the terms, so at most ROUTES of each length, hence ROUTES * DEPTH in all, pass
+    tries = cut(base.mapInArrow(_compact, "field string, subtree binary"), "tries")
+    reports = tries.mapInArrow(_reported, "field string, prefix string, n long").groupBy("field", "prefix").agg(F.sum("n").alias("n"))
+    # prefixes of one length share out the terms, so at most all / share of each length pass, which is ROUTES, or one for each ROUTE_TERMS terms
     whole = reports.filter("prefix = ''").groupBy().agg(F.sum("n").alias("all"))
-    share = F.greatest(F.col("all") / ROUTES, F.lit(CONTAINER))
-    bursts = reports.join(F.broadcast(whole)).filter(F.col("n") > share).select("field", "prefix").collect()
-    burst_of: dict[str, set[str]] = defaultdict(set)
+    share = F.least(F.greatest(F.col("all") / ROUTES, F.lit(CONTAINER)), F.lit(ROUTE_TERMS))
+    bursts = reports.join(F.broadcast(whole)).filter(F.col("n") > share).select("field", "prefix", F.ceil(F.col("n") / share).alias("slices")).collect()
+    burst_of: dict[str, dict[str, int]] = defaultdict(dict)
     for r in bursts:
-        burst_of[r.field].add(r.prefix)
-    shared = spark.sparkContext.broadcast(dict(burst_of))
+        burst_of[r.field][r.prefix] = r.slices
+    shared = lists.sparkSession.sparkContext.broadcast(dict(burst_of))
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for field, trie in _grown(batches).items():
-            burst = shared.value.get(field, set())
-            routes: dict[str, list[tuple[str, int, int]]] = defaultdict(list)
-            for term in trie.terms():
-                routes[_route(term[0], burst)].append(term)
-            packed = [pack(t) for t in routes.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([field] * len(packed)), pa.array(list(routes)), pa.array(packed, pa.binary())], ["field", "route", "subtree"])
+        for batch in batches:
+            for field, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                burst = shared.value.get(field, {})
+                routes: dict[tuple[str, int], list[tuple[str, int, int]]] = defaultdict(list)
+                for term in unpack(data):
+                    routes[_route(term[0], burst)].append(term)
+                packed = [pack(t) for t in routes.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([field] * len(packed)), pa.array([r for r, _ in routes]), pa.array([k for _, k in routes], pa.int64()), pa.array(packed, pa.binary())], ["field", "route", "slice", "subtree"])
 
     def merged(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, list[int]] = {}
-        for part in parts:
-            for data in part["subtree"]:
-                for term, o, r in unpack(data):
-                    counts = total.get(term)
-                    if counts is None:
-                        total[term] = [o, r]
-                    else:
-                        counts[0] += o
-                        counts[1] += r
-        yield pd.DataFrame({"field": key[0], "term": list(total), "occurrences": [c[0] for c in total.values()], "records": [c[1] for c in total.values()]})
-
-    sent = base.mapInArrow(subtrees, "field string, route string, subtree binary")
-    return sent.groupBy("field", "route").applyInPandas(merged, "field string, term string, occurrences long, records long")
+        terms = merged_subtrees([data for part in parts for data in part["subtree"]])
+        while block := list(islice(terms, BLOCK)):
+            yield pd.DataFrame([(key[0], *t) for t in block], columns=["field", "term", "occurrences", "records"])
+
+    sent = tries.mapInArrow(subtrees, "field string, route string, slice long, subtree binary")
+    return sent.groupBy("field", "route", "slice").applyInPandas(merged, "field string, term string, occurrences long, records long")
 
 
 def marked_terms(lists: DataFrame, rows: int | Column, rare_below: int = 3, common_over: float = 0.04) -> DataFrame:

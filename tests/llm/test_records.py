@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from citegrove.llm import canonical, cooccur, setjoin, survivors, termcount
@@ -137,10 +138,12 @@ def test_hash_collisions_are_told_apart(make_records, monkeypatch):
 # frequency of every value
 
 
-@pytest.mark.parametrize("routes,container", [(512, 2048), (4, 3)])
-def test_terms_against_brute_force(make_records, monkeypatch, routes, container):
+@pytest.mark.parametrize("routes,container,most", [(512, 2048, 1_000_000), (4, 3, 1_000_000), (4, 3, 2)])
+def test_terms_against_brute_force(make_records, monkeypatch, routes, container, most):
     monkeypatch.setattr(termcount, "ROUTES", routes)
     monkeypatch.setattr(termcount, "CONTAINER", container)
+    monkeypatch.setattr(termcount, "ROUTE_TERMS", most)
+    monkeypatch.setattr(termcount, "BLOCK", most)
     rng = random.Random(3)
     rows = [[rng.choice(["é", "日本", "a" * 60 + str(rng.randint(0, 3)), "hot"]) + rng.choice(["", " x", "yy"]) for _ in range(rng.randint(0, 6))] for _ in range(200)]
     r = make_records(*({"keywords": "; ".join(x), "source": rng.choice(["", None, " The  Journal", "the journal"])} for x in rows))
@@ -162,12 +165,44 @@ def test_marks(make_records):
 
 
 def test_subtrees_round_trip():
-    terms = [("", 1, 1), ("a", 300, 2), ("ab", 1, 1), ("日本語", 5, 4), ("日本", 70_000, 9)]
-    assert sorted(termcount.unpack(termcount.pack(terms))) == sorted(terms)
+    terms = sorted([("", 1, 1), ("a", 300, 2), ("ab", 1, 1), ("日本語", 5, 4), ("日本", 70_000, 9)])
+    assert list(termcount.unpack(termcount.pack(terms))) == terms
     trie = termcount.BurstTrie()
     for t, o, r in terms * 2:
         trie.add(t, o, r, limit=1)
-    assert sorted(trie.terms()) == sorted((t, 2 * o, 2 * r) for t, o, r in terms)
+    assert list(trie.terms()) == [(t, 2 * o, 2 * r) for t, o, r in terms] and trie.size == len(terms)
+    parts = [termcount.pack(terms[::2]), termcount.pack(terms[1:]), termcount.pack([])]
+    assert list(termcount.merged_subtrees(parts)) == [(t, o + o * (k % 2 == 0 and k > 0), r + r * (k % 2 == 0 and k > 0)) for k, (t, o, r) in enumerate(terms)]
+
+
+def test_terms_with_a_long_common_beginning(spark):
+    terms = ["p" * 5_000 + str(i) for i in range(3_000)] + [f"q{i}" for i in range(20)]
+    trie = termcount.BurstTrie()
+    for t in terms:
+        trie.add(t, 1, 1)
+    assert [t for t, _, _ in trie.terms()] == sorted(terms)
+    df = spark.createDataFrame([("k", terms[i : i + 100]) for i in range(0, len(terms), 100)] + [("k", None), ("k", [None])], "field string, terms array<string>")
+    assert {(r.term, r.occurrences) for r in termcount.count_terms(df).collect()} == {(t, 1) for t in terms}
+
+
+def test_a_trie_is_written_in_blocks(monkeypatch):
+    monkeypatch.setattr(termcount, "BLOCK", 7)
+    monkeypatch.setattr(termcount, "TASK_TERMS", 40)
+    lists = [[f"t{i}", f"t{i // 2}"] for i in range(100)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["f"] * 10), pa.array(lists[i : i + 10]), pa.array([sorted(set(x)) for x in lists[i : i + 10]])], ["field", "terms", "distinct"]) for i in range(0, 100, 10)]
+    blocks = [data for b in termcount._compact(iter(batches)) for data in b.column(1).to_pylist()]
+    want = Counter(t for x in lists for t in x)
+    assert {t: o for t, o, _ in termcount.merged_subtrees(blocks)} == want and all(sum(1 for _ in termcount.unpack(b)) <= 7 for b in blocks)
+
+
+def test_routes_are_bounded(monkeypatch):
+    terms = sorted({f"{a}{b}" for a in ("common beginning of many terms ", "x") for b in range(2_000)})
+    sizes = termcount.prefix_sizes(terms)
+    want = Counter(t[:k] for t in terms for k in range(1, termcount.DEPTH + 1) if k <= len(t))
+    assert sizes == {p: n for p, n in want.items() if n > 1} | {"": len(terms)}
+    burst = {p: -(-n // 100) for p, n in sizes.items() if n > 100}
+    held = Counter(termcount._route(t, burst) for t in terms)
+    assert max(held.values()) < 200
 
 
 # similar sets

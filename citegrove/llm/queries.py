@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from citegrove.functions.text import real_abstract
 from citegrove.llm import canonical, cooccur, langid, mixing, pieces, setjoin, survivors, termcount, tokens
@@ -17,7 +18,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cooccur.record_pairs(table(spark, sf_dir, "records"))
+    """Every pair of items, however rare and whatever its lift."""
+    return cooccur.record_pairs(table(spark, sf_dir, "records"), 1, 0.0).withColumn("lift", F.round("lift", 6))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,11 @@ n as (select field, count(distinct rec_id) n from e group by 1), c as (select fi
 p as (select a.field, a.item item_a, b.item item_b, count(*) n_ab from often a join often b on a.field = b.field and a.rec_id = b.rec_id and a.item < b.item group by 1, 2, 3 having count(*) >= 10)
 select field, item_a, item_b from p join n using (field) join c x on x.field = p.field and x.item = item_a join c y on y.field = p.field and y.item = item_b where n_ab * n >= 8 * x.c * y.c"""
 
+P1_PAIRS = f"""with e as materialized ({" union all ".join(f"select '{f}' field, * from ({listed(f)})" for f in ("keywords", "authors", "refs"))}),
+n as (select field, count(distinct rec_id) n from e group by 1), c as (select field, item, count(*) c from e group by 1, 2),
+p as (select a.field, a.item item_a, b.item item_b, count(*) n_ab from e a join e b on a.field = b.field and a.rec_id = b.rec_id and a.item < b.item group by 1, 2, 3)
+select field, item_a, item_b, x.c n_a, y.c n_b, n_ab, n, round(n_ab * n / (x.c * y.c), 6) lift from p join n using (field) join c x on x.field = p.field and x.item = item_a join c y on y.field = p.field and y.item = item_b"""
+
 _ORIGIN = "lower(regexp_replace(coalesce(origin, ''), '(?:" + BLANK + "|\\p{Cf})+', '', 'g'))"
 _RANK = "case " + " ".join(f"when {_ORIGIN} = '{o}' then {r}" for o, r in ORIGIN_ORDER.items()) + " else 9 end"
 _ABSTRACT = squeezed("regexp_replace(coalesce(abstract, ''), '<[^>]+>', ' ', 'g')")
@@ -65,4 +70,4 @@ P7 = f"""with e as materialized ({listed("refs")}), s as (select rec_id, count(*
 p as (select a.rec_id rec_a, b.rec_id rec_b, count(*) n from f a join f b on a.item = b.item and a.rec_id < b.rec_id group by 1, 2)
 select rec_a, rec_b from p join s x on x.rec_id = rec_a join s y on y.rec_id = rec_b where n * 10 >= 6 * (x.k + y.k - n)"""
 
-SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p5_found": P5, "p5_terms": P5_TERMS, "p7_found": P7}
+SQL = {"p1_found": P1, "p1_pairs": P1_PAIRS, "p2_found": P2, "p3_found": P3, "p5_found": P5, "p5_terms": P5_TERMS, "p7_found": P7}

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from citegrove.llm import canonical, cooccur, setjoin, survivors, termcount
+from citegrove.plans import tables
 
 
 def empty(make_records):
@@ -30,8 +31,8 @@ def brute_pairs(sets, least, lift):
 @pytest.mark.parametrize("small", [True, False])
 def test_pairs_against_brute_force(spark, make_records, monkeypatch, small):
     if not small:
-        monkeypatch.setattr(cooccur, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(cooccur, "BLOCK_ITEMS", 50)
+        monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(tables, "HOT_ROWS", 20)
     rng = random.Random(1)
     sets = [{rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("xy") for _ in range(rng.randint(0, 6))} for _ in range(400)]
     sets += [{"hot", "pair", f"u{i}"} for i in range(60)] + [{"hot"} for _ in range(100)]
@@ -48,13 +49,30 @@ def test_wide_basket_and_empty(make_records):
     assert cooccur.record_pairs(make_records({}, {"keywords": ""}, {"authors": " ; "})).count() == 0
 
 
-def test_gram_counts_by_blocks():
-    rows = [np.array([0, 1, 2]), np.array([1, 2]), np.array([3])]
+@pytest.mark.parametrize("pairs,dense", [(4_000_000, 128), (7, 3), (1, 500)])
+def test_transpose_products_by_blocks(monkeypatch, pairs, dense):
+    monkeypatch.setattr(cooccur, "BLOCK_PAIRS", pairs)
+    monkeypatch.setattr(cooccur, "DENSE", dense)
+    rng, want, total = random.Random(6), Counter(), Counter()
+    sets = [sorted(rng.sample(range(40), rng.choice([1, 2, 3, 9]))) for _ in range(200)] + [list(range(40))]
+    for s in sets:
+        want.update(combinations(s, 2))
+    starts = np.r_[0, np.cumsum([len(s) for s in sets])]
+    for a, b, n in cooccur.transpose_product(starts, np.concatenate(sets) * 1_000_000_007):
+        for x, y, k in zip(a // 1_000_000_007, b // 1_000_000_007, n, strict=True):
+            total[min(x, y), max(x, y)] += int(k)
+    assert total == want
+
+
+def test_blocks_end_between_baskets(monkeypatch):
+    monkeypatch.setattr(cooccur, "BLOCK_ITEMS", 5)
+    rows = [(b, i) for b in range(30) for i in range(b % 5)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[k : k + 4]]), pa.array([r[1] for r in rows[k : k + 4]])], ["basket", "no"]) for k in range(0, len(rows), 4)]
     total = Counter()
-    for a, b, n in cooccur._gram(rows):
-        for x, y, k in zip(a, b, n):
-            total[int(x), int(y)] += int(k)
-    assert total == {(0, 1): 1, (0, 2): 1, (1, 2): 2}
+    for out in cooccur.gram_blocks(iter(batches)):
+        for a, b, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            total[a, b] += n
+    assert total == Counter(p for b in range(30) for p in combinations(range(b % 5), 2))
 
 
 # best representative

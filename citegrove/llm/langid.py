@@ -180,14 +180,35 @@ def _folded(weights: np.ndarray, bias: np.ndarray, idf: np.ndarray) -> Model:
 _SENTENCES = regex.compile(r"(?<=[.!?])\s+")
 
 
-def document_frequencies(texts: DataFrame, column: str) -> tuple[np.ndarray, int]:
-    """Texts that have each n-gram, over all rows, and the number of texts. At most FEATURES numbers reach the driver."""
+#: Rows of a sample: their text's shortest and longest number of characters.
+SAMPLE_CHARS = (100, 4_000)
+
+
+def sample_bound(per_language: int, rows: int) -> int:
+    """The 64-bit hash below which rows of a language are drawn, so that about ``per_language`` of its ``rows`` are, however many there are."""
+    return (1 << 63) - 1 if rows <= per_language else -(1 << 63) + (1 << 64) * per_language // rows
+
+
+def counted_and_drawn(texts: DataFrame, per_language: int) -> tuple[np.ndarray, int, list[tuple[str, str]]]:
+    """Texts that have each n-gram, over all rows; the number of texts; and the labelled sample as (text, label).
+
+    One pass over the texts does both, after one over the labels. About ``per_language`` rows are drawn of each language
+    by a 64-bit hash, of which those of SAMPLE_CHARS characters are used. What reaches the driver is bounded: a row per
+    n-gram and the sample.
+    """
+    labelled = texts.filter(F.col("label").isin(*LANGUAGES)).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()  # reads no text; at most a row per language
+    mixed = F.xxhash64("kind", "id", F.lit("sample"))
+    drawn = F.lit(False)
+    for r in labelled:
+        drawn = F.when(F.col("label") == r.label, mixed <= sample_bound(per_language, r.n)).otherwise(drawn)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(FEATURES, np.int64), 0
         last = np.zeros(SIZES[2], np.int32)
+        names = ["gram", "n", "text", "label"]
         for batch in batches:
-            values = [t for t in batch.column(0).to_pylist() if t]
+            every = batch.column(0).to_pylist()
+            values = [t for t in every if t]
             codes, at = trigrams(values) if values else (np.zeros(0, np.int32), np.zeros(1, np.int64))
             for i in range(len(values)):
                 c = codes[at[i] : at[i + 1]]
@@ -199,34 +220,28 @@ def document_frequencies(texts: DataFrame, column: str) -> tuple[np.ndarray, int
                 seen[STARTS[1] + two] += 1
                 seen[np.unique(two & 0x3F)] += 1
             n += len(values)
+            picked = [(h, t, y) for t, y, h in zip(every, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) if h is not None and t and SAMPLE_CHARS[0] <= len(t) <= SAMPLE_CHARS[1]]
+            if picked:
+                h, t, y = zip(*picked, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.nulls(len(h), pa.int64()), pa.array(t), pa.array(y)], names)
         used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[used, FEATURES]), pa.array(np.r_[seen[used], n])], ["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[used, FEATURES]), pa.array(np.r_[seen[used], n]), pa.nulls(len(used) + 1, pa.string()), pa.nulls(len(used) + 1, pa.string())], names)
 
-    got = texts.select(column).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.select("text", "label", F.when(drawn, F.xxhash64("kind", "id")).alias("h")).mapInArrow(count, "gram long, n long, text string, label string")
+    got = found.groupBy("gram", "text", "label").agg(F.sum("n").alias("n")).toPandas()
+    grams, sample = got[got["text"].isna()], got[got["text"].notna()]
     all_n = np.zeros(FEATURES + 1, np.int64)
-    all_n[got["gram"]] = got["n"]
-    return all_n[:-1], int(all_n[-1])
-
-
-def labelled_sample(texts: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    """Of about ``per_language`` rows whose label names each language, by hash, those of 100 to 4,000 characters: (text, label)."""
-    base = texts.filter(F.col("label").isin(*LANGUAGES))
-    have = {r["label"]: r["count"] for r in base.groupBy("label").count().collect()}  # reads no text; at most a row per language
-    share = F.lit(0)
-    for language, n in have.items():
-        share = F.when(F.col("label") == language, F.lit(int(min(1.0, per_language / n) * 1_000_000))).otherwise(share)
-    picked = base.filter(F.pmod(F.xxhash64("kind", "id", F.lit("sample")), F.lit(1_000_000)) < share).filter(F.length("text").between(100, 4_000)).select("text", "label", F.xxhash64("kind", "id").alias("h"))
-    return [(r.text, r.label) for r in picked.orderBy("h").limit(3 * per_language * len(LANGUAGES)).collect()]
+    all_n[grams["gram"]] = grams["n"]
+    rows = sorted(zip(sample["gram"], sample["text"], sample["label"], strict=True))
+    return all_n[:-1], int(all_n[-1]), [(t, y) for _, t, y in rows]
 
 
 def trained(texts: DataFrame, per_language: int = 1_000) -> Model | None:
     """A model from texts (kind, id, text, label): bounded labelled sample (``per_language``), IDF over all rows. None without labels."""
-    df, n = document_frequencies(texts, "text")
-    idf = np.log((1 + n) / (1 + df)) + 1
-    sample = labelled_sample(texts, per_language)
+    df, n, sample = counted_and_drawn(texts, per_language)
     if not sample:
         return None
-    return train([t for t, _ in sample], [y for _, y in sample], idf)
+    return train([t for t, _ in sample], [y for _, y in sample], np.log((1 + n) / (1 + df)) + 1)
 
 
 #: Confidence under which a paragraph without running sentences gets the main language of its document and has no say in whether that is mixed.

@@ -196,10 +196,22 @@ def test_no_labels_and_no_rows(spark):
 
 
 def test_frequencies_cover_all_texts(spark):
-    df = spark.createDataFrame([("ab ab",), ("AB",), (None,), ("",)], "text string")
-    seen, n = langid.document_frequencies(df, "text")
+    df = spark.createDataFrame([("d", 1, "ab ab", "en"), ("d", 2, "AB", None), ("d", 3, None, "en"), (None, None, "", "fr")], "kind string, id long, text string, label string")
+    seen, n, sample = langid.counted_and_drawn(df, 10)
     a, b = 1 + langid.LETTERS.index("a"), 1 + langid.LETTERS.index("b")
     assert n == 2 and seen[a] == 2 and seen[langid.STARTS[1] + (a << 6 | b)] == 2 and seen[langid.STARTS[2] + (b << 12 | 0 << 6 | a)] == 1
+    assert sample == []  # too short
+
+
+def test_the_sample_keeps_its_size_whatever_the_rows(spark):
+    for rows in (10**3, 10**4, 10**7, 10**9, 10**10, 10**12):
+        share = (langid.sample_bound(1_000, rows) + 2**63) / 2**64
+        assert share * rows == pytest.approx(1_000, rel=1e-6) and share > 0
+    assert langid.sample_bound(1_000, 999) == 2**63 - 1
+    df = spark.range(6_000).selectExpr("'d' kind", "id", "repeat('word ', 30) || id text", "case when id % 3 = 0 then 'en' when id % 3 = 1 then 'fr' end label")
+    _, n, sample = langid.counted_and_drawn(df.repartition(7), 300)
+    assert n == 6_000 and sample == langid.counted_and_drawn(df, 300)[2]
+    assert all(200 < sum(y == x for _, y in sample) < 400 for x in ("en", "fr"))
 
 
 # mixing

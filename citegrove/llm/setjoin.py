@@ -3,7 +3,8 @@
 Records with the same set form a class; classes are joined, then their members. Candidate classes share one of their
 rarest items (a prefix of the set in the order of frequency, which no similar pair can avoid), lie within the length
 and position bounds of the threshold, and have one-bit minhash codes within a Hamming radius that is calibrated to
-the wanted recall; then the sets themselves are compared.
+the wanted recall; then the sets themselves are compared. An item in many prefixes has its list dealt into blocks,
+each two of which meet in a task of their own (see meetings).
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegrove.functions.text import field_values
-from citegrove.plans.tables import cut, salted_join
+from citegrove.plans import tables
+from citegrove.plans.tables import cut, meetings, salted_join
 
 #: Bits of a code, as WORDS 64-bit words.
 WORDS = 4
@@ -101,17 +103,15 @@ def similar_classes(classes: DataFrame, threshold: float, miss: float = MISS) ->
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     names = ["item", "cls", "size", "place", *(f"code{w}" for w in range(WORDS))]
-    posted = lists.mapInArrow(postings, "item long, cls long, size int, place int, " + ", ".join(f"code{w} long" for w in range(WORDS)))
-    a, b = (posted.select("item", *(F.col(c).alias(f"{c}_{s}") for c in names[1:])) for s in "ab")
-    least = threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b"))
-    apart = sum((F.bit_count(F.col(f"code{w}_a").bitwiseXOR(F.col(f"code{w}_b"))) for w in range(WORDS)), F.lit(0))
+    posted = cut(lists.mapInArrow(postings, "item long, cls long, size int, place int, " + ", ".join(f"code{w} long" for w in range(WORDS))), "postings")
+    least = threshold / (1 + threshold) * (F.col("a.size") + F.col("b.size"))
+    apart = sum((F.bit_count(F.col(f"a.code{w}").bitwiseXOR(F.col(f"b.code{w}"))) for w in range(WORDS)), F.lit(0))
     near = (
-        (F.col("cls_a") < F.col("cls_b"))
-        & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9)
-        & (1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1 >= least - 1e-9)
+        (F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size") - 1e-9)
+        & (F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) >= least - 1e-9)
         & (apart <= radius(threshold, miss=miss))
     )
-    found = cut(a.join(b, "item").filter(near).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct(), "near")
+    found = cut(meetings(posted, ["item"], "cls").filter(near).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct(), "near")
     sets = classes.select("cls", "items")
     both = found.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b")), "b")
     common = F.size(F.array_intersect("items_a", "items_b"))
@@ -153,13 +153,21 @@ class SetJoin:
         """(rec_a, rec_b), rec_a < rec_b: every similar pair of rows, expanded from pairs of classes.
 
         Its size is that of the result; where many rows are equal, ``links`` or ``class_pairs`` say the same in less.
+        Classes are dealt into blocks of PAIR_ROWS rows, so that no task expands more than one pair of blocks at a time.
         """
-        members = cut(self.members(), "members")
+        blocks = F.ceil(F.col("rows") / tables.PAIR_ROWS).cast("int")
+        members = salted_join(self._rows.select("id", "k1", "k2"), self.classes.select("k1", "k2", "cls", "rows"), ["k1", "k2"], "rows")
+        members = cut(members.select("id", "cls", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")), "members")
+        count = self.classes.select("cls", blocks.alias("n"))
         within = self.classes.filter("rows > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
         both = self.class_pairs().unionByName(within)
-        one = members.select(F.col("id").alias("x"), F.col("cls").alias("a"))
-        two = members.select(F.col("id").alias("y"), F.col("cls").alias("b"))
-        pairs = both.join(one, "a").join(two, "b").filter(F.when(F.col("a") == F.col("b"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
+        both = both.join(count.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(count.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
+        both = both.select("a", "b", "nb", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"))
+        both = both.select("a", "b", "i", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(F.lit(0)), F.col("nb") - 1)).alias("j"))
+        one = members.select(F.col("id").alias("x"), F.col("cls").alias("a"), F.col("block").alias("i"))
+        two = members.select(F.col("id").alias("y"), F.col("cls").alias("b"), F.col("block").alias("j"))
+        once = (F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))
+        pairs = both.join(one, ["a", "i"]).join(two, ["b", "j"]).filter(F.when(once, F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
         return pairs.select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b"))
 
 

@@ -12,12 +12,14 @@ from citegrove.llm.labels import LANGUAGES, label_code
 from citegrove.llm.tokens import token_counts
 from citegrove.plans.tables import cut
 
-#: Topics of documents; any other kind counts as "other", so that the number of cells is bounded.
-TOPICS = ("abstract", "note", "report", "full", "huge", "blob")
+#: Topics: the most frequent kinds of the documents; any other kind, and none, counts as "other", so that the number of cells is bounded.
+TOPICS = 20
 #: Documents of a source that one task orders, about.
 BLOCK_ROWS = 20_000
 #: Starting points of the systematic sample that are tried.
 PHASES = 64
+#: Most changes by one document with which a source is then brought nearer to its tokens.
+CHANGES = 12
 
 
 def source_key(c: Column | str) -> Column:
@@ -68,21 +70,25 @@ def rake(cells: list[tuple[str, str, str, float]], goals: dict[str, float], repe
     if not total:
         return [0.0] * len(cells)
 
-    def margin(k: int, shares: dict[str, float] | None) -> list[tuple[np.ndarray, float]]:
-        groups = {v: np.array([c[k] == v for c in cells]) for v in dict.fromkeys(c[k] for c in cells)}
-        return [(at, total * (mass[at].sum() / mass.sum() if shares is None else shares.get(v, 0.0))) for v, at in groups.items()]
+    def margin(k: int, shares: dict[str, float] | None) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each cell's value of the margin, and the goal of each value."""
+        values = sorted({c[k] for c in cells})
+        at = np.searchsorted(values, [c[k] for c in cells])
+        have = np.bincount(at, mass, len(values))
+        return at, total * (have / mass.sum() if shares is None else np.array([shares.get(v, 0.0) for v in values]))
 
-    source = [(np.array([c[0] == s for c in cells]), goal, repeats[s]) for s, goal in goals.items()]
     soft = [margin(1, languages), margin(2, topics)]
+    by_source: dict[str, list[int]] = {}
+    for i, c in enumerate(cells):
+        by_source.setdefault(c[0], []).append(i)
+    source = [(np.array(by_source[s]), goal, repeats[s]) for s, goal in goals.items() if s in by_source]
     for _ in range(rounds):
         before = weight.copy()
-        for groups in soft:
-            for at, goal in groups:
-                if (have := (mass[at] * weight[at]).sum()) > 0:
-                    weight[at] *= goal / have
+        for at, goal in soft:
+            have = np.bincount(at, mass * weight, len(goal))
+            weight *= np.where(have > 0, goal / np.where(have > 0, have, 1), 1)[at]
         for at, goal, cap in source:
-            if at.any():
-                weight[at] = _capped(mass[at], np.maximum(weight[at], 1e-9), np.full(at.sum(), float(cap)), goal)
+            weight[at] = _capped(mass[at], np.maximum(weight[at], 1e-9), np.full(len(at), float(cap)), goal)
         if np.abs(weight - before).max() < 1e-9:
             break
     return weight.tolist()
@@ -95,17 +101,18 @@ class Mix:
     with their tokens (0 for null and empty). Documents whose source has no target, or is null, are not in the mix.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, languages: dict[str, float] | None = None, topics: dict[str, float] | None = None, path: str | None = None) -> None:
-        rows = targets.select(source_key("source").alias("source"), "target_share", "max_repeats").dropna().limit(1_001).collect()
-        if len(rows) > 1_000:
-            raise ValueError("over 1,000 target sources")
+    def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, languages: dict[str, float] | None = None, topics: dict[str, float] | None = None, path: str | None = None, kinds: int = TOPICS) -> None:
+        named = targets.select(source_key("source").alias("source"), "target_share", "max_repeats").dropna()
+        named = named.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
         self.spark = documents.sparkSession
-        self.targets = {r.source: (r.target_share, r.max_repeats) for r in rows}
-        topic = F.coalesce(*(F.when(F.col("kind") == t, F.lit(t)) for t in TOPICS), F.lit("other"))
-        base = documents.select("doc_id", source_key("source").alias("source"), F.coalesce(label_code("lang"), F.lit("none")).alias("language"), topic.alias("topic"), "text")
-        base = base.filter(F.col("source").isin(list(self.targets)))
-        self.sized = cut(token_counts(base, ["doc_id", "source", "language", "topic"], path), "sized")
-        # at most 1,000 sources x 9 languages x 7 topics
+        self.targets = {r.source: (r.target_share, r.max_repeats) for r in named.orderBy("source").collect()}  # a setting, which is read whole
+        base = documents.select("doc_id", source_key("source").alias("source"), F.coalesce(label_code("lang"), F.lit("none")).alias("language"), "kind", "text")
+        base = base.join(F.broadcast(named.select("source")), "source", "left_semi").select("doc_id", "source", "language", "kind", "text")
+        sized = cut(token_counts(base, ["doc_id", "source", "language", "kind"], path), "sized")
+        often = sized.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).filter("kind is not null").orderBy(F.desc("n"), "kind").limit(kinds).collect()
+        topic = F.when(F.col("kind").isin([r.kind for r in often]), F.col("kind")).otherwise(F.lit("other"))
+        self.sized = sized.select("doc_id", "source", "language", topic.alias("topic"), "n_tokens")
+        # at most the target sources x 9 languages x (kinds + 1) topics
         cells = self.sized.groupBy("source", "language", "topic").agg(F.sum("n_tokens").alias("mass"), F.count(F.lit(1)).alias("n")).orderBy("source", "language", "topic").collect()
         mass: dict[str, float] = {}
         for c in cells:
@@ -139,13 +146,48 @@ class Mix:
         sums = self._running().groupBy("source").agg(*(F.sum(self._uses(F.lit(u)) * F.col("n_tokens")).alias(f"_{k}") for k, u in enumerate(every)))
         return {r["source"]: min(range(PHASES), key=lambda k: (abs(r[f"_{k}"] - self.goals[r["source"]]), k)) for r in sums.collect()}  # a row per target source
 
+    def _sampled(self) -> DataFrame:
+        """Systematic sampling with the calibrated weights: the running sum of expected uses is rounded."""
+        phases = self.spark.createDataFrame([(s, (k + 0.5) / PHASES) for s, k in self._phases().items()], "source string, _phase double")
+        at = F.coalesce("_phase", F.lit(0.5))
+        return self._running().join(F.broadcast(phases), "source", "left").select("doc_id", "source", "language", "topic", "n_tokens", self._uses(at).cast("int").alias("uses"))
+
     @property
     def usage(self) -> DataFrame:
-        """Systematic sampling with the calibrated weights: the running sum of expected uses is rounded."""
-        phase = F.lit(0.5)
-        for source, k in self._phases().items():
-            phase = F.when(F.col("source") == source, F.lit((k + 0.5) / PHASES)).otherwise(phase)
-        return self._running().select("doc_id", "source", "language", "topic", "n_tokens", self._uses(phase).cast("int").alias("uses"))
+        """The systematic sample, each source of which is then brought nearer to its tokens by single documents.
+
+        In each of at most CHANGES rounds every source gains or loses one use of the document that leaves it nearest to
+        its goal, within its repeats, as long as it comes nearer. A round reads sizes only, and gives a row per source.
+        """
+        sample = cut(self._sampled(), "sample")
+        left = {r.source: self.goals[r.source] - r.got for r in sample.groupBy("source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("got")).collect()}  # a row per target source
+        changed: dict[tuple[str, int], int] = {}
+        open_ = dict(left)
+        for _ in range(CHANGES):
+            if not open_:
+                break
+            goals = self.spark.createDataFrame([(s, float(r), int(self.targets[s][1])) for s, r in open_.items()], "source string, _left double, _most int")
+            now = self._with(sample, changed).join(F.broadcast(goals), "source").filter("n_tokens > 0")
+            ways = F.array(
+                F.when(F.col("uses") < F.col("_most"), F.struct(F.abs(F.col("_left") - F.col("n_tokens")).alias("off"), "doc_id", F.lit(1).alias("change"), "n_tokens")),
+                F.when(F.col("uses") > 0, F.struct(F.abs(F.col("_left") + F.col("n_tokens")).alias("off"), "doc_id", F.lit(-1).alias("change"), "n_tokens")),
+            )
+            best = now.filter("doc_id is not null").select("source", "_left", F.explode(ways).alias("w")).filter("w is not null and w.off < abs(_left)").groupBy("source").agg(F.min("w").alias("w")).collect()
+            open_ = {}
+            for r in best:
+                key = (r.source, r.w.doc_id)
+                changed[key] = changed.get(key, 0) + r.w.change
+                left[r.source] -= r.w.change * r.w.n_tokens
+                if abs(left[r.source]) > 1e-4 * self.goals[r.source]:
+                    open_[r.source] = left[r.source]
+        return self._with(sample, changed)
+
+    def _with(self, sample: DataFrame, changed: dict[tuple[str, int], int]) -> DataFrame:
+        if not changed:
+            return sample
+        rows = self.spark.createDataFrame([(s, d, c) for (s, d), c in changed.items()], "source string, doc_id long, _change int")  # at most CHANGES a source
+        uses = (F.col("uses") + F.coalesce("_change", F.lit(0))).cast("int").alias("uses")
+        return sample.join(F.broadcast(rows), ["source", "doc_id"], "left").select("doc_id", "source", "language", "topic", "n_tokens", uses)
 
     @property
     def shares(self) -> DataFrame:

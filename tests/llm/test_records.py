@@ -94,6 +94,12 @@ def test_survivors(make_records):
     assert survivors.surviving_rows(empty(make_records)).count() == 0
 
 
+def test_a_row_numbered_zero_lends_nothing(make_records):
+    r = make_records({"rec_id": 0, "doi": "10.1/z", "abstract": "of another work", "citations": 9}, *({"rec_id": i, "doi": "10.1/a", "title": f"t{i}"} for i in (1, 2)), *({"rec_id": i, "doi": "10.1/c", "abstract": "one <b>two</b>" if i == 4 else None} for i in (3, 4)))
+    got = {x.doi_name: (x.keep_id, x.title, x.abstract, x.citations) for x in survivors.merged_records(r).collect()}
+    assert got == {"10.1/a": (1, "t1", "", 0), "10.1/c": (3, None, "one two", 0)}
+
+
 def test_hot_group_keeps_few_rows_before_the_shuffle(make_records):
     plan = survivors.surviving_rows(make_records({"doi": "10.1/a"}, {"doi": "10.1/a"}))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
@@ -242,9 +248,10 @@ def some_sets(seed):
     return sets | {900: None, 901: [], 902: [f"hot{k % 3}" for k in range(9)]}
 
 
-@pytest.mark.parametrize("threshold,ranked", [(0.6, 200_000), (0.8, 200_000), (0.6, 2)])
-def test_similar_pairs_against_brute_force(spark, monkeypatch, threshold, ranked):
+@pytest.mark.parametrize("threshold,ranked,paired", [(0.6, 200_000, 20_000), (0.8, 200_000, 20_000), (0.6, 2, 5)])
+def test_similar_pairs_against_brute_force(spark, monkeypatch, threshold, ranked, paired):
     monkeypatch.setattr(setjoin, "RANKED", ranked)
+    monkeypatch.setattr(tables, "PAIR_ROWS", paired)
     sets = some_sets(4)
     df = spark.createDataFrame([(i, v, 0) for i, v in sets.items()] + [(None, ["a", "b", "c", "d", "e"], 0)], "id long, values array<string>, cls int")
     join = setjoin.SetJoin(df, threshold, 5)
@@ -265,6 +272,13 @@ def test_class_form_of_many_copies(spark):
     assert setjoin.SetJoin(df.limit(0)).pairs().count() == 0
 
 
+def test_large_classes_are_expanded_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(tables, "PAIR_ROWS", 10)
+    df = spark.createDataFrame([(i, ["a", "b", "c", "d", "e"]) for i in range(45)] + [(100 + i, ["a", "b", "c", "d", "f"]) for i in range(23)], "id long, values array<string>")
+    got = [tuple(r) for r in setjoin.SetJoin(df, 0.6, 5).pairs().collect()]
+    assert sorted(got) == sorted(combinations([*range(45), *range(100, 123)], 2))
+
+
 def test_radius_is_calibrated():
     rng = np.random.default_rng(0)
     r, missed = setjoin.radius(0.6), 0

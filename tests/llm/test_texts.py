@@ -128,9 +128,14 @@ def test_split_table(spark):
     assert pieces.split_documents(df, []).count() == 0 and pieces.split_documents(df.limit(0), limits).count() == 0
 
 
-def test_impossible_limits(encoder):
-    with pytest.raises(ValueError):
-        pieces.text_pieces(pieces.Text("a b c", encoder), 10, 8)
+def test_limits_without_room_for_their_overlap(spark, encoder):
+    text = SENTENCES["en"] + " 日本語の地図 😀"
+    for most, overlap in ((10, 8), (10, 10), (10, 400), (5, 1), (4, 3), (1, 1)):
+        found = pieces.text_pieces(pieces.Text(text, encoder), most, overlap)
+        assert all(n <= most for _, n, _, _, piece in found if len(piece) > 2) and found[-1][-1] and text.endswith(found[-1][-1])
+        assert most < 8 or all(k > 0 for _, _, k, _, _ in found[1:])  # as long as there is room, or all of a shorter piece before
+    limits = pieces.limits_of(spark.createDataFrame([("a", 10, 9), ("b", 0, 1), ("c", 30, -2)] + [(f"n{i:04d}", 40, 1) for i in range(1_200)], "profile string, max_tokens int, overlap_tokens int"))
+    assert limits[:2] == [("a", 10, 9), ("c", 30, 0)] and len(limits) == 1_202
 
 
 # languages
@@ -254,6 +259,25 @@ def test_larger_mix_repeats_small_sources_to_their_cap(spark):
     assert mixing.Mix(df, targets.limit(0)).usage.count() == 0
 
 
+def test_sources_of_few_documents_come_near_their_share(spark):
+    rng = random.Random(3)
+    sizes = [rng.randint(1, 9) for _ in range(40)] + [400]
+    texts = ["one two three four five. " * n for n in sizes] + ["one two three four five. " * 8] * 300
+    sources = ["few"] * 41 + ["many"] * 300
+    targets = spark.createDataFrame([("few", 0.02, 1), (" FEW", 0.02, 2), ("many", 0.96, 1)], "source string, target_share double, max_repeats int")
+    mix = mixing.Mix(docs(spark, *texts, source=sources), targets)
+    shares = {r.source: r for r in mix.shares.collect()}
+    assert shares["few"].target_share == pytest.approx(0.04) and shares["few"].max_repeats == 2 and shares["few"].most_uses <= 2
+    assert abs(shares["few"].reached_share - 0.04) < 0.001
+
+
+def test_many_sources_and_kinds(spark):
+    df = spark.range(3_000).selectExpr("id doc_id", "'a b c ' || id text", "'en' lang", "'s' || (id % 1500) source", "case when id % 3 = 0 then 'k' || id when id % 3 = 1 then 'often' end kind")
+    targets = spark.range(1_500).selectExpr("'S' || id source", "1 / 1500d target_share", "1 max_repeats")
+    mix = mixing.Mix(df, targets)
+    assert mix.usage.count() == 3_000 and len({r.topic for r in mix.usage.collect()}) == mixing.TOPICS + 1
+
+
 def test_raking_meets_all_margins_where_it_can():
     cells = [(s, g, "t", m) for s, g, m in (("a", "x", 100.0), ("a", "y", 300.0), ("b", "x", 200.0), ("b", "y", 100.0))]
     w = mixing.rake(cells, {"a": 100.0, "b": 100.0}, {"a": 1, "b": 1}, {"x": 0.5, "y": 0.5})

@@ -128,7 +128,7 @@ class SetJoin:
     def __init__(self, sets: DataFrame, threshold: float = 0.6, least: int = 5, miss: float = MISS) -> None:
         items = F.array_sort(F.transform(F.array_distinct("values"), lambda x: F.xxhash64(x)))
         rows = sets.filter("id is not null").select("id", items.alias("items")).filter(F.size("items") >= least)
-        rows = rows.select("id", "items", F.xxhash64(F.lit("s1"), "items").alias("k1"), F.xxhash64(F.lit("s2"), "items").alias("k2"))
+        rows = cut(rows.select("id", "items", F.xxhash64(F.lit("s1"), "items").alias("k1"), F.xxhash64(F.lit("s2"), "items").alias("k2")), "sets")  # sets are read once
         groups = rows.groupBy("k1", "k2").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("rows"), F.any_value("items").alias("items"))
         self.classes = cut(groups, "classes")
         self._rows, self._threshold, self._miss = rows, threshold, miss

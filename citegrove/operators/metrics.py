@@ -87,6 +87,13 @@ def bradford(c: DataFrame) -> DataFrame:
     return r.crossJoin(F.broadcast(e2)).withColumn("zone", zone).groupBy("zone").agg(F.count(F.lit(1)).alias("sources"), F.max("upto").cast("long").alias("articles"))
 
 
+def single_paper_share(c: DataFrame) -> DataFrame:
+    """One row: authors, those of a single paper, and their share (null without authors)."""
+    n = items(c, "authors").groupBy("item").agg(F.count(F.lit(1)).alias("papers"))
+    one = n.agg(F.count(F.lit(1)).alias("authors"), F.count_if(F.col("papers") == 1).alias("single"))
+    return one.withColumn("share", F.when(F.col("authors") > 0, F.round(F.col("single") / F.col("authors"), 6)))
+
+
 def lotka(c: DataFrame, most: int = 8) -> DataFrame:
     """(papers, authors, expected) of the first ``most`` numbers of papers; expected is round(n1 / k^2)."""
     each = items(c, "authors").groupBy("item").agg(F.count(F.lit(1)).alias("papers")).groupBy("papers").agg(F.count(F.lit(1)).alias("authors"))
@@ -99,9 +106,14 @@ def last_year(c: DataFrame) -> DataFrame:
     return c.agg(F.max("year").alias("_last"))
 
 
-def rising(terms: DataFrame, c: DataFrame, k: int = 15) -> DataFrame:
-    """(term, recent, early, ratio): the k terms that grew most; recent is the last three years, early the five before."""
-    t = terms.filter("year > 0").crossJoin(F.broadcast(last_year(c)))  # one row
+def rising(terms: DataFrame, c: DataFrame, k: int = 15, last: int | None = None) -> DataFrame:
+    """(term, recent, early, ratio): the k terms that grew most; recent is the last three years, early the five before.
+
+    ``last`` is the last year, by default that of the corpus; terms of later years then take no part, as an absurd year
+    in one record would leave no recent ones.
+    """
+    t = terms.filter("year > 0")
+    t = t.crossJoin(F.broadcast(last_year(c))) if last is None else t.filter(F.col("year") <= last).withColumn("_last", F.lit(last))  # one row
     recent, early = F.col("year") >= F.col("_last") - 2, (F.col("year") >= F.col("_last") - 7) & (F.col("year") <= F.col("_last") - 3)
     n = t.groupBy("term").agg(F.count_if(recent).alias("recent"), F.count_if(early).alias("early")).filter("recent >= 2")
     return n.withColumn("ratio", F.round(F.col("recent") / (F.col("early") + 0.5), 6)).orderBy(F.desc("ratio"), "term").limit(k)
@@ -118,17 +130,20 @@ def bursts(terms: DataFrame, c: DataFrame, z: float = 1.645, least: int = 4) ->
     """(term, start, end, strength): runs of years in which a term's share of papers is over ``z`` deviations from its mean.
 
     Shares are per thousand papers over every year of the corpus (a year without papers divides by 1); the deviation is
-    that of the population; terms of fewer than ``least`` occurrences, or without deviation, have no bursts.
+    that of the population; terms of fewer than ``least`` occurrences, or without deviation, have no bursts. Years
+    without the term add nothing to the sums that mean and deviation follow from and are never bursts, so only the years
+    that a term occurs in are looked at.
     """
-    known = terms.filter("year > 0")
-    often = known.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("term")
-    per_year = known.join(often, "term", "left_semi").groupBy("term", "year").agg(F.count(F.lit(1)).alias("n"))
-    grid = often.crossJoin(F.broadcast(_calendar(c)))  # a row per year of the calendar
-    f = F.coalesce("n", F.lit(0)) * 1000.0 / F.greatest("pubs", F.lit(1))
+    known = terms.filter("year > 0").groupBy("term", "year").agg(F.count(F.lit(1)).alias("n"))
+    pubs = yearly(c)
+    span = pubs.agg((F.max("year") - F.min("year") + 1).alias("years"))  # one row
+    f = F.col("n") * 1000.0 / F.col("pubs")
+    per_year = known.join(F.broadcast(pubs.withColumnRenamed("n", "pubs")), "year").select("term", "year", "n", f.alias("f"))  # a row per year
     w = Window.partitionBy("term")
-    d = grid.join(per_year, ["term", "year"], "left").select("term", "year", F.coalesce("n", F.lit(0)).alias("n"), f.alias("f"))
-    d = d.withColumn("mean", F.avg("f").over(w)).withColumn("sd", F.stddev_pop("f").over(w)).filter("sd > 0")
-    hot = d.withColumn("score", (F.col("f") - F.col("mean")) / F.col("sd")).filter((F.col("score") > z) & (F.col("n") >= 1))
+    d = per_year.withColumn("occurrences", F.sum("n").over(w)).withColumn("s", F.sum("f").over(w)).withColumn("s2", F.sum(F.col("f") * F.col("f")).over(w)).filter(F.col("occurrences") >= least)
+    mean = F.col("s") / F.col("years")
+    d = d.crossJoin(F.broadcast(span)).withColumn("mean", mean).withColumn("var", F.col("s2") / F.col("years") - mean * mean)
+    hot = d.filter(F.col("var") > 1e-9 * F.col("mean") * F.col("mean")).withColumn("score", (F.col("f") - F.col("mean")) / F.sqrt("var")).filter(F.col("score") > z)
     hot = hot.withColumn("island", F.col("year") - F.row_number().over(w.orderBy("year")))
     return hot.groupBy("term", "island").agg(F.min("year").alias("start"), F.max("year").alias("end"), F.round(F.sum("score"), 4).alias("strength")).drop("island")
 
@@ -223,8 +238,15 @@ def facet_counts(c: DataFrame, columns: tuple[str, ...] = ("language", "year", "
     return n.withColumn("r", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))).filter(F.col("r") <= k).drop("r")
 
 
-def facet_filter(c: DataFrame, since: int | None = None, until: int | None = None, open_access: bool = False, language: str | None = None, without_sources: list[str] | None = None) -> DataFrame:
-    """Records by year range (inclusive), open access, language, and not from the given sources."""
+def facet_filter(c: DataFrame, since: int | None = None, until: int | None = None, open_access: bool = False, language: str | None = None, without_sources: list[str] | None = None, kind: str | None = None, checked_sources: list[str] | None = None) -> DataFrame:
+    """Records by year range (inclusive), open access, language, type (column ``kind``), and not from the given sources.
+
+    With ``checked_sources``, those of the ten most frequent sources that are not among them are left out; sources
+    beyond the ten pass, as a list of ten boxes leaves them alone.
+    """
+    if checked_sources is not None:
+        top = top_items(c.filter("source <> ''"), "source", "whole", k=10).filter(~F.col("item").isin(checked_sources)).select(F.col("item").alias("source"))
+        c = c.join(F.broadcast(top), "source", "left_anti")  # ten rows at most
     if since is not None:
         c = c.filter(F.col("year") >= since)
     if until is not None:
@@ -233,9 +255,29 @@ def facet_filter(c: DataFrame, since: int | None = None, until: int | None = Non
         c = c.filter("is_oa")
     if language is not None:
         c = c.filter(F.col("language") == language)
+    if kind is not None:
+        c = c.filter(F.lower("kind") == kind.lower())
     return c.filter(~F.col("source").isin(without_sources)) if without_sources else c
 
 
+def with_titles(c: DataFrame) -> DataFrame:
+    """Records without those that have no title (null, empty or blank)."""
+    return c.filter(F.trim(F.coalesce("title", F.lit(""))) != "")
+
+
+def page(df: DataFrame, order: list[Column], number: int, size: int = 25) -> DataFrame:
+    """The rows of one page, numbered from 1, of df in an order; a report."""
+    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def sorted_by(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """df in the order of a column as tables show it: numbers by value and before texts, a dash as -1, texts without regard to case."""
+    shown = F.col(column).cast("string")
+    value = F.when(shown == "—", F.lit(-1.0)).otherwise(shown.try_cast("double"))
+    keys = [value.isNull(), value, F.lower(shown)]
+    return df.orderBy(*(k.desc() if descending else k.asc() for k in keys))
+
+
 def precision_at(c: DataFrame, groups: list[list[str]], k: int = 10) -> DataFrame:
     """One row: of the k most cited records, the share whose title or abstract has a synonym of every group."""
     head = c.orderBy(F.desc("citations"), "rec_id").limit(k)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from citegrove.functions.text import first_surname, normalised_doi, year_of
 from citegrove.operators.corpus import counts, items, relevance
-from citegrove.plans.tables import salted_join
+from citegrove.plans.tables import cut, fits, lookup_join, meetings, salted_join
 
 
 def pair_weights(docs: DataFrame, value: str = "item", counting: str = "full", dedup: bool = True) -> DataFrame:
@@ -26,6 +26,11 @@ def pair_weights(docs: DataFrame, value: str = "item", counting: str = "full", d
     return each.groupBy("src", "dst").agg((F.round(F.sum("share"), 4) if counting == "fractional" else F.sum("share")).alias("weight"))
 
 
+def among(docs: DataFrame, value: str, allowed: DataFrame, weight: str) -> DataFrame:
+    """Rows of docs whose value is one of ``allowed`` (value, weight = rows that have it): broadcast while they are few, hot values salted beyond."""
+    return lookup_join(docs, cut(allowed.select(value, weight), "allowed"), [value], weight).drop(weight)
+
+
 def term_nodes(terms: DataFrame, min_occurrence: int = 1, max_nodes: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(term, occurrences, doc_freq, relevance) of the valid terms: enough occurrences, allowed, then the most relevant."""
     nodes = relevance(counts(terms), terms).filter(F.col("occurrences") >= min_occurrence)
@@ -38,7 +43,7 @@ def term_nodes(terms: DataFrame, min_occurrence: int = 1, max_nodes: int | None
 
 def cooccurrence(terms: DataFrame, nodes: DataFrame, counting: str = "full") -> DataFrame:
     """Edges between valid terms of the same document."""
-    return pair_weights(terms.join(nodes.select("term"), "term", "left_semi").select("rec_id", F.col("term").alias("item")), counting=counting)
+    return pair_weights(among(terms, "term", nodes, "occurrences").select("rec_id", F.col("term").alias("item")), counting=counting)
 
 
 def association_strength(edges: DataFrame, terms: DataFrame) -> DataFrame:
@@ -56,7 +61,7 @@ def valued_edges(c: DataFrame, field: str, sep: str, min_count: int, counting: s
     if map_item is not None:
         each = each.withColumn("item", map_item)
     nodes = each.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
-    return nodes, pair_weights(each.join(nodes.select("item"), "item", "left_semi"), counting=counting, dedup=dedup)
+    return nodes, pair_weights(among(each, "item", nodes, "n"), counting=counting, dedup=dedup)
 
 
 def coauthorship(c: DataFrame, min_publications: int = 1, counting: str = "full", dedup: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -65,9 +70,10 @@ def coauthorship(c: DataFrame, min_publications: int = 1, counting: str = "full"
 
 def cocitation(c: DataFrame, least: int = 2) -> DataFrame:
     """References cited together by at least ``least`` records. Both must then be cited that often, so others are left out first."""
-    refs = items(c, "refs", "semicolon")
-    usable = refs.groupBy("item").agg(F.countDistinct("rec_id").alias("n")).filter(F.col("n") >= least)
-    return pair_weights(refs.join(usable.select("item"), "item", "left_semi")).filter(F.col("weight") >= least)
+    refs = items(c, "refs", "semicolon", keep=("rec_id",)).select("rec_id", "item")
+    once = refs.groupBy("item", "rec_id").agg(F.count(F.lit(1)).alias("rows"))
+    usable = once.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).filter(F.col("n") >= least)
+    return pair_weights(among(refs, "item", usable, "rows")).filter(F.col("weight") >= least)
 
 
 def patent_classes(c: DataFrame, min_count: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -80,16 +86,16 @@ def coupling(c: DataFrame, least: int = 2) -> DataFrame:
 
     Two such records share one even after each has lost its least - 1 most cited references, so candidates are joined
     on the rest only: the references that a large part of all records cites almost never meet each other. The shared
-    number is then counted on the whole sets. The reference's citation count salts what is still hot.
+    number is then counted on the whole sets. The list of a reference that is still hot is dealt into blocks that meet
+    pairwise (see meetings).
     """
     refs = items(c, "refs", "semicolon", keep=("rec_id",)).select("rec_id", "item").distinct()
-    cited = refs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    counted = salted_join(refs, cited, ["item"], "n")
+    cited = cut(refs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "cited")
+    counted = cut(lookup_join(refs, cited, ["item"], "n"), "counted")
     order = Window.partitionBy("rec_id").orderBy(F.desc("n"), "item")
-    rest = counted.withColumn("k", F.row_number().over(order)).filter(F.col("k") >= least)
-    a, b = rest.select("item", F.col("rec_id").alias("src")), rest.select("item", F.col("rec_id").alias("dst"))
-    found = a.join(b, "item").filter("src < dst").select("src", "dst").distinct()
-    sets = counted.groupBy("rec_id").agg(F.collect_set("item").alias("set"))
+    rest = cut(counted.withColumn("k", F.row_number().over(order)).filter(F.col("k") >= least).select("item", "rec_id"), "rest")
+    found = meetings(rest, ["item"], "rec_id").select(F.col("a.rec_id").alias("src"), F.col("b.rec_id").alias("dst")).distinct()
+    sets = cut(counted.groupBy("rec_id").agg(F.collect_set("item").alias("set")), "sets")
     both = found.join(sets.select(F.col("rec_id").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("rec_id").alias("dst"), F.col("set").alias("b")), "dst")
     return both.select("src", "dst", F.size(F.array_intersect("a", "b")).cast("long").alias("weight")).filter(F.col("weight") >= least)
 
@@ -111,12 +117,16 @@ def direct_citations(c: DataFrame) -> DataFrame:
     by_doi = mine.filter("d <> ''").groupBy("d").agg(F.max("rec_id").alias("by_doi"))
     by_name = mine.filter("surname <> '' and year > 0").groupBy("surname", "year").agg(F.max("rec_id").alias("by_name"))
     refs = items(c, "refs", "semicolon", keep=("rec_id",)).select("rec_id", "item")
+    # repeated references are read once; what they name is then joined back, hot ones salted
+    each = cut(refs.groupBy("item").agg(F.count(F.lit(1)).alias("rows")), "references")
     word = F.lower(F.regexp_extract("item", r"^([^\s,;]+)", 1))
-    refs = refs.select("rec_id", normalised_doi("item").alias("d"), word.alias("surname"), year_of("item").alias("year"))
-    found = refs.join(by_doi, "d", "left").join(by_name, ["surname", "year"], "left")
+    named = each.select("item", "rows", normalised_doi("item").alias("d"), word.alias("surname"), year_of("item").alias("year"))
+    named = named.withColumn("d", F.when(F.col("d") != "", F.col("d"))).withColumn("surname", F.when((F.col("surname") != "") & (F.col("year") > 0), F.col("surname")))
+    found = named.join(by_doi, "d", "left").join(by_name, ["surname", "year"], "left")
     how = F.when(F.col("by_doi").isNotNull(), F.lit("doi")).otherwise(F.lit("author_year"))
-    out = found.select(F.col("rec_id").alias("src"), F.coalesce("by_doi", "by_name").alias("dst"), how.alias("how"))
-    return out.filter("dst is not null and src <> dst").distinct()
+    found = cut(found.select("item", "rows", F.coalesce("by_doi", "by_name").alias("dst"), how.alias("how")).filter("dst is not null"), "named")
+    out = lookup_join(refs, found, ["item"], "rows").select(F.col("rec_id").alias("src"), "dst", "how")
+    return out.filter("src <> dst").distinct()
 
 
 def bipartite(c: DataFrame, least: int = 1) -> DataFrame:
@@ -148,26 +158,68 @@ def historiograph(c: DataFrame, top: int = 25) -> tuple[DataFrame, DataFrame]:
 def overlay(c: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, matched, papers, year_mean, citations_mean, citations_sum) of network nodes.
 
-    A label matches records by keyword, else by author, else by a title that contains it; year 0 is left out of the
-    mean year. Titles are searched only for labels of three characters or more that the first two stages leave over.
+    A label matches records by keyword, else by author, else by a title that contains it, else by the year and author it
+    names, as labels of papers do ("Silva, J (2019)"): records of that year whose authors contain the label without its
+    digits and the marks around; a label of digits alone names none. Year 0 is left out of the mean year. Each stage
+    looks only for the labels that the ones before leave over, and none where there are none.
     """
-    keys = labels.select("label", F.lower("label").alias("k")).distinct()
+    keys = cut(labels.select("label", F.lower("label").alias("k")).distinct(), "labels")
     num = ["rec_id", "year", "citations"]
-    kw = items(c, "keywords", lower=True).select(F.col("item").alias("k"), *num).distinct()
-    one = keys.join(kw, "k").select("label", *num, F.lit("keyword").alias("matched"))
-    rest = keys.join(one.select("label").distinct(), "label", "left_anti")
-    au = items(c.withColumn("authors", F.lower("authors")), "authors").select(F.col("item").alias("k"), *num).distinct()
-    two = rest.join(au, "k").select("label", *num, F.lit("author").alias("matched"))
-    rest = rest.join(two.select("label").distinct(), "label", "left_anti").filter("k <> ''")
-    # a title that contains a label has the label's first three characters
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substr(F.col("t"), i, F.lit(3))))
-    titles = c.select(*num, F.lower("title").alias("t")).filter(F.length("t") > 2).select(*num, "t", F.explode(grams).alias("gram"))
-    three = rest.filter(F.length("k") > 2).withColumn("gram", F.substring("k", 1, 3)).join(titles, "gram").filter(F.contains("t", "k")).select("label", *num, F.lit("title").alias("matched"))
-    both = one.unionByName(two).unionByName(three)
-    return both.groupBy("label", "matched").agg(
+
+    def met_by(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Rows (k, num...) of the wanted labels; ``wanted`` is broadcast while it is small, hot keys are salted beyond."""
+        if fits(wanted):
+            return rows.join(F.broadcast(wanted), "k")
+        often = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
+        weighed = cut(wanted.groupBy("k").agg(F.collect_list("label").alias("_l")).join(often, "k"), "weighed")  # labels that differ in case alone
+        return salted_join(rows, weighed, ["k"], "_n").withColumn("label", F.explode("_l"))
+
+    kw = items(c, "keywords", lower=True).select(F.col("item").alias("k"), *num)
+    found = cut(met_by(kw, keys).select("label", *num, F.lit("keyword").alias("matched")).distinct(), "matched")
+    rest = cut(keys.join(found.select("label").distinct(), "label", "left_anti").filter("k <> ''"), "rest")
+    for name in ("author", "title", "author_year"):
+        if rest.isEmpty():
+            break
+        if name == "author":
+            more = met_by(items(c.withColumn("authors", F.lower("authors")), "authors").select(F.col("item").alias("k"), *num), rest)
+        elif name == "title":
+            more = _containing(c.select(*num, F.lower("title").alias("t")), rest.select("label", "k"), [])
+        else:
+            bare = F.regexp_replace(F.regexp_replace("k", r"[0-9]+", ""), r"^[() ,]+|[() ,]+$", "")
+            named = rest.select("label", bare.alias("k"), year_of("label").alias("year")).filter("k <> '' and year > 0")
+            more = _containing(c.filter("year > 0").select(*num, F.lower("authors").alias("t")), named, ["year"])
+        more = cut(more.select("label", *num, F.lit(name).alias("matched")).distinct(), "matched")
+        rest = cut(rest.join(more.select("label").distinct(), "label", "left_anti"), "rest")
+        found = found.unionByName(more)
+    return found.groupBy("label", "matched").agg(
         F.count(F.lit(1)).alias("papers"),
         F.round(F.avg(F.when(F.col("year") > 0, F.col("year"))), 1).alias("year_mean"),
         F.round(F.avg("citations"), 1).alias("citations_mean"),
         F.sum("citations").alias("citations_sum"),
     )
 
+
+def _containing(rows: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """rows (with t) whose text contains the text k of a label of equal ``by``.
+
+    A text that contains a label has its first three characters, or all of a shorter one, so they meet on those.
+    """
+    wanted = cut(wanted.withColumn("gram", F.substring("k", 1, 3)), "wanted")
+    none = F.array().cast("array<string>")
+
+    def grams_of(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substr(F.col("t"), i, F.lit(n)))
+        return F.when(F.length("t") >= n, each).otherwise(none)
+
+    grams = none
+    for r in wanted.select(F.length("gram").alias("n")).distinct().collect():  # 1, 2, 3 at most
+        grams = F.array_union(grams, grams_of(r.n))
+    met = rows.withColumn("gram", F.explode(F.array_distinct(grams)))
+    keys = [*by, "gram"]
+    if fits(wanted):
+        met = met.join(F.broadcast(wanted), keys)
+    else:
+        often = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        met = salted_join(met, cut(wanted.groupBy(*keys).agg(F.collect_list(F.struct("label", "k")).alias("_w")).join(often, keys), "by_gram"), keys, "_n")
+        met = met.select(*rows.columns, F.inline("_w"))
+    return met.filter(F.contains("t", "k"))

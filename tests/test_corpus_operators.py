@@ -7,7 +7,7 @@ import pytest
 
 from citegrove.operators import graph, metrics, networks, search
 from citegrove.operators.corpus import corpus, counts, doc_terms, relevance, with_thesaurus
-from citegrove.plans import bibliometrics
+from citegrove.plans import bibliometrics, tables
 from citegrove.sources.connectors import Query
 
 
@@ -37,7 +37,9 @@ def test_cooccurrence_against_brute_force(make_records):
     assert {(r.src, r.dst): r.weight for r in networks.cooccurrence(t, nodes, "fractional").collect()} == {k: pytest.approx(v, abs=1e-4) for k, v in part.items()}
 
 
-def test_coupling_against_brute_force(make_records):
+@pytest.mark.parametrize("crowd", [20_000, 4])
+def test_coupling_against_brute_force(make_records, monkeypatch, crowd):
+    monkeypatch.setattr(tables, "PAIR_ROWS", crowd)
     rng = random.Random(5)
     refs = [{"hot"} | {f"r{rng.randint(0, 12)}" for _ in range(rng.randint(0, 6))} for _ in range(50)]
     c = corpus(make_records(*({"refs": "; ".join(sorted(x))} for x in refs)))
@@ -57,11 +59,18 @@ def test_indices_against_brute_force(make_records):
         assert got[a] == (len(v), h, g)
 
 
-def test_overlay(make_records):
-    c = corpus(make_records({"title": "Paper 1", "authors": "Author A; Author B", "year": 2020, "citations": 10, "keywords": "ml; deep learning"}, {"title": "Paper 2", "authors": "Author B", "year": 2022, "citations": 20, "keywords": "deep learning"}))
-    labels = c.sparkSession.createDataFrame([("Author B",), ("deep learning",), ("aper 2",), ("nothing",)], "label string")
+@pytest.mark.parametrize("rows_held", [300_000, 0])
+def test_overlay(make_records, monkeypatch, rows_held):
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", rows_held)
+    monkeypatch.setattr(tables, "HOT_ROWS", 1)
+    c = corpus(make_records({"title": "Paper 1", "authors": "Author A; Author B", "year": 2020, "citations": 10, "keywords": "ml; deep learning"}, {"title": "Paper 2", "authors": "Author B", "year": 2022, "citations": 20, "keywords": "deep learning"}, {"title": "Z!", "authors": "Silva, J.", "year": 2019, "citations": 3}, {"title": "y", "authors": "Silva, J.", "year": 2018}))
+    labels = c.sparkSession.createDataFrame([("Author B",), ("AUTHOR b",), ("deep learning",), ("aper 2",), ("nothing",), ("Silva, J. (2019)",), ("Silva, K (2019)",), ("z!",), ("!",), ("2019",), ("(2018)",)], "label string")
     got = {r.label: (r.matched, r.year_mean, r.citations_mean, r.citations_sum) for r in networks.overlay(c, labels).collect()}
-    assert got == {"Author B": ("author", 2021.0, 15.0, 30), "deep learning": ("keyword", 2021.0, 15.0, 30), "aper 2": ("title", 2022.0, 20.0, 20)}
+    assert got == {
+        "Author B": ("author", 2021.0, 15.0, 30), "AUTHOR b": ("author", 2021.0, 15.0, 30), "deep learning": ("keyword", 2021.0, 15.0, 30), "aper 2": ("title", 2022.0, 20.0, 20),
+        "Silva, J. (2019)": ("author_year", 2019.0, 3.0, 3), "z!": ("title", 2019.0, 3.0, 3), "!": ("title", 2019.0, 3.0, 3),
+    }
+    assert networks.overlay(c, labels.limit(0)).count() == 0
 
 
 def test_bradford_with_open_last_zone(make_records):
@@ -75,13 +84,36 @@ def test_running_total(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(i, i % 7) for i in range(200)], "i int, n int")
-    got = [(r["rank"], r["i"], r["upto"]) for r in metrics.running_total(df, [F.desc("n"), F.asc("i")], "n", 5).orderBy("rank").collect()]
+    got = [(r["rank"], r["i"], r["upto"]) for r in tables.running_total(df, [F.desc("n"), F.asc("i")], "n", 5).orderBy("rank").collect()]
     order, total = sorted(range(200), key=lambda i: (-(i % 7), i)), 0
     for k, i in enumerate(order):
         total += i % 7
         assert got[k] == (k + 1, i, total)
 
 
+def test_bursts_against_the_whole_calendar(make_records):
+    rng = random.Random(2)
+    papers = [(rng.choice([0, 1990, 1991, 1993, 1994, 1994, 1997, 2004, 2005]), [rng.choice("abcdefg") for _ in range(rng.randint(0, 4))]) for _ in range(150)]
+    c = corpus(make_records(*({"year": y, "keywords": "; ".join(k)} for y, k in papers)))
+    pubs, seen, want = Counter(y for y, _ in papers if y), Counter((k, y) for y, ks in papers if y for k in ks), set()
+    for k in "abcdefg":
+        f = [seen[k, y] * 1000 / max(pubs[y], 1) for y in range(1990, 2006)]
+        mean = sum(f) / len(f)
+        sd = math.sqrt(sum((x - mean) ** 2 for x in f) / len(f))
+        if sum(seen[k, y] for y in range(1990, 2006)) < 4 or not sd:
+            continue
+        run = []
+        for y, x in zip(range(1990, 2007), [*f, -1e9], strict=True):
+            if (x - mean) / sd > 1.645 and seen[k, y]:
+                run.append((y, (x - mean) / sd))
+            elif run:
+                want.add((k, run[0][0], run[-1][0], round(sum(s for _, s in run), 4)))
+                run = []
+    got = {(r.term, r.start, r.end): r.strength for r in metrics.bursts(doc_terms(c), c).collect()}
+    assert got == {w[:3]: pytest.approx(w[3], abs=2e-4) for w in want}
+    assert want
+
+
 def test_bursts(make_records):
     c = corpus(make_records(*({"year": y, "keywords": "x" if y == 2015 else "y"} for y in range(2010, 2020) for _ in range(4))))
     assert [(r.term, r.start, r.end) for r in metrics.bursts(doc_terms(c), c).collect()] == [("x", 2015, 2015)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citegrove.plans.tables import cut
+from citegrove.plans.tables import cut, forget, hot_keys, numbered_rows, spread_join
+
+#: Up to this many edges (counted first) a task holds a graph for algorithms that walk it or move its nodes; beyond it
+#: the same is done by joins of tables.
+HELD_EDGES = 2_000_000
+#: Up to this many nodes (counted first) one place holds all positions of a layout.
+HELD_NODES = 100_000
+#: Sources of walks that are joined at a time where the graph is not held.
+SOURCES = 256
 
 PALETTE = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#7f7f7f")
 
@@ -42,23 +50,26 @@ def degree_stats(edges: DataFrame) -> DataFrame:
     return d.agg(F.round(F.avg("degree"), 6).alias("degree_mean"), F.max("degree").alias("degree_max"), top.alias("node_max"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of its connected component.
 
-    Alternating star contractions: each node hands its larger, then its smaller neighbours to the least of them, which
-    halves paths each time; minima are combined in the map tasks, so a hub is no hot group.
+    Alternating star contractions, until nothing changes: each node hands its larger, then its smaller neighbours to the
+    least of them, which halves paths each time; minima are combined in the map tasks, and what a hub is joined with is
+    one row, its neighbours being dealt over slices.
     """
     pairs = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     alone = edges.filter("src = dst").select(F.col("src").alias("u"), F.col("src").alias("v")).distinct()
     pairs = cut(pairs, "stars")
     before = None
-    for _ in range(rounds):
+    while True:
         ends = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ends.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = ends.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = cut(ends.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u")), "least")
+        large = spread_join(ends, least.drop("n"), ["u"], hot_keys(least, ["u"], "n")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        pairs = cut(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        after = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
+        pairs = cut(after, "stars", instead_of=pairs)
+        forget(least)
         state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -86,8 +97,11 @@ def clustering(edges: DataFrame) -> DataFrame:
     top = e.agg(F.max("w").alias("_top"))  # one row
     e = cut(e.crossJoin(F.broadcast(top)).select("a", "b", (F.col("w") / F.col("_top")).alias("w")), "triangles")
     d = degrees(e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("w").alias("weight"))).select("node", "degree")
-    da, db = d.select(F.col("node").alias("a"), F.col("degree").alias("da")), d.select(F.col("node").alias("b"), F.col("degree").alias("db"))
-    up = e.join(da, "a").join(db, "b")
+    d = cut(d, "degrees")
+    hot = hot_keys(d, ["node"], "degree")
+    up = e
+    for x in ("a", "b"):
+        up = spread_join(up, d.select(F.col("node").alias(x), F.col("degree").alias(f"d{x}")), [x], hot and hot.withColumnRenamed("node", x))
     first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
     up = cut(up.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("y"), "w"), "oriented")
     one, two = up.select("x", "y", F.col("w").alias("w1")), up.select("x", F.col("y").alias("z"), F.col("w").alias("w2"))
@@ -102,127 +116,307 @@ def clustering(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(node, rank) after ``rounds`` iterations of weighted, undirected PageRank; ranks sum to 1."""
     e = both_ways(edges)
-    out = e.groupBy("node").agg(F.sum("weight").alias("total"))
-    e = cut(e.join(out, "node").select("node", "other", (F.col("weight") / F.col("total")).alias("p")), "transitions")
-    nodes = cut(out.select("node"), "nodes")
-    n = nodes.count()
+    out = cut(e.groupBy("node").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("degree")), "nodes")
+    n, hot = out.count(), hot_keys(out, ["node"], "degree")
+    e = cut(spread_join(e, out, ["node"], hot).select("node", "other", (F.col("weight") / F.col("total")).alias("p")), "transitions")
+    nodes = out.select("node")
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for k in range(rounds):
-        got = e.join(rank, "node").groupBy(F.col("other").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("in"))
-        rank = nodes.join(got, "node", "left").select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
-        if k % 5 == 4:
-            rank = cut(rank, "rank")
+        got = spread_join(e, rank, ["node"], hot).groupBy(F.col("other").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("in"))
+        new = nodes.join(got, "node", "left").select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
+        rank = cut(new, "rank", instead_of=rank) if k % 5 == 4 else new
     return rank.select("node", F.round("rank", 9).alias("rank"))
 
 
 def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """(node, centrality) by power iteration on A + I; all 0 if it has not converged after ``rounds``."""
+    """(node, centrality) by power iteration on A + I; all 0 if it has not converged after ``rounds``.
+
+    The start is even, so nodes come out positive; with ``tolerance`` 0 all rounds are made and their result is given.
+    """
     e = cut(both_ways(edges), "links")
-    nodes = e.select("node").distinct()
-    x = cut(nodes.withColumn("x", F.lit(1.0)), "vector")
-    n = x.count()
+    nodes = cut(e.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "nodes")
+    n, hot = nodes.count(), hot_keys(nodes, ["node"], "degree")
+    hot = hot and hot.withColumnRenamed("node", "other")
+    x = cut(nodes.select("node", F.lit(1.0).alias("x")), "vector")
     for _ in range(rounds):
-        got = e.join(x.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum(F.col("x") * F.col("weight")).alias("in"))
+        got = spread_join(e, x.withColumnRenamed("node", "other"), ["other"], hot).groupBy("node").agg(F.sum(F.col("x") * F.col("weight")).alias("in"))
         y = x.join(got, "node", "left").select("node", "x", (F.col("x") + F.coalesce("in", F.lit(0.0))).alias("y"))
         norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))  # one row
-        y = cut(y.crossJoin(F.broadcast(norm)).select("node", "x", (F.col("y") / F.col("norm")).alias("y")), "vector")
-        change = y.agg(F.sum(F.abs(F.col("y") - F.col("x")))).first()[0] or 0.0
-        x = y.select("node", F.col("y").alias("x"))
-        if change < n * tolerance:
-            return x.select("node", F.round("x", 6).alias("centrality"))
-    return nodes.withColumn("centrality", F.lit(0.0))
-
-
-class _Local:
-    """Adjacency of a whole graph for algorithms that walk it from each source; the driver and each task hold it."""
+        y = cut(y.crossJoin(F.broadcast(norm)).select("node", F.col("x").alias("before"), (F.col("y") / F.col("norm")).alias("x")), "vector", instead_of=x)
+        x = y
+        if tolerance:
+            change = y.agg(F.sum(F.abs(F.col("x") - F.col("before")))).first()[0] or 0.0
+            if change < n * tolerance:
+                break
+        x = y.select("node", "x")
+        x._folder = y._folder
+    else:
+        if tolerance:
+            return nodes.select("node", F.lit(0.0).alias("centrality"))
+    return x.select("node", F.round("x", 6).alias("centrality"))
+
+
+class _Held:
+    """Adjacency of a graph of a checked size, by rows: names in order, and of each node its neighbours and weights."""
 
     def __init__(self, edges: DataFrame) -> None:
-        rows = edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).toPandas()
-        self.names = sorted(set(rows["src"]) | set(rows["dst"]))
-        number = {v: i for i, v in enumerate(self.names)}
-        self.near: list[dict[int, float]] = [{} for _ in self.names]
-        for s, d, w in rows.itertuples(index=False):
-            if s != d:
-                self.near[number[s]][number[d]] = w
-                self.near[number[d]][number[s]] = w
-
-
-def _paths(g: _Local, source: int, weighted: bool) -> tuple[list[int], dict[int, float], dict[int, float], dict[int, list[int]]]:
-    """Order of settling, distances, numbers of shortest paths and predecessors, from one source."""
-    import heapq
-
-    distance, paths, before = {source: 0.0}, {source: 1.0}, {source: []}
-    order, done, queue = [], set(), [(0.0, source)]
-    while queue:
-        d, v = heapq.heappop(queue)
-        if v in done:
-            continue
-        done.add(v)
-        order.append(v)
-        for u, w in g.near[v].items():
-            far = d + (w if weighted else 1.0)
-            known = distance.get(u)
-            if known is None or far < known - 1e-12:
-                distance[u], paths[u], before[u] = far, paths[v], [v]
-                heapq.heappush(queue, (far, u))
-            elif abs(far - known) <= 1e-12 and u not in done:
-                paths[u] += paths[v]
-                before[u].append(v)
-    return order, distance, paths, before
-
-
-def _from_each_node(edges: DataFrame, step, schema: str) -> DataFrame:
+        rows = edges.filter("src <> dst").select("src", "dst", F.col("weight").cast("double").alias("weight")).toPandas()  # HELD_EDGES at most
+        alone = edges.filter("src = dst").select("src").distinct().toPandas()
+        names, place = np.unique(np.r_[rows["src"].to_numpy(object), rows["dst"].to_numpy(object), alone["src"].to_numpy(object)], return_inverse=True)
+        m = len(rows)
+        a, b, w = np.r_[place[:m], place[m : 2 * m]], np.r_[place[m : 2 * m], place[:m]], np.r_[rows["weight"], rows["weight"]].astype(float)
+        order = np.lexsort((b, a))
+        self.names = names.tolist()
+        self.to, self.weight = b[order].astype(np.int64), w[order]
+        self.start = np.searchsorted(a[order], np.arange(len(names) + 1))
+
+    def out(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the edges from these nodes: the place of the node in them, and of the edge in ``to`` and ``weight``."""
+        n = self.start[nodes + 1] - self.start[nodes]
+        at = np.repeat(np.arange(len(nodes)), n)
+        return at, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[nodes], n)
+
+    def levels(self, source: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Breadth-first: per level its nodes, their numbers of shortest paths, and of the edges to the next level both ends as places in the two levels."""
+        seen = np.zeros(len(self.names), bool)
+        nodes, paths = np.array([source]), np.ones(1)
+        seen[source] = True
+        while len(nodes):
+            at, edge = self.out(nodes)
+            to = self.to[edge]
+            on = ~seen[to]
+            following, place = np.unique(to[on], return_inverse=True)
+            yield nodes, paths, at[on], place
+            paths = np.bincount(place, paths[at[on]], len(following))
+            seen[following] = True
+            nodes = following
+
+    def distances(self, source: int) -> np.ndarray:
+        """Least sums of weights to every node, infinite where there is no way."""
+        d = np.full(len(self.names), np.inf)
+        d[source], active = 0.0, np.array([source])
+        while len(active):
+            at, edge = self.out(active)
+            to, far = self.to[edge], d[active][at] + self.weight[edge]
+            closer = far < d[to] - 1e-12
+            to = to[closer]
+            np.minimum.at(d, to, far[closer])
+            active = np.unique(to)
+        return d
+
+
+    def owed_by_weight(self, g: int) -> np.ndarray:
+        """Shares of the shortest ways from g, by weight, that pass each node, the ends aside.
+
+        Edges on such ways lead to greater distances, so they are taken in the order of the distance they start from.
+        """
+        d = self.distances(g)
+        at, edge = self.out(np.flatnonzero(np.isfinite(d)))
+        a, b = np.flatnonzero(np.isfinite(d))[at], self.to[edge]
+        on = (np.abs(d[a] + self.weight[edge] - d[b]) <= 1e-9) & (d[a] < d[b])
+        a, b = a[on], b[on]
+        order = np.argsort(d[a], kind="stable")
+        a, b = a[order], b[order]
+        groups = np.split(np.arange(len(a)), np.flatnonzero(np.diff(d[a])) + 1)
+        paths, owed = np.zeros(len(d)), np.zeros(len(d))
+        paths[g] = 1.0
+        for e in groups:
+            np.add.at(paths, b[e], paths[a[e]])
+        for e in reversed(groups):
+            np.add.at(owed, a[e], paths[a[e]] / np.maximum(paths[b[e]], 1e-300) * (1 + owed[b[e]]))
+        owed[g] = 0.0
+        return owed
+
+
+def _is_held(edges: DataFrame) -> bool:
+    return edges.count() <= HELD_EDGES
+
+
+def _from_each_node(edges: DataFrame, step: Callable, schema: str) -> DataFrame:
+    """The rows of step(graph, number of a node) for every node, in many tasks that each hold the graph."""
     spark = edges.sparkSession
-    g = _Local(edges)
-    held = spark.sparkContext.broadcast(g)  # the whole graph: its walks need it
+    g = _Held(edges)
+    held = spark.sparkContext.broadcast(g)  # of HELD_EDGES edges at most
+    names = [x.split()[0] for x in schema.split(",")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [r for i in part["id"] for r in step(held.value, int(i))]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(",")])
+            for i in part["id"]:
+                found = step(held.value, int(i))
+                if len(found[0]):
+                    yield pd.DataFrame(dict(zip(names, found, strict=True)))
 
     tasks = max(1, min(len(g.names), 4 * spark.sparkContext.defaultParallelism))
     return spark.range(0, len(g.names), 1, tasks).mapInPandas(run, schema)
 
 
-def betweenness(edges: DataFrame, weighted: bool = False) -> DataFrame:
-    """(node, betweenness), normalised by (n - 1)(n - 2) / 2; ``weighted`` takes the weight as a distance."""
-
-    def step(g: _Local, source: int) -> Iterator[tuple[str, float]]:
-        order, _, paths, before = _paths(g, source, weighted)
-        owed = dict.fromkeys(order, 0.0)
-        for v in reversed(order):
-            for u in before[v]:
-                owed[u] += paths[u] / paths[v] * (1 + owed[v])
-            if v != source:
-                yield g.names[v], owed[v]
-        yield g.names[source], 0.0
+class _Walks:
+    """Walks from every node by joins, for graphs that no task holds: batches of sources, a table per level.
+
+    Edges of a hub are dealt over slices, so that its neighbours are not found by one task.
+    """
 
+    def __init__(self, edges: DataFrame) -> None:
+        self.edges = cut(both_ways(edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))), "links")
+        self.nodes = cut(numbered_rows(self.edges.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), [F.asc("node")], "no"), "nodes")
+        self.edges = self.edges.filter("node <> other")
+        self.hot = hot_keys(self.nodes, ["node"], "degree")
+        self.size = self.nodes.count()
+
+    def batches(self) -> Iterator[DataFrame]:
+        for low in range(0, self.size, SOURCES):
+            yield self.nodes.filter(F.col("no").between(low, low + SOURCES - 1)).select(F.col("node").alias("s"), "node")
+
+    def onward(self, places: DataFrame) -> DataFrame:
+        """places (s, node, ...) with every edge (other, weight) from the node."""
+        return spread_join(self.edges, places, ["node"], self.hot)
+
+    def levels(self, sources: DataFrame) -> list[DataFrame]:
+        """(s, node, k) of each level: nodes that many steps from s, with their numbers of shortest paths."""
+        found = [cut(sources.withColumn("k", F.lit(1.0)), "level")]
+        while not found[-1].isEmpty():
+            to = self.onward(found[-1]).groupBy("s", F.col("other").alias("node")).agg(F.sum("k").alias("k"))
+            for known in found[-2:]:  # a neighbour is a level on, in the same or one back
+                to = to.join(known.select("s", "node"), ["s", "node"], "left_anti")
+            found.append(cut(to, "level"))
+        forget(found.pop())
+        return found
+
+    def distances(self, sources: DataFrame) -> DataFrame:
+        """(s, node, d): least sums of weights."""
+        d = cut(sources.withColumn("d", F.lit(0.0)), "distances")
+        active = cut(d, "active")
+        while not active.isEmpty():
+            far = self.onward(active).groupBy("s", F.col("other").alias("node")).agg(F.min(F.col("d") + F.col("weight")).alias("far"))
+            closer = far.join(d, ["s", "node"], "left").filter(F.col("d").isNull() | (F.col("far") < F.col("d") - 1e-12)).select("s", "node", F.col("far").alias("d"))
+            active = cut(closer, "active", instead_of=active)
+            d = cut(d.join(active.select("s", "node"), ["s", "node"], "left_anti").unionByName(active), "distances", instead_of=d)
+        forget(active)
+        return d
+
+    def owed(self, levels: list[DataFrame]) -> DataFrame:
+        """(node, part): shares of the shortest paths from the sources that pass a node, the ends aside."""
+        below = None
+        every = []
+        for level, following in zip(reversed(levels), [None, *reversed(levels)], strict=False):
+            if below is None:
+                below = cut(level.withColumn("owed", F.lit(0.0)), "owed")
+            else:
+                back = self.onward(level.select("s", "node", "k")).join(below.select("s", F.col("node").alias("other"), F.col("k").alias("ko"), "owed"), ["s", "other"])
+                back = back.groupBy("s", "node").agg(F.sum(F.col("k") / F.col("ko") * (1 + F.col("owed"))).alias("owed"))
+                below = cut(level.join(back, ["s", "node"], "left").select("s", "node", "k", F.coalesce("owed", F.lit(0.0)).alias("owed")), "owed")
+            every.append(below)
+        out = every[0]
+        for more in every[1:]:
+            out = out.unionByName(more)
+        return out.filter("s <> node").groupBy("node").agg(F.sum("owed").alias("part"))
+
+
+    def owed_by_weight(self, sources: DataFrame) -> DataFrame:
+        """(node, part) as owed, of ways by weight. Counts of ways, then shares, are summed along them until nothing changes."""
+        d = self.distances(sources)
+        ends = d.select("s", F.col("node").alias("other"), F.col("d").alias("do"))
+        on = self.onward(d).join(ends, ["s", "other"]).filter((F.abs(F.col("d") + F.col("weight") - F.col("do")) <= 1e-9) & (F.col("d") < F.col("do"))).select("s", "node", "other")
+        on = cut(on, "ways")
+
+        def settled(values: DataFrame, following: Callable[[DataFrame], DataFrame]) -> DataFrame:
+            while True:
+                new = cut(following(values), "values")
+                same = new.join(values.withColumnRenamed("x", "was"), ["s", "node"]).filter("x <> was").isEmpty()
+                forget(values)
+                values = new
+                if same:
+                    return values
+
+        one = d.select("s", "node", F.when(F.col("s") == F.col("node"), 1.0).otherwise(0.0).alias("x"))
+
+        def counted(k: DataFrame) -> DataFrame:
+            got = on.join(k, ["s", "node"]).groupBy("s", F.col("other").alias("node")).agg(F.sum("x").alias("y"))
+            return one.withColumnRenamed("x", "first").join(got, ["s", "node"], "left").select("s", "node", F.coalesce("y", "first").alias("x"))
+
+        paths = settled(cut(one, "values"), counted)
+
+        def shared(o: DataFrame) -> DataFrame:
+            below = o.join(paths.withColumnRenamed("x", "k"), ["s", "node"]).select("s", F.col("node").alias("other"), ((1 + F.col("x")) / F.col("k")).alias("each"))
+            got = on.join(below, ["s", "other"]).groupBy("s", "node").agg(F.sum("each").alias("y"))
+            return paths.join(got, ["s", "node"], "left").select("s", "node", F.coalesce(F.col("x") * F.col("y"), F.lit(0.0)).alias("x"))
+
+        owed = settled(cut(paths.select("s", "node", F.lit(0.0).alias("x")), "values"), shared)
+        return owed.filter("s <> node").groupBy("node").agg(F.sum("x").alias("part"))
+
+
+def _together(parts: list[DataFrame], otherwise: DataFrame) -> DataFrame:
+    for p in parts:
+        otherwise = otherwise.unionByName(p)
+    return otherwise
+
+
+def betweenness(edges: DataFrame, weighted: bool = False) -> DataFrame:
+    """(node, betweenness), normalised by (n - 1)(n - 2) / 2; ``weighted`` takes the weight as a distance. A loop is no edge."""
     n = both_ways(edges).agg(F.countDistinct("node").alias("n"))  # one row
-    score = _from_each_node(edges, step, "node string, part double").groupBy("node").agg(F.sum("part").alias("s"))
+    if _is_held(edges):
+
+        def step(g: _Held, source: int) -> tuple[list[str], np.ndarray]:
+            if weighted:
+                total = g.owed_by_weight(source)
+                used = np.flatnonzero(total)
+                return [g.names[i] for i in used], total[used]
+            levels = list(g.levels(source))
+            owed, total = np.zeros(0), np.zeros(len(g.names))
+            for k in range(len(levels) - 1, -1, -1):
+                nodes, paths, a, b = levels[k]
+                back = np.zeros(len(nodes))
+                if len(a):
+                    back = np.bincount(a, paths[a] / levels[k + 1][1][b] * (1 + owed[b]), len(nodes))
+                owed = back
+                total[nodes] = owed
+            total[source] = 0.0
+            used = np.flatnonzero(total)
+            return [g.names[i] for i in used], total[used]
+
+        score = _from_each_node(edges, step, "node string, part double")
+    else:
+        walks = _Walks(edges)
+        score = _together([cut(walks.owed_by_weight(b) if weighted else walks.owed(walks.levels(b)), "parts") for b in walks.batches()], edges.sparkSession.createDataFrame([], "node string, part double"))
+    score = score.groupBy("node").agg(F.sum("part").alias("s"))
     scale = F.when(F.col("n") > 2, 1.0 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.5)
-    return score.crossJoin(F.broadcast(n)).select("node", F.round(F.col("s") * scale, 4).alias("betweenness"))
+    every = both_ways(edges).select(F.col("node").cast("string").alias("node")).distinct().join(score, "node", "left")
+    return every.crossJoin(F.broadcast(n)).select("node", F.round(F.coalesce("s", F.lit(0.0)) * scale, 4).alias("betweenness"))
 
 
 def closeness(edges: DataFrame) -> DataFrame:
     """(node, closeness) with the weight as distance, scaled by the part of the nodes that is reached."""
+    if _is_held(edges):
 
-    def step(g: _Local, source: int) -> Iterator[tuple[str, float]]:
-        _, distance, _, _ = _paths(g, source, True)
-        total, reached, n = sum(distance.values()), len(distance) - 1, len(g.names)
-        yield g.names[source], round(reached / total * reached / (n - 1), 6) if total > 0 and n > 1 else 0.0
+        def step(g: _Held, source: int) -> tuple[list[str], list[float]]:
+            d = g.distances(source)
+            near, n = np.isfinite(d), len(d)
+            total, reached = d[near].sum(), int(near.sum()) - 1
+            return [g.names[source]], [round(reached / total * reached / (n - 1), 6) if total > 0 and n > 1 else 0.0]
 
-    return _from_each_node(edges, step, "node string, closeness double")
+        return _from_each_node(edges, step, "node string, closeness double")
+    walks = _Walks(edges)
+    far = [cut(walks.distances(b).groupBy(F.col("s").alias("node")).agg(F.sum("d").alias("total"), (F.count(F.lit(1)) - 1).alias("reached")), "far") for b in walks.batches()]
+    score = F.when(F.col("total") > 0, F.round(F.col("reached") / F.col("total") * F.col("reached") / max(walks.size - 1, 1), 6)).otherwise(0.0)
+    return _together(far[1:], far[0]).select("node", score.alias("closeness"))
 
 
 def path_lengths(edges: DataFrame) -> DataFrame:
     """One row: diameter and mean shortest path, in steps, of the largest component."""
-
-    def step(g: _Local, source: int) -> Iterator[tuple[float, float, int]]:
-        _, distance, _, _ = _paths(g, source, False)
-        yield max(distance.values()), sum(distance.values()), len(distance) - 1
-
-    d = _from_each_node(largest_component(edges), step, "far double, total double, others long")
+    part = cut(largest_component(edges), "component")
+    if _is_held(part):
+
+        def step(g: _Held, source: int) -> tuple[list[float], list[float], list[int]]:
+            sizes = np.array([len(nodes) for nodes, _, _, _ in g.levels(source)])
+            return [len(sizes) - 1.0], [float((sizes * np.arange(len(sizes))).sum())], [int(sizes.sum()) - 1]
+
+        d = _from_each_node(part, step, "far double, total double, others long")
+    else:
+        walks, rows = _Walks(part), []
+        for batch in walks.batches():
+            levels = [x.select("s", F.lit(float(k)).alias("d")) for k, x in enumerate(walks.levels(batch))]
+            rows.append(cut(_together(levels[1:], levels[0]).groupBy("s").agg(F.max("d").alias("far"), F.sum("d").alias("total"), (F.count(F.lit(1)) - 1).alias("others")).drop("s"), "far"))
+        d = _together(rows[1:], rows[0])
     return d.agg(F.max("far").cast("long").alias("diameter"), F.round(F.sum("total") / F.sum("others"), 6).alias("path_mean"))
 
 
@@ -272,138 +466,192 @@ def louvain_partition(near: list[dict[int, float]], resolution: float = 1.0) ->
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, label): each node takes the heaviest label around it (of equal ones the least), every other round for half of the nodes."""
-    e = cut(both_ways(edges).filter("node <> other"), "links")
-    labels = cut(both_ways(edges).select("node").distinct().withColumn("label", F.col("node")), "labels")
+    e = cut(both_ways(edges), "links")
+    nodes = cut(e.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "nodes")
+    hot = hot_keys(nodes, ["node"], "degree")
+    hot = hot and hot.withColumnRenamed("node", "other")
+    e = e.filter("node <> other")
+    labels = cut(nodes.select("node", F.col("node").alias("label")), "labels")
     for k in range(rounds):
-        heard = e.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
+        heard = spread_join(e, labels.withColumnRenamed("node", "other"), ["other"], hot).groupBy("node", "label").agg(F.sum("weight").alias("w"))
         best = heard.groupBy("node").agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("best"))
         turn = F.pmod(F.xxhash64("node"), F.lit(2)) == k % 2
-        labels = cut(labels.join(best, "node", "left").select("node", F.when(turn, F.coalesce("best", "label")).otherwise(F.col("label")).alias("label")), "labels")
+        new = labels.join(best, "node", "left").select("node", F.when(turn, F.coalesce("best", "label")).otherwise(F.col("label")).alias("label"))
+        labels = cut(new, "labels", instead_of=labels)
     return labels
 
 
 def numbered(groups: DataFrame) -> DataFrame:
     """(node, cluster_id) from (node, label): clusters are numbered from 0 by size, then by their least node."""
+    groups = cut(groups, "groups")
     size = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
-    ids = size.withColumn("cluster_id", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).cast("int"))  # a row per cluster
-    return groups.join(ids.select("label", "cluster_id"), "label").select("node", "cluster_id")
-
+    ids = cut(numbered_rows(size, [F.desc("n"), F.asc("first")], "cluster_id"), "clusters")
+    return spread_join(groups, ids.select("label", F.col("cluster_id").cast("int").alias("cluster_id")), ["label"], hot_keys(ids, ["label"], "n")).select("node", "cluster_id")
 
-def _links(edges: DataFrame) -> DataFrame:
-    """(a, near, w): a row per node that has neighbours, with their numbers in order and the weights, from (a, b, w)."""
-    near = F.sort_array(F.collect_list(F.struct("b", "w")))
-    rows = edges.groupBy("a", "b").agg(F.sum("w").alias("w")).groupBy("a").agg(near.alias("n"))
-    return cut(rows.select("a", F.col("n.b").alias("near"), F.col("n.w").alias("w")), "links")
 
+#: Nodes take turns by these numbers: a multiplier and a step of about the golden section, modulo 2 ** 31.
+TURN, STEP, CIRCLE = 1_103_515_245, 1_327_217_885, 1 << 31
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch of _links: its nodes, and of each link the place of its node in them, its other end and its weight."""
-    near, w = batch.column(1), batch.column(2)
-    at = np.repeat(np.arange(batch.num_rows), near.value_lengths().to_numpy(zero_copy_only=False))
-    return batch.column(0).to_numpy(), at, near.flatten().to_numpy(), w.flatten().to_numpy()
 
+class _Quality:
+    """What the moves of a level need to know after each round: whether it is kept, and the share of nodes to move next.
 
-def _moves(links: DataFrame, group: np.ndarray, strength: np.ndarray, resolution: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each node the group it gains most by (of equal ones the least), that gain, and the weight of its links into its own group."""
-    n, total = len(group), strength.sum() or 1.0
-    weight = np.bincount(group, strength, n)
-    held = links.sparkSession.sparkContext.broadcast((group, strength, weight))  # 24 bytes a node; edges stay in the shared folder
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, s, of_group = held.value
-        for batch in batches:
-            nodes, at, other, w = _flat(batch)
-            own = g[nodes]
-            every = np.arange(len(nodes))
-            key, place = np.unique(np.r_[at * n + g[other], every * n + own], return_inverse=True)
-            into = np.bincount(place, np.r_[w, np.zeros(len(nodes))], len(key))
-            row, to = key // n, key % n
-            stays = to == own[row]
-            value = into - resolution * s[nodes[row]] * (of_group[to] - np.where(stays, s[nodes[row]], 0.0)) / total
-            best = np.lexsort((to, -value, row))[np.r_[0, np.flatnonzero(np.diff(row)) + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(to[best]), pa.array(value[best] - value[stays]), pa.array(into[stays])], ["a", "best", "gain", "inside"])
-
-    found = links.mapInArrow(run, "a long, best long, gain double, inside double").toPandas()  # a row per node
-    held.destroy()
-    best, gain, inside = group.copy(), np.zeros(n), np.zeros(n)
-    best[found["a"]], gain[found["a"]], inside[found["a"]] = found["best"], found["gain"], found["inside"]
-    return best, gain, inside
-
-
-def _moved(links: DataFrame, strength: np.ndarray, own: np.ndarray, resolution: float) -> tuple[np.ndarray, np.ndarray]:
-    """Groups in which no node gains by another one, and each node's links into its group.
-
-    In each round a share of the nodes moves at once. A round that does not raise the modularity is taken back and
-    repeated with a smaller share, in the end with the one best move, so the modularity rises until nothing can move.
+    In each round a share of the nodes that gain moves at once. A round that does not raise the modularity is taken back
+    and repeated with a smaller share, in the end with the one best move, so it rises until nothing can move.
     """
-    n, total = len(strength), strength.sum() or 1.0
-    least = 1e-9 * total / max(n, 1)
-    group, share, turn, before = np.arange(n), 0.5, 0, None
+
+    def __init__(self) -> None:
+        self.best: float | None = None
+        self.share, self.turn = 0.5, 0
+
+    def rose(self, quality: float) -> bool:
+        if self.best is not None and quality <= self.best:
+            self.share /= 2
+            return False
+        if self.best is not None:
+            self.share = min(0.5, 2 * self.share)
+        self.best = quality
+        return True
+
+
+def _held_moves(a: np.ndarray, b: np.ndarray, w: np.ndarray, own: np.ndarray, resolution: float) -> tuple[np.ndarray, np.ndarray]:
+    """Groups in which no node gains by another one, and each node's links into its group; (a, b, w) are links both ways."""
+    n = len(own)
+    strength = np.bincount(a, w, n) + 2 * own
+    total = strength.sum() or 1.0
+    least, every, q = 1e-9 * total / max(n, 1), np.arange(n), _Quality()
+    group, kept = every, None
     while True:
-        best, gain, inside = _moves(links, group, strength, resolution)
-        weight = np.bincount(group, strength, n) / total
-        quality = (inside.sum() + 2 * own.sum()) / total - resolution * (weight**2).sum()
-        if before and quality <= before[0]:
-            quality, group, best, gain, inside = before
-            share /= 2
-        else:
-            share = min(0.5, 2 * share) if before else share
-            before = (quality, group, best, gain, inside)
+        weight = np.bincount(group, strength, n)
+        key, place = np.unique(np.r_[a * n + group[b], every * n + group], return_inverse=True)
+        into = np.bincount(place, np.r_[w, np.zeros(n)], len(key))
+        row, to = key // n, key % n
+        stays = to == group[row]
+        value = into - resolution * strength[row] * (weight[to] - np.where(stays, strength[row], 0.0)) / total
+        best = np.lexsort((to, -value, row))[np.r_[0, np.flatnonzero(np.diff(row)) + 1]]
+        now = (group, to[best], value[best] - value[stays], into[stays])
+        quality = (now[3].sum() + 2 * own.sum()) / total - resolution * ((weight / total) ** 2).sum()
+        kept = now if q.rose(quality) else kept
+        group, wanted, gain, inside = kept
         wish = np.flatnonzero(gain > least)
         if not len(wish):
             return group, inside
-        turn += 1
-        mixed = (wish.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(turn * 0xBF58476D1CE4E5B9 % 2**64)
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        go = wish[(mixed >> np.uint64(11)) / 2.0**53 < share]
-        if share * len(wish) < 1 or not len(go):
+        q.turn += 1
+        go = wish[(wish % CIRCLE * TURN + q.turn * STEP) % CIRCLE < q.share * CIRCLE]
+        if q.share * len(wish) < 1 or not len(go):
             go = wish[[int(np.argmax(gain[wish]))]]
         group = group.copy()
-        group[go] = best[go]
+        group[go] = wanted[go]
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(node, label): communities by modularity moves and aggregation until nothing moves, the same at every size.
-
-    Edges stay in the shared folder; the driver and the tasks hold some numbers per node. The result does not depend on partitions.
-    """
-    e = both_ways(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight")))
-    names = cut(e.select("node").distinct().select("node", (F.row_number().over(Window.orderBy("node")) - 1).cast("long").alias("no")), "names")  # a row per node
-    n = names.count()
-    e = e.join(names.withColumnRenamed("no", "a"), "node").join(names.select(F.col("node").alias("other"), F.col("no").alias("b")), "other").select("a", "b", F.col("weight").alias("w"))
-    e = cut(e, "numbered")
-    own = np.zeros(n)
-    for r in e.filter("a = b").groupBy("a").agg(F.sum("w").alias("w")).toLocalIterator():  # a row per self-loop
-        own[r.a] = r.w
-    links = _links(e.filter("a <> b"))
-    where = np.arange(n)
-    while n:
-        sums = links.select("a", F.aggregate("w", F.lit(0.0), lambda x, y: x + y).alias("s")).toPandas()  # a row per node
-        strength = 2 * own
-        strength[sums["a"]] += sums["s"]
-        group, inside = _moved(links, strength, own, resolution)
+def held_louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, own: np.ndarray, resolution: float) -> np.ndarray:
+    """The community of each of len(own) nodes from links (a, b, w) both ways and loops ``own``."""
+    where = np.arange(len(own))
+    while len(own):
+        group, inside = _held_moves(a, b, w, own, resolution)
         used, number = np.unique(group, return_inverse=True)
         if len(used) == len(group):
             break
-        where = number[where]
-        own = np.bincount(number, own + inside / 2, len(used))
-        held = edges.sparkSession.sparkContext.broadcast(number)
-
-        def merged(batches: Iterator[pa.RecordBatch], held=held, n=len(used)) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                nodes, at, other, w = _flat(batch)
-                a, b = held.value[nodes[at]], held.value[other]
-                key, place = np.unique(a[a != b] * n + b[a != b], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key // n), pa.array(key % n), pa.array(np.bincount(place, w[a != b], len(key)))], ["a", "b", "w"])
+        where, n = number[where], len(used)
+        own = np.bincount(number, own + inside / 2, n)
+        apart = number[a] != number[b]
+        key, place = np.unique(number[a][apart] * n + number[b][apart], return_inverse=True)
+        a, b, w = key // n, key % n, np.bincount(place, w[apart], len(key))
+    return where
+
+
+def _table_moves(links: DataFrame, nodes: DataFrame, resolution: float) -> DataFrame:
+    """As _held_moves, by joins: (a, g, own, inside) of links (a, b, w) and nodes (a, own)."""
+    degree = cut(links.groupBy("a").agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("n")), "degrees")
+    hot = hot_keys(degree, ["a"], "n")
+    hot = hot and hot.withColumnRenamed("a", "b")
+    nodes = cut(nodes.join(degree, "a", "left").select("a", "own", (F.coalesce("s", F.lit(0.0)) + 2 * F.col("own")).alias("s")), "nodes")
+    first = nodes.agg(F.sum("s").alias("total"), F.count(F.lit(1)).alias("n"), F.sum("own").alias("own")).first()
+    total, q = first.total or 1.0, _Quality()
+    least = 1e-9 * total / max(first.n, 1)
+    state, kept = cut(nodes.withColumn("g", F.col("a")), "state"), None
+    while True:
+        weight = cut(state.groupBy("g").agg(F.sum("s").alias("t")), "weights")
+        around = spread_join(links, state.select(F.col("a").alias("b"), "g"), ["b"], hot).select("a", "g", "w").unionByName(state.select("a", "g", F.lit(0.0).alias("w")))
+        into = cut(around.groupBy("a", "g").agg(F.sum("w").alias("into")), "into")
+        crowd = cut(into.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "crowd")
+        crowded = hot_keys(crowd, ["g"], "n")
+        value = F.col("into") - resolution * F.col("s") * (F.col("t") - F.when(F.col("g") == F.col("mine"), F.col("s")).otherwise(0.0)) / total
+        each = spread_join(into, weight, ["g"], crowded).join(state.select("a", "s", "own", F.col("g").alias("mine")), "a").withColumn("value", value)
+        stay = F.col("g") == F.col("mine")
+        best = each.groupBy("a").agg(
+            F.first("s").alias("s"), F.first("own").alias("own"), F.first("mine").alias("g"), F.min(F.struct((-F.col("value")).alias("v"), "g"))["g"].alias("best"),
+            (F.max("value") - F.max(F.when(stay, F.col("value")))).alias("gain"), F.max(F.when(stay, F.col("into"))).alias("inside"),
+        )
+        now = cut(best, "moves")
+        quality = (now.agg(F.sum("inside")).first()[0] + 2 * first.own) / total - resolution * weight.agg(F.sum(F.pow(F.col("t") / total, 2))).first()[0]
+        for done in (weight, into, crowd):
+            forget(done)
+        if q.rose(quality):
+            if kept is not None:
+                forget(kept)
+            kept = now
+        else:
+            forget(now)
+        wish = kept.filter(F.col("gain") > least)
+        n = wish.count()
+        if not n:
+            forget(state)
+            return kept.select("a", "g", "own", "inside")
+        q.turn += 1
+        go = (F.col("gain") > least) & (F.pmod(F.pmod("a", F.lit(CIRCLE)) * TURN + q.turn * STEP, F.lit(CIRCLE)) < q.share * CIRCLE)
+        if q.share * n < 1 or kept.filter(go).isEmpty():
+            go = F.col("a") == wish.orderBy(F.desc("gain"), "a").first().a
+        state = cut(kept.select("a", "own", "s", F.when(go, F.col("best")).otherwise(F.col("g")).alias("g")), "state", instead_of=state)
+
+
+def _table_louvain(links: DataFrame, nodes: DataFrame, resolution: float) -> DataFrame:
+    """As held_louvain, by joins: (no, community) of links (a, b, w) and nodes (a, own)."""
+    where = cut(nodes.select(F.col("a").alias("no"), F.col("a").alias("community")), "where")
+    while True:
+        moved = _table_moves(links, nodes, resolution)
+        used = cut(numbered_rows(moved.select("g").distinct(), [F.asc("g")], "number"), "used")
+        if used.count() == moved.count():
+            return where
+        number = cut(moved.join(used, "g").select("a", "number", "own", "inside"), "numbers")
+        where = cut(where.join(number.select(F.col("a").alias("community"), "number"), "community").select("no", F.col("number").alias("community")), "where", instead_of=where)
+        nodes = cut(number.groupBy(F.col("number").alias("a")).agg(F.sum(F.col("own") + F.col("inside") / 2).alias("own")), "nodes")
+        for x in ("a", "b"):
+            links = links.join(number.select(F.col("a").alias(x), F.col("number").alias(f"new_{x}")), x).drop(x).withColumnRenamed(f"new_{x}", x)
+        links = cut(links.filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w")), "links")
 
-        links = _links(links.mapInArrow(merged, "a long, b long, w double"))
-    last = edges.sparkSession.sparkContext.broadcast(where)
 
-    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(last.value[batch.column(1).to_numpy()]).cast(pa.string())], ["node", "label"])
+def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(node, label): communities by modularity moves and aggregation until nothing moves, the same at every size.
 
-    return names.mapInArrow(labelled, "node string, label string")
+    A graph of HELD_EDGES edges at most is one task's; the moves of a larger one are made by joins, with the same result.
+    Nodes are numbered by name, so the result does not depend on partitions.
+    """
+    ends = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight"))
+    both = both_ways(ends)
+    degree = both.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.sum(F.when(F.col("node") == F.col("other"), F.col("weight")).otherwise(0.0)).alias("own"))
+    names = cut(numbered_rows(degree, [F.asc("node")], "no"), "names")
+    n, hot = names.count(), hot_keys(names, ["node"], "degree")
+    links = spread_join(both.filter("node <> other"), names.select("node", F.col("no").alias("a")), ["node"], hot)
+    links = spread_join(links.drop("node"), names.select(F.col("node").alias("other"), F.col("no").alias("b")), ["other"], hot and hot.withColumnRenamed("node", "other"))
+    links = cut(links.groupBy("a", "b").agg(F.sum("weight").alias("w")), "links")
+    if links.count() <= 2 * HELD_EDGES:
+
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
+            a, b, w = (np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, kind) for k, kind in enumerate((np.int64, np.int64, float)))
+            loop = b < 0  # the loops come as links to no node
+            own = np.zeros(n)
+            own[a[loop]] = w[loop]
+            order = np.lexsort((b[~loop], a[~loop]))
+            group = held_louvain(a[~loop][order], b[~loop][order], w[~loop][order], own, resolution)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(group.astype(np.int64))], ["no", "community"])
+
+        loops = names.filter("own <> 0").select(F.col("no").alias("a"), F.lit(-1).cast("long").alias("b"), F.col("own").alias("w"))
+        where = links.unionByName(loops).coalesce(1).mapInArrow(held, "no long, community long")
+    else:
+        where = _table_louvain(links, names.select(F.col("no").alias("a"), "own"), resolution)
+    return names.select("node", "no").join(where, "no").select("node", F.col("community").cast("string").alias("label"))
 
 
 def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -452,34 +700,198 @@ def quadrants(themes: DataFrame) -> DataFrame:
     return themes.crossJoin(F.broadcast(m)).withColumn("quadrant", name).drop("mc", "md")
 
 
-def layout(edges: DataFrame, steps: int = 200, seed: int = 42) -> DataFrame:
-    """(node, x, y): force-directed placing of a graph (attraction along edges, repulsion by degree)."""
-    g = _Local(edges)
-    n = len(g.names)
-    rows = max(1, 2_000_000 // max(n, 1))  # placed at once against all nodes, for bounded memory
-    rng = np.random.default_rng(seed)
-    at, mass = rng.normal(size=(n, 2)), np.array([len(x) + 1.0 for x in g.near])
-    a = np.array([[i, j, w] for i, x in enumerate(g.near) for j, w in x.items()] or np.zeros((0, 3)))
+#: Cells a side of the grid by which nodes of a layout repel each other.
+CELLS = 32
+
+
+def _cells(x: np.ndarray, y: np.ndarray, mass: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """Sums (mass, mass x, mass y) of each cell of a grid over the box; rows are cells."""
+    at = _cell_of(x, y, box)
+    return np.stack([np.bincount(at, v, CELLS * CELLS) for v in (mass, mass * x, mass * y)], 1)
+
+
+def _cell_of(x: np.ndarray, y: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    place = [np.minimum(CELLS - 1, (v - low) / max(high - low, 1e-12) * CELLS).astype(np.int64) for v, low, high in ((x, *box[:2]), (y, *box[2:]))]
+    return place[0] * CELLS + place[1]
+
+
+def _pushed(x: np.ndarray, y: np.ndarray, mass: np.ndarray, box: tuple[float, float, float, float], sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Repulsion of each node by the centres of all cells, itself aside in its own, and its pull to the middle."""
+    fx, fy, own = -0.1 * mass * x, -0.1 * mass * y, _cell_of(x, y, box)
+    for cell in np.flatnonzero(sums[:, 0] > 0):
+        inside = own == cell
+        m, cx, cy = sums[cell, 0] - mass * inside, sums[cell, 1] - mass * x * inside, sums[cell, 2] - mass * y * inside
+        there = m > 1e-9
+        safe = np.where(there, m, 1.0)
+        gx, gy = x - cx / safe, y - cy / safe
+        k = np.where(there, mass * m / (gx * gx + gy * gy + 0.01), 0.0)
+        fx += gx * k
+        fy += gy * k
+    return fx, fy
+
+
+def _start(no: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of nodes by their numbers, spread over a disc."""
+    turn, far = (no * 0.6180339887498949 + seed * 0.7548776662466927) % 1.0 * 2 * np.pi, np.sqrt((no * 0.5698402909980532 + 0.5) % 1.0) * 2
+    return far * np.cos(turn), far * np.sin(turn)
+
+
+def layout(edges: DataFrame, steps: int = 200, seed: int = 42, linlog: bool = False) -> DataFrame:
+    """(node, x, y): force-directed placing of a graph: attraction along edges (by the logarithm of the distance with
+    ``linlog``), repulsion by degree.
+
+    Nodes repel each other by the centres of mass of a grid's cells, of which there are CELLS squared at any size, so a
+    step costs nodes times cells. Up to HELD_NODES nodes and HELD_EDGES edges one task makes all steps, beyond it each
+    step is a join of positions with edges, with the same result.
+    """
+    both = both_ways(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight")))
+    names = cut(numbered_rows(both.groupBy("node").agg(F.count_if(F.col("node") != F.col("other")).alias("degree")), [F.asc("node")], "no"), "names")
+    n, hot = names.count(), hot_keys(names, ["node"], "degree")
+    links = spread_join(both.filter("node <> other"), names.select("node", F.col("no").alias("a")), ["node"], hot)
+    links = spread_join(links, names.select(F.col("node").alias("other"), F.col("no").alias("b")), ["other"], hot and hot.withColumnRenamed("node", "other"))
+    links = cut(links.groupBy("a", "b").agg(F.sum("weight").alias("w")), "links")
+    if n <= HELD_NODES and links.count() <= 2 * HELD_EDGES:
+
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
+            a, b, w = (np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, kind) for k, kind in enumerate((np.int64, np.int64, float)))
+            x, y = _start(np.arange(n), seed)
+            mass = np.bincount(a, minlength=n) + 1.0
+            for k in range(steps if n else 0):
+                box = (x.min(), x.max(), y.min(), y.max())
+                fx, fy = _pushed(x, y, mass, box, _cells(x, y, mass, box))
+                gx, gy = x[b] - x[a], y[b] - y[a]
+                pull = w * _attraction(gx, gy) if linlog else w
+                fx, fy = fx + np.bincount(a, gx * pull, n), fy + np.bincount(a, gy * pull, n)
+                norm = np.maximum(np.hypot(fx, fy), 1e-9)
+                x, y = x + fx / norm * (1 - k / steps), y + fy / norm * (1 - k / steps)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(x), pa.array(y)], ["no", "x", "y"])
+
+        return names.join(links.coalesce(1).mapInArrow(held, "no long, x double, y double"), "no").select("node", "x", "y")
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _start(batch.column(0).to_numpy(), seed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(1).to_numpy() + 1.0), pa.array(x), pa.array(y)], ["no", "mass", "x", "y"])
+
+    places = cut(names.select("no", "degree").mapInArrow(begun, "no long, mass double, x double, y double"), "places")
+    by_b = hot_keys(names.select(F.col("no").alias("b"), "degree"), ["b"], "degree")
     for k in range(steps):
-        push = np.zeros_like(at)
-        for low in range(0, n, rows):
-            gap = at[low : low + rows, None, :] - at[None, :, :]
-            push[low : low + rows] = (gap * (mass[low : low + rows, None] * mass[None, :] / ((gap**2).sum(2) + 0.01))[:, :, None]).sum(1)
-        pull = np.zeros_like(at)
-        if len(a):
-            i, j = a[:, 0].astype(int), a[:, 1].astype(int)
-            np.add.at(pull, i, (at[j] - at[i]) * a[:, 2:])
-        force = push + pull - at * mass[:, None] * 0.1
-        at += force / np.maximum(np.linalg.norm(force, axis=1, keepdims=True), 1e-9) * (1 - k / steps)
-    return edges.sparkSession.createDataFrame([(v, float(x), float(y)) for v, (x, y) in zip(g.names, at, strict=True)], "node string, x double, y double")
+        box = tuple(places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first())
+        parts = places.select("x", "y", "mass").mapInArrow(_cell_sums(box), "cell long, m double, mx double, my double").groupBy("cell").agg(*(F.sum(v).alias(v) for v in ("m", "mx", "my"))).collect()  # a row per cell
+        sums = np.zeros((CELLS * CELLS, 3))
+        for r in parts:
+            sums[r.cell] = (r.m, r.mx, r.my)
+        far = spread_join(links, places.select(F.col("no").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), ["b"], by_b)
+        far = far.join(places.select(F.col("no").alias("a"), "x", "y"), "a").withColumn("gx", F.col("bx") - F.col("x")).withColumn("gy", F.col("by") - F.col("y"))
+        gap = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
+        pull = F.col("w") * F.when(gap > 1e-9, F.log1p(gap) / gap).otherwise(1.0) if linlog else F.col("w")
+        pulled = far.groupBy(F.col("a").alias("no")).agg(F.sum(F.col("gx") * pull).alias("px"), F.sum(F.col("gy") * pull).alias("py"))
+        moved = places.join(pulled, "no", "left").select("no", "mass", "x", "y", F.coalesce("px", F.lit(0.0)).alias("px"), F.coalesce("py", F.lit(0.0)).alias("py"))
+        places = cut(moved.mapInArrow(_placed(box, sums, 1 - k / steps), "no long, mass double, x double, y double"), "places", instead_of=places)
+    return names.join(places, "no").select("node", "x", "y")
+
+
+def _attraction(gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
+    gap = np.hypot(gx, gy)
+    return np.where(gap > 1e-9, np.log1p(gap) / np.maximum(gap, 1e-9), 1.0)
+
+
+def _cell_sums(box: tuple[float, float, float, float]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = _cells(*(batch.column(k).to_numpy() for k in range(3)), box)
+            used = np.flatnonzero(sums[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(sums[used, k]) for k in range(3))], ["cell", "m", "mx", "my"])
+
+    return run
+
+
+def _placed(box: tuple[float, float, float, float], sums: np.ndarray, speed: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mass, x, y, px, py = (batch.column(k).to_numpy() for k in range(1, 6))
+            fx, fy = _pushed(x, y, mass, box, sums)
+            fx, fy = fx + px, fy + py
+            norm = np.maximum(np.hypot(fx, fy), 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x + fx / norm * speed), pa.array(y + fy / norm * speed)], ["no", "mass", "x", "y"])
+
+    return run
+
+
+def hull(positions: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster_id, place, x, y): corners of the convex hull around the placed nodes of each cluster, in turn.
+
+    Hulls are taken of the points of each batch first and then of their corners, so that no task holds a whole cluster.
+    """
+    base = clusters.join(positions, "node").select("cluster_id", "x", "y")
+
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for cluster, rows in part.groupby("cluster_id"):
+                found = convex(rows[["x", "y"]].to_numpy())
+                yield pd.DataFrame({"cluster_id": cluster, "x": [p[0] for p in found], "y": [p[1] for p in found]})
+
+    def joined(rows: pd.DataFrame) -> pd.DataFrame:
+        found = convex(rows[["x", "y"]].to_numpy())
+        return pd.DataFrame({"cluster_id": rows["cluster_id"].iloc[0], "place": range(1, len(found) + 1), "x": [p[0] for p in found], "y": [p[1] for p in found]})
+
+    part = base.mapInPandas(corners, "cluster_id int, x double, y double")
+    return part.groupBy("cluster_id").applyInPandas(lambda rows: joined(rows), "cluster_id int, place int, x double, y double")
+
+
+def convex(points: np.ndarray) -> list[tuple[float, float]]:
+    """Corners of the convex hull, from the leftmost one on, against the clock."""
+    some = sorted(set(map(tuple, points.tolist())))
+    if len(some) < 3:
+        return some
+
+    def half(order: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        out: list[tuple[float, float]] = []
+        for p in order:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return half(some) + half(some[::-1])
 
 
 def timeline(nodes: DataFrame, edges: DataFrame, share: float = 0.25, labels: int = 25) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, x = mean year, y = cluster, shown) and the edges of at least ``share`` of the greatest weight."""
-    shown = F.row_number().over(Window.orderBy(F.desc("size"), "node")) <= labels  # the nodes of a map, thousands at most
-    top = edges.agg(F.max("weight").alias("top"))  # one row
-    kept = edges.crossJoin(F.broadcast(top)).filter(F.col("weight") >= share * F.col("top")).drop("top")
-    return nodes.select("node", F.col("year_mean").alias("x"), F.col("cluster_id").alias("y"), shown.alias("shown")), kept
+    top = nodes.orderBy(F.desc("size"), "node").limit(labels).select("node", F.lit(True).alias("shown"))
+    most = edges.agg(F.max("weight").alias("top"))  # one row
+    kept = edges.crossJoin(F.broadcast(most)).filter(F.col("weight") >= share * F.col("top")).drop("top")
+    marked = nodes.join(F.broadcast(top), "node", "left")
+    return marked.select("node", F.col("year_mean").alias("x"), F.col("cluster_id").alias("y"), F.coalesce("shown", F.lit(False)).alias("shown")), kept
+
+
+def heaviest(edges: DataFrame, share: float = 0.2, most: int | None = None) -> DataFrame:
+    """The heaviest ``share`` of the edges (one at least, ties by name), as maps draw them."""
+    ranked = numbered_rows(edges, [F.desc("weight"), F.asc("src"), F.asc("dst")], "_place")
+    n = edges.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share)).alias("_n"))  # one row
+    kept = ranked.crossJoin(F.broadcast(n)).filter(F.col("_place") < (F.col("_n") if most is None else F.least("_n", F.lit(most))))
+    return kept.drop("_place", "_n")
+
+
+def without_isolates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes (term or node first) that have an edge to another."""
+    name = "term" if "term" in nodes.columns else "node"
+    ends = both_ways(edges).filter("node <> other").select(F.col("node").alias(name)).distinct()
+    return nodes.join(ends, name, "left_semi")
+
+
+def top_neighbours(edges: DataFrame, k: int = 8) -> DataFrame:
+    """(node, place, other, weight): of each node the k heaviest links, ties by name."""
+    by = Window.partitionBy("node").orderBy(F.desc("weight"), "other")
+    return both_ways(edges).filter("node <> other").withColumn("place", F.row_number().over(by)).filter(F.col("place") <= k).select("node", F.col("place").cast("long").alias("place"), "other", "weight")
+
+
+def find_nodes(nodes: DataFrame, text: str = "", hidden: list[int] | None = None) -> DataFrame:
+    """The nodes whose name contains a text, without regard to case, and whose cluster is not hidden."""
+    name = "term" if "term" in nodes.columns else "node"
+    found = nodes.filter(F.contains(F.lower(name), F.lit(text.lower())))
+    return found.filter(~F.col("cluster_id").isin(hidden)) if hidden else found
 
 
 def density_grid(positions: DataFrame, cells: int = 20) -> DataFrame:

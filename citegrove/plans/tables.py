@@ -106,6 +106,23 @@ def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str
     return left.join(sliced.withColumn("_slice", F.explode(every)).drop("_slices"), [*keys, "_slice"], how).drop("_slice")
 
 
+def hot_keys(lookup: DataFrame, keys: list[str], weight: str) -> DataFrame | None:
+    """(keys, _slices) of the hot keys of a lookup as salted_join has them, written once for joins that are repeated; None where no key is hot."""
+    least = lookup.agg(F.greatest(F.lit(HOT_ROWS), F.ceil(F.coalesce(F.sum(weight), F.lit(0)) / HOT_KEYS)).alias("least")).first().least
+    hot = lookup.filter(F.col(weight) > least).select(*keys, F.ceil(F.col(weight) / least).cast("int").alias("_slices"))
+    return None if hot.isEmpty() else cut(hot, "hot")
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """Inner join with a lookup, the rows of hot keys (see hot_keys) over their slices and the lookup's repeated for each."""
+    if hot is None:
+        return rows.join(lookup, keys)
+    slices = F.coalesce("_slices", F.lit(1))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_slice", F.pmod(F.xxhash64(F.monotonically_increasing_id()), slices).cast("int")).drop("_slices")
+    right = lookup.join(F.broadcast(hot), keys, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")
+    return left.join(right, [*keys, "_slice"]).drop("_slice")
+
+
 def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
     """Broadcast while the lookup is small (see fits), else the salted shuffle join."""
     if fits(lookup):

@@ -184,8 +184,12 @@ def test_communities_are_louvain_at_every_size(spark, monkeypatch):
         return [ids[v] for v in nodes]
 
     many = found(graph.communities(e))
-    monkeypatch.setattr(graph, "TASK_EDGES", 10, raising=False)  # no size changes the method or its result
     assert found(graph.communities(e.repartition(7))) == many
+    some = edges_of(spark, [p for p in pairs if p[0] < "n030" and p[1] < "n030"])
+    held = {r.node: r.label for r in graph.louvain(some).collect()}
+    monkeypatch.setattr(graph, "HELD_EDGES", 0)  # no size changes the method or its result
+    assert {r.node: r.label for r in graph.louvain(some).collect()} == held and len(set(held.values())) > 1
+    monkeypatch.undo()
     assert quality(many) >= quality(graph.louvain_partition(near)) - 0.02
     assert len(set(found(graph.communities(e, 8.0)))) > len(set(many))
     assert graph.communities(e.limit(0)).count() == 0
@@ -199,6 +203,49 @@ def test_paths(spark):
     assert graph.density(line).first()[:] == (4, 3, 0.5)
 
 
+def test_walks_are_the_same_by_joins(spark, monkeypatch):
+    rng = random.Random(12)
+    names = [f"n{i:02d}" for i in range(9)]
+    e = edges_of(spark, [(a, b, rng.randint(1, 4)) for a, b in combinations(names, 2) if rng.random() < 0.35] + [("n03", "n03", 2), ("x", "y", 1), ("z", "z", 1)])
+    one = [f(e).collect() for f in (graph.betweenness, lambda x: graph.betweenness(x, True), graph.closeness, graph.path_lengths)]
+    monkeypatch.setattr(graph, "HELD_EDGES", 0)
+    monkeypatch.setattr(tables, "HOT_ROWS", 3)
+    two = [f(e).collect() for f in (graph.betweenness, lambda x: graph.betweenness(x, True), graph.closeness, graph.path_lengths)]
+    assert [{r[0]: pytest.approx(r[1], abs=1e-6) for r in x} for x in one] == [{r[0]: r[1] for r in x} for x in two]
+    line = edges_of(spark, [("a", "b", 5), ("a", "c", 1), ("c", "b", 1)])
+    monkeypatch.undo()
+    assert {r.node: r.betweenness for r in graph.betweenness(line, True).collect()} == {"a": 0.0, "b": 0.0, "c": 1.0}
+
+
+def test_layout_is_the_same_by_joins(spark, monkeypatch):
+    rng = random.Random(13)
+    e = edges_of(spark, [(f"n{a}", f"n{b}", rng.randint(1, 3)) for a, b in combinations(range(20), 2) if rng.random() < 0.3 or a // 10 == b // 10])
+    for linlog in (False, True):
+        one = {r.node: (r.x, r.y) for r in graph.layout(e, 4, linlog=linlog).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(graph, "HELD_NODES", 0)
+            two = {r.node: (r.x, r.y) for r in graph.layout(e, 4, linlog=linlog).collect()}
+        assert one == {v: (pytest.approx(x, abs=1e-6), pytest.approx(y, abs=1e-6)) for v, (x, y) in two.items()}
+    placed = {r.node: (r.x, r.y) for r in graph.layout(edges_of(spark, [("a", "b", 9), ("c", "d", 9), ("b", "c", 0.01)]), 100).collect()}
+    far = lambda p, q: math.dist(placed[p], placed[q])
+    assert far("a", "b") < far("a", "c") and far("c", "d") < far("b", "d")
+
+
+def test_hulls_edges_and_nodes_of_maps(spark):
+    places = spark.createDataFrame([(f"n{i}", float(x), float(y)) for i, (x, y) in enumerate([(0, 0), (2, 0), (2, 2), (0, 2), (1, 1), (5, 5)])], "node string, x double, y double").repartition(3)
+    clusters = spark.createDataFrame([(f"n{i}", int(i == 5)) for i in range(6)], "node string, cluster_id int")
+    got = defaultdict(list)
+    for r in graph.hull(places, clusters).orderBy("cluster_id", "place").collect():
+        got[r.cluster_id].append((r.x, r.y))
+    assert got == {0: [(0, 0), (2, 0), (2, 2), (0, 2)], 1: [(5, 5)]}
+    e = edges_of(spark, [("a", "b", 3), ("b", "c", 1), ("c", "d", 2), ("a", "c", 1), ("e", "e", 9)])
+    assert rows(graph.heaviest(e, 0.4)) == [("a", "b", 3.0), ("e", "e", 9.0)] and graph.heaviest(e, 0.01).count() == 1
+    nodes = spark.createDataFrame([(x, 0 if x < "c" else 1) for x in "abcdefA"], "node string, cluster_id int")
+    assert {r.node for r in graph.without_isolates(nodes, e).collect()} == set("abcd")
+    assert rows(graph.top_neighbours(e, 1)) == [("a", 1, "b", 3.0), ("b", 1, "a", 3.0), ("c", 1, "d", 2.0), ("d", 1, "c", 2.0)]
+    assert {r.node for r in graph.find_nodes(nodes, "A").collect()} == {"a", "A"} and graph.find_nodes(nodes, "", [0]).count() == 4
+
+
 def test_path_queries_take_the_whole_network(spark, make_records, tmp_path):
     n = 150  # a ring with a tail; each term has 20 occurrences or more
     pairs = [(i, (i + 1) % (n - 5)) for i in range(n - 5)] + [(i, i + 1) for i in range(n - 6, n - 1)]

@@ -157,3 +157,10 @@ def year_of(c: Column | str) -> Column:
     """The first whole number 1900-2099 in a text, else 0."""
     found = F.regexp_extract(text(c), r"\b((?:19|20)[0-9]{2})\b", 1)
     return F.when(found == "", F.lit(0)).otherwise(found.cast("int"))
+
+
+def label_answers(c: Column | str) -> Column:
+    """An array of structs (cluster_id, label) from lines "number: label" of an answer; other lines are left out."""
+    found = F.regexp_extract_all(text(c), F.lit(r"(?m)^[ \t]*([0-9]+[ \t]*:[ \t]*.+)$"), 1)
+    one = lambda x: F.struct(F.regexp_extract(x, r"^([0-9]+)", 1).try_cast("int").alias("cluster_id"), F.trim(F.regexp_extract(x, r"^[0-9]+[ \t]*:[ \t]*(.+)$", 1)).alias("label"))
+    return F.filter(F.transform(found, one), lambda x: x["cluster_id"].isNotNull() & (x["label"] != ""))

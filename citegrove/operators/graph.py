@@ -659,6 +659,37 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     return numbered(louvain(edges, resolution))
 
 
+def communities_by(nodes: DataFrame, edges: DataFrame, by: str, resolution: float = 1.0) -> DataFrame:
+    """(by, clusters): the number of Louvain's communities of each of several networks, a node without edges being one of its own.
+
+    ``nodes`` has by and node, ``edges`` by, src, dst and weight. Networks that a task can hold are one task's each, all
+    at once; larger ones (of more than HELD_EDGES edges) are taken one by one.
+    """
+    edges = cut(edges.select(by, "src", "dst", F.col("weight").cast("double").alias("weight")), "networks")
+    size = edges.groupBy(by).agg(F.count(F.lit(1)).alias("m"))
+    large = [r[by] for r in size.filter(F.col("m") > HELD_EDGES).select(by).collect()]  # few, as each holds that many edges
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        names, place = np.unique(np.r_[rows["src"], rows["dst"]].astype(object), return_inverse=True)
+        a, b, w = place[: len(rows)], place[len(rows) :], rows["weight"].to_numpy()
+        loop, own = a == b, np.zeros(len(names))
+        np.add.at(own, a[loop], w[loop])
+        x, y, z = np.r_[a[~loop], b[~loop]], np.r_[b[~loop], a[~loop]], np.r_[w[~loop], w[~loop]]
+        order = np.lexsort((y, x))
+        group = held_louvain(x[order], y[order], z[order], own, resolution)
+        return pd.DataFrame({by: [rows[by].iloc[0]], "found": [len(np.unique(group))], "linked": [len(names)]})
+
+    kind = edges.schema[by].dataType.simpleString()
+    small = edges.filter(~F.col(by).isin(large)) if large else edges
+    counted = small.groupBy(by).applyInPandas(lambda rows: found(rows), f"{by} {kind}, found long, linked long")
+    for value in large:
+        labels = louvain(edges.filter(F.col(by) == value), resolution)
+        counted = counted.unionByName(labels.agg(F.lit(value).cast(kind).alias(by), F.countDistinct("label").alias("found"), F.count(F.lit(1)).alias("linked")))
+    every = nodes.groupBy(by).agg(F.countDistinct("node").alias("n"))
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
+    return every.join(counted, by, "left").select(by, (zero("found") + F.col("n") - zero("linked")).cast("long").alias("clusters"))
+
+
 def modularity(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     """One row: weighted modularity of a partition (node, cluster_id)."""
     a, b = (clusters.select(F.col("node").alias(x), F.col("cluster_id").alias(f"c{x}")) for x in ("src", "dst"))

@@ -50,6 +50,15 @@ def summary(c: DataFrame) -> DataFrame:
     return c.agg(F.count(F.lit(1)).alias("papers"), F.min("year").alias("year_min"), F.max("year").alias("year_max"), F.max("citations").alias("citations_max"), F.round(F.avg("citations"), 2).alias("citations_mean"))
 
 
+def network_summary(c: DataFrame, nodes: DataFrame, edges: DataFrame, clusters: DataFrame) -> DataFrame:
+    """summary's row with the nodes, edges, clusters and density (0 under two nodes) of a network of the corpus."""
+    n = nodes.agg(F.count(F.lit(1)).alias("nodes"))
+    m = edges.agg(F.count(F.lit(1)).alias("edges"))
+    k = clusters.agg(F.coalesce(F.max("cluster_id") + 1, F.lit(0)).cast("long").alias("clusters"))
+    d = F.when(F.col("nodes") > 1, F.round(2.0 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 4)).otherwise(0.0)
+    return summary(c).crossJoin(n).crossJoin(m).crossJoin(k).withColumn("density", d)  # one row each
+
+
 def descriptive(c: DataFrame) -> DataFrame:
     """One row: papers, first, last and median year of known years, sum, mean and greatest citations."""
     known = F.when(F.col("year") > 0, F.col("year"))
@@ -164,20 +173,27 @@ def periods(c: DataFrame, years: int = 5) -> DataFrame:
 
 def evolution(c: DataFrame, years: int = 5, least_papers: int = 3, min_occurrence: int = 3) -> DataFrame:
     """(period, papers, nodes, edges, density, top_terms) of the keyword network of each window; smaller windows are skipped."""
+    papers, n, edges = period_networks(c, years, least_papers, min_occurrence)
+    m = edges.groupBy("period").agg(F.count(F.lit(1)).alias("edges"))
+    rank = F.row_number().over(Window.partitionBy("period").orderBy(F.desc("n"), "node"))
+    top = n.withColumn("r", rank).filter("r <= 5").groupBy("period").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "node"))), lambda x: x["node"]), "; ").alias("top_terms"))
+    nodes = n.groupBy("period").agg(F.count(F.lit(1)).alias("nodes"))
+    out = papers.join(nodes, "period", "left").join(m, "period", "left").join(top, "period", "left")
+    v, e = F.coalesce("nodes", F.lit(0)), F.coalesce("edges", F.lit(0))
+    return out.select("period", "papers", v.alias("nodes"), e.alias("edges"), F.when(v > 1, F.round(2.0 * e / (v * (v - 1)), 6)).otherwise(0.0).alias("density"), F.coalesce("top_terms", F.lit("")).alias("top_terms"))
+
+
+def period_networks(c: DataFrame, years: int = 5, least_papers: int = 3, min_occurrence: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(period, papers), (period, node, n) and (period, src, dst, weight) of the keyword network of each window of enough papers."""
     p = periods(c, years)
     papers = p.groupBy("period").agg(F.count(F.lit(1)).alias("papers")).filter(F.col("papers") >= least_papers)
-    t = items(p, "keywords", lower=True, keep=("period", "rec_id"))
+    t = items(p, "keywords", lower=True, keep=("period", "rec_id")).join(F.broadcast(papers.select("period")), "period", "left_semi")  # a row per window
     n = t.groupBy("period", "item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_occurrence)
     docs = t.join(n, ["period", "item"], "left_semi").groupBy("period", "rec_id").agg(F.array_sort(F.collect_set("item")).alias("v"))
     m = F.size("v")
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), m - 1), lambda i: F.transform(F.slice("v", i + 1, m - i), lambda y: F.struct(F.element_at("v", i).alias("src"), y.alias("dst")))))
-    edges = docs.filter(m > 1).select("period", F.inline(pairs)).distinct().groupBy("period").agg(F.count(F.lit(1)).alias("edges"))
-    rank = F.row_number().over(Window.partitionBy("period").orderBy(F.desc("n"), "item"))
-    top = n.withColumn("r", rank).filter("r <= 5").groupBy("period").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "item"))), lambda x: x["item"]), "; ").alias("top_terms"))
-    nodes = n.groupBy("period").agg(F.count(F.lit(1)).alias("nodes"))
-    out = papers.join(nodes, "period", "left").join(edges, "period", "left").join(top, "period", "left")
-    v, e = F.coalesce("nodes", F.lit(0)), F.coalesce("edges", F.lit(0))
-    return out.select("period", "papers", v.alias("nodes"), e.alias("edges"), F.when(v > 1, F.round(2.0 * e / (v * (v - 1)), 6)).otherwise(0.0).alias("density"), F.coalesce("top_terms", F.lit("")).alias("top_terms"))
+    edges = docs.filter(m > 1).select("period", F.inline(pairs)).groupBy("period", "src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    return papers, n.withColumnRenamed("item", "node"), edges
 
 
 def author_keyword_pairs(c: DataFrame, per_record: int = 5, k: int = 15) -> DataFrame:

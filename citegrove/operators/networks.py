@@ -31,9 +31,14 @@ def among(docs: DataFrame, value: str, allowed: DataFrame, weight: str) -> DataF
     return lookup_join(docs, cut(allowed.select(value, weight), "allowed"), [value], weight).drop(weight)
 
 
-def term_nodes(terms: DataFrame, min_occurrence: int = 1, max_nodes: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """(term, occurrences, doc_freq, relevance) of the valid terms: enough occurrences, allowed, then the most relevant."""
+def term_nodes(terms: DataFrame, min_occurrence: int = 1, max_nodes: int | None = None, allowed: DataFrame | None = None, top_percent: float | None = None) -> DataFrame:
+    """(term, occurrences, doc_freq, relevance) of the valid terms: enough occurrences, allowed, then the most relevant.
+
+    How many are kept is said by ``max_nodes``, or else by ``top_percent`` of the terms with enough occurrences (one at least).
+    """
     nodes = relevance(counts(terms), terms).filter(F.col("occurrences") >= min_occurrence)
+    if top_percent is not None and max_nodes is None:
+        max_nodes = max(1, int(nodes.count() * top_percent / 100))
     if allowed is not None:
         nodes = nodes.join(allowed.select("term").distinct(), "term", "left_semi")
     if max_nodes is not None:
@@ -100,10 +105,15 @@ def coupling(c: DataFrame, least: int = 2) -> DataFrame:
     return both.select("src", "dst", F.size(F.array_intersect("a", "b")).cast("long").alias("weight")).filter(F.col("weight") >= least)
 
 
+def first_labels(c: DataFrame, width: int = 25) -> DataFrame:
+    """(rec_id, label): first author and year, as equal as they come."""
+    who = F.substring(F.substring_index("authors", ";", 1), 1, width)
+    return c.select("rec_id", F.concat(F.when(F.col("authors") == "", F.lit("Unknown")).otherwise(who), F.lit(" ("), F.col("year").cast("string"), F.lit(")")).alias("label"))
+
+
 def paper_labels(c: DataFrame, width: int = 25) -> DataFrame:
     """(rec_id, label): first author and year; equal labels are told apart by #1, #2, ... in the order of rec_id."""
-    who = F.substring(F.substring_index("authors", ";", 1), 1, width)
-    base = c.select("rec_id", F.concat(F.when(F.col("authors") == "", F.lit("Unknown")).otherwise(who), F.lit(" ("), F.col("year").cast("string"), F.lit(")")).alias("base"))
+    base = first_labels(c, width).withColumnRenamed("label", "base")
     k = F.row_number().over(Window.partitionBy("base").orderBy("rec_id")) - 1
     return base.withColumn("k", k).select("rec_id", F.when(F.col("k") == 0, F.col("base")).otherwise(F.concat("base", F.lit(" #"), F.col("k").cast("string"))).alias("label"))
 

@@ -7,7 +7,9 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citegrove.functions.language import detected
 from citegrove.operators.corpus import stop_words
+from citegrove.plans.tables import cut, salted_join
 from citegrove.sources.connectors import Query
 
 
@@ -27,7 +29,9 @@ def matches(c: DataFrame, q: Query) -> DataFrame:
     if q.until is not None:
         test &= F.col("year") <= q.until
     if q.language:
-        test &= F.lower(F.substring("language", 1, 2)) == q.language
+        # records without a label are judged by what they say
+        told = F.when(F.trim("language") != "", F.lower(F.substring(F.trim("language"), 1, 2))).otherwise(detected(F.concat_ws(" ", "title", "abstract"))["language"])
+        test &= told == q.language
     return c.filter(test & F.col("is_oa") if q.open_access else test)
 
 
@@ -40,24 +44,30 @@ def tfidf_search(c: DataFrame, query: str, k: int = 5, least: float = 0.01, stop
     """(rec_id, similarity) of the k abstracts nearest to a query: cosine of smoothed TF-IDF, idf = ln((1+n)/(1+df)) + 1.
 
     Only words of the query are joined; a record's norm needs the idf of all its words, so the word counts are shuffled
-    once by word and once by record.
+    once by word, those of frequent words over slices, and once by record.
     """
     stops = stop_words(languages=("english",)) if stops is None else stops
     docs = c.filter("abstract <> ''").select("rec_id", F.explode(words(F.col("abstract"), stops)).alias("w"))
     tf = docs.groupBy("rec_id", "w").agg(F.count(F.lit(1)).alias("tf"))
     n = c.filter("abstract <> ''").agg(F.count(F.lit(1)).alias("n"))  # one row
-    idf = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("w", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    tf = cut(tf, "words")
+    idf = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("w", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = cut(idf, "idf")
     asked = c.sparkSession.range(1).select(F.explode(words(F.lit(query), stops)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("q"))
     asked = asked.join(idf, "w").select("w", (F.col("q") * F.col("idf")).alias("qw"))
     norm = asked.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    weighted = tf.join(idf, "w").select("rec_id", "w", (F.col("tf") * F.col("idf")).alias("x")).join(F.broadcast(asked), "w", "left")
+    weighted = salted_join(tf, idf, ["w"], "df").select("rec_id", "w", (F.col("tf") * F.col("idf")).alias("x")).join(F.broadcast(asked), "w", "left")
     score = weighted.groupBy("rec_id").agg(F.sum(F.col("x") * F.col("qw")).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("dn"))
     near = score.crossJoin(F.broadcast(norm)).select("rec_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("similarity"))
     return near.filter(F.col("similarity") > least).orderBy(F.desc("similarity"), "rec_id").limit(k)
 
 
-def topics(c: DataFrame, k: int = 5, top: int = 5, seed: int = 42, rounds: int = 10, vocabulary: int = 5_000) -> DataFrame:
-    """(topic, terms) by LDA over abstracts; words in at least two and at most 90 % of them. No rows if no words are left."""
+def topics(c: DataFrame, k: int = 5, top: int = 5, seed: int = 42, rounds: int = 10, vocabulary: int = 1 << 20) -> DataFrame:
+    """(topic, terms) by LDA over abstracts; words in at least two and at most 90 % of them. No rows if no words are left.
+
+    ``vocabulary`` bounds the words a model holds, which are topics times words numbers; the default leaves out none that
+    a corpus of natural texts has.
+    """
     spark = c.sparkSession
     docs = c.filter("abstract <> ''").select("rec_id", words(F.col("abstract"), stop_words(languages=("english",))).alias("words"))
     if docs.filter(F.size("words") > 0).isEmpty():

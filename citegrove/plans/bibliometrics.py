@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrove.functions.text import EDGE_BLANKS, dedup_key, first_surname, normalised_doi, normalised_title, year_of
+from citegrove.functions.language import SMALL_WORDS, detected, small_words
+from citegrove.functions.text import EDGE_BLANKS, dedup_key, first_surname, normalised_doi, normalised_title, split_semicolon, year_of
 from citegrove.operators import dedup, graph, metrics, networks, search
 from citegrove.operators.corpus import corpus, counts, doc_terms, items, ngrams, relevance, stop_words, tokens, with_thesaurus
 from citegrove.plans.tables import cut, new_folder, table
@@ -37,8 +38,10 @@ def _items(name: str, expression: str, sep: str = "auto") -> str:
 KW = _items("kw", "lower(keywords)")
 AU = _items("au", "authors")
 OCC = "occ as (select item, count(*) n, count(distinct rec_id) df from kw group by 1)"
-#: The keyword network of the checks: terms of 20 occurrences or more.
-LEAST = 20
+#: The least occurrences of a term in a network, the default of the tools this engine follows.
+LEAST = 3
+#: The last year that "recent" is counted from; some records have absurd later ones.
+LAST_YEAR = 2025
 NODES = f"nodes as (select item from occ where n >= {LEAST})"
 SETS = "ds as (select distinct rec_id, item from kw semi join nodes using (item))"
 EDGES = "edges as (select a.item src, b.item dst, count(*) weight from ds a join ds b on a.rec_id = b.rec_id and a.item < b.item group by 1, 2)"
@@ -71,6 +74,13 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
     return networks.cooccurrence(_terms(s, d), _nodes(s, d))
 
 
+def _network(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the keyword network, written once for queries that read them several times."""
+    t = _terms(s, d)
+    nodes = cut(networks.term_nodes(t, LEAST), "nodes")
+    return nodes, cut(networks.cooccurrence(t, nodes), "edges")
+
+
 @query(f"with {C}, {KW} select item term, count(*) occurrences, count(distinct rec_id) doc_freq from kw group by 1")
 def keyword_counts(s, d):
     return counts(_terms(s, d))
@@ -121,6 +131,11 @@ def cooccurrence_top_nodes(s, d):
     return networks.cooccurrence(t, networks.term_nodes(t, LEAST, max_nodes=40))
 
 
+@query(f"with {C}, {KW}, {OCC}, k as (select greatest(1, cast(floor(count(*) * 2.5 / 100) as int)) k from occ where n >= {LEAST}), r as (select item, row_number() over (order by round({RELEVANCE}, 6) desc, item) r from occ where n >= {LEAST}) select item term from r, k where r <= k")
+def top_percent_nodes(s, d):
+    return networks.term_nodes(_terms(s, d), LEAST, top_percent=2.5).select("term")
+
+
 @query(f"with {C}, {KW}, {OCC}, nodes as (select item from occ where n >= 2 and item in (select lower(trim(term)) from thesaurus)), {SETS}, {EDGES} select src, dst, weight from edges")
 def cooccurrence_allowed(s, d):
     t = _terms(s, d)
@@ -282,10 +297,15 @@ def lotka(s, d):
     return metrics.lotka(_c(s, d))
 
 
-@query(f"""with {C}, {KW}, y as (select max("year") m from c), t as (select item term, count(*) filter ("year" >= m - 2) recent, count(*) filter ("year" between m - 7 and m - 3) early from kw, y where "year" > 0 group by 1)
+@query(f"""with {C}, {KW}, t as (select item term, count(*) filter ("year" >= {LAST_YEAR} - 2) recent, count(*) filter ("year" between {LAST_YEAR} - 7 and {LAST_YEAR} - 3) early from kw where "year" > 0 and "year" <= {LAST_YEAR} group by 1)
 select term, recent, early, round(recent / (early + 0.5), 6) ratio from t where recent >= 2 order by ratio desc, term limit 15""")
 def rising_terms(s, d):
-    return metrics.rising(_terms(s, d), _c(s, d))
+    return metrics.rising(_terms(s, d), _c(s, d), last=LAST_YEAR)
+
+
+@query(f"with {C}, {AU}, a as (select item, count(*) papers from au group by 1) select count(*) authors, count(*) filter (papers = 1) single, round(count(*) filter (papers = 1) / count(*), 6) \"share\" from a")
+def single_paper_authors(s, d):
+    return metrics.single_paper_share(_c(s, d))
 
 
 CALENDAR = f'{YEARLY}, cal as (select y "year", coalesce(n, 0) pubs from (select unnest(range((select min("year") from pub), (select max("year") from pub) + 1)) y) left join pub on pub."year" = y)'
@@ -316,6 +336,12 @@ def temporal_evolution(s, d):
     return metrics.evolution(_c(s, d))
 
 
+@query()
+def temporal_clusters(s, d):
+    papers, nodes, edges = metrics.period_networks(_c(s, d))
+    return papers.select("period").join(graph.communities_by(nodes, edges, "period"), "period", "left").select("period", F.coalesce("clusters", F.lit(0)).alias("clusters"))
+
+
 def _best(rel: str, col: str) -> str:
     return f"(select {col} from {rel} group by 1 order by count(*) desc, {col} limit 10)"
 
@@ -341,14 +367,22 @@ def author_keyword_pairs(s, d):
     return metrics.author_keyword_pairs(_c(s, d))
 
 
-@query(f"""with {C}, {KW}, {AU}, labels as (select item from kw group by 1 having count(*) >= {LEAST} union select item from au group by 1 having count(*) >= 10),
-k as (select distinct labels.item label, 'keyword' matched, kw.rec_id, kw."year", kw.citations from labels join kw on kw.item = lower(labels.item)),
-a as (select distinct labels.item label, 'author' matched, au.rec_id, au."year", au.citations from labels join au on lower(au.item) = lower(labels.item) where labels.item not in (select label from k))
-select label, matched, count(*) papers, round(avg(case when "year" > 0 then "year" end), 1) year_mean, round(avg(citations), 1) citations_mean, cast(sum(citations) as bigint) citations_sum from (select * from k union all select * from a) group by 1, 2""")
+PAPER_LABEL = "case when authors = '' then 'Unknown' else left(string_split(authors, ';')[1], 25) end || ' (' || \"year\" || ')'"
+STATS = """count(*) papers, round(avg(case when "year" > 0 then "year" end), 1) year_mean, round(avg(citations), 1) citations_mean, cast(sum(citations) as bigint) citations_sum"""
+
+
+@query(f"""with {C}, {KW}, {AU}, best as (select * from c order by citations desc, rec_id limit 60), labels as (select distinct item "label", lower(item) k from (select item from kw group by 1 having count(*) >= {LEAST} union select item from au group by 1 having count(*) >= 10 union select left(title, 24) from best union select {PAPER_LABEL} from best)),
+one as (select distinct "label", 'keyword' matched, kw.rec_id, kw."year", kw.citations from labels join kw on kw.item = k), r1 as (select * from labels where "label" not in (select "label" from one) and k <> ''),
+two as (select distinct "label", 'author' matched, au.rec_id, au."year", au.citations from r1 join au on lower(au.item) = k), r2 as (select * from r1 where "label" not in (select "label" from two)),
+three as (select distinct "label", 'title' matched, c.rec_id, c."year", c.citations from r2 join c on contains(lower(title), k)), r3 as (select *, regexp_replace(regexp_replace(k, '[0-9]+', '', 'g'), '^[() ,]+|[() ,]+$', '', 'g') who, {YEAR.format('"label"')} y from r2 where "label" not in (select "label" from three)),
+four as (select distinct "label", 'author_year' matched, c.rec_id, c."year", c.citations from r3 join c on who <> '' and y > 0 and c."year" = y and contains(lower(authors), who))
+select "label", matched, {STATS} from (select * from one union all select * from two union all select * from three union all select * from four) group by 1, 2""")
 def overlay_scores(s, d):
     c = _c(s, d)
     names = items(c, "authors").groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n >= 10").select(F.col("item").alias("label"))
-    return networks.overlay(c, _nodes(s, d).select(F.col("term").alias("label")).union(names).distinct())
+    best = c.orderBy(F.desc("citations"), "rec_id").limit(60)  # the nodes of a historiograph or citation map
+    titles, papers = best.select(F.substring("title", 1, 24).alias("label")), networks.first_labels(best).select("label")
+    return networks.overlay(c, _nodes(s, d).select(F.col("term").alias("label")).union(names).union(titles).union(papers).distinct())
 
 
 #: A fixed partition, so that both sides agree on it.
@@ -357,8 +391,13 @@ WAYS = "ways as (select src node, dst other, weight from edges union all select
 DEG = "deg as (select node, count(*) degree, round(sum(weight), 6) weighted_degree from ways group by 1)"
 
 
-def _parts(s: SparkSession, d: str) -> DataFrame:
-    return _nodes(s, d).select(F.col("term").alias("node"), (F.length("term") % 5).cast("int").alias("cluster_id"))
+def _parts(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.col("term").alias("node"), (F.length("term") % 5).cast("int").alias("cluster_id"))
+
+
+def _parted(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = _network(s, d)
+    return edges, _parts(nodes)
 
 
 COLORS = "[" + ", ".join(f"'{c}'" for c in graph.PALETTE) + "]"
@@ -366,7 +405,7 @@ COLORS = "[" + ", ".join(f"'{c}'" for c in graph.PALETTE) + "]"
 
 @query(f"{NET}, {PART}, {WAYS}, {DEG}, t as (select cluster_id, node, row_number() over (partition by cluster_id order by coalesce(weighted_degree, 0) desc, node) r from part left join deg using (node)) select cluster_id, (select count(*) from part p where p.cluster_id = t.cluster_id) size, {COLORS}[cluster_id % 8 + 1] color, string_agg(node, '; ' order by r) top_nodes from t where r <= 5 group by 1")
 def cluster_report(s, d):
-    return graph.cluster_report(_edges(s, d), _parts(s, d))
+    return graph.cluster_report(*_parted(s, d))
 
 
 CALLON = f"""{NET}, {PART}, {WAYS}, {DEG}, e as (select weight, a.cluster_id ca, b.cluster_id cb from edges join part a on a.node = src join part b on b.node = dst),
@@ -377,12 +416,24 @@ themes as (select cluster_id, size, round(coalesce(x.w, 0)::double, 4) centralit
 
 @query(f"{CALLON} select * from themes")
 def callon_map(s, d):
-    return graph.callon(_edges(s, d), _parts(s, d))
+    return graph.callon(*_parted(s, d))
 
 
 @query(f"{CALLON}, m as (select median(centrality) mc, median(density) md from themes) select themes.*, case when centrality >= mc and density >= md then 'motor' when centrality >= mc then 'basic' when density >= md then 'niche' else 'emerging' end quadrant from themes, m")
 def callon_quadrants(s, d):
-    return graph.quadrants(graph.callon(_edges(s, d), _parts(s, d)))
+    return graph.quadrants(graph.callon(*_parted(s, d)))
+
+
+@query()
+def louvain_report(s, d):
+    edges = _network(s, d)[1]
+    return graph.cluster_report(edges, cut(graph.communities(edges), "clusters"))
+
+
+@query()
+def louvain_themes(s, d):
+    edges = _network(s, d)[1]
+    return graph.quadrants(graph.callon(edges, cut(graph.communities(edges), "clusters")))
 
 
 @query(f"{NET}, {WAYS}, {DEG} select * from deg")
@@ -392,7 +443,7 @@ def degree(s, d):
 
 @query(f"{NET}, {WAYS} select n nodes, m edges, case when n > 1 then round(2.0::double * m / (n * (n - 1)), 6) else 0.0 end density from (select count(distinct node) n from ways), (select count(*) m from edges)")
 def density(s, d):
-    return graph.density(_edges(s, d))
+    return graph.density(_network(s, d)[1])
 
 
 @query(f"{NET}, {WAYS}, {DEG} select round(avg(degree), 6) degree_mean, max(degree) degree_max, (select node from deg order by degree desc, node limit 1) node_max from deg")
@@ -400,17 +451,17 @@ def degree_stats(s, d):
     return graph.degree_stats(_edges(s, d))
 
 
-FAMILY = f"with recursive {C}, {AU}, ds as (select distinct rec_id, item from au semi join (select item from au group by 1 having count(*) >= 12) using (item)), {EDGES}, {WAYS}, reach(node, other) as (select node, node from ways union select reach.node, ways.other from reach join ways on ways.node = reach.other)"
+FAMILY = f"with recursive {C}, {AU}, ds as (select distinct rec_id, item from au semi join (select item from au group by 1 having count(*) >= 3) using (item)), {EDGES}, {WAYS}, reach(node, other) using key (node) as (select node, node from ways union select ways.other, min(reach.other) from reach join ways on ways.node = reach.node join recurring.reach known on known.node = ways.other where reach.other < known.other group by 1)"
 
 
-@query(f"{FAMILY} select node, min(other) component from reach group by 1")
+@query(f"{FAMILY} select node, other component from reach")
 def components(s, d):
-    return graph.components(networks.coauthorship(_c(s, d), 12)[1])
+    return graph.components(networks.coauthorship(_c(s, d), 3)[1])
 
 
-@query(f"{FAMILY}, comp as (select node, min(other) c from reach group by 1), big as (select c from comp group by 1 order by count(*) desc, c limit 1) select src, dst, weight from edges where src in (select node from comp join big using (c))")
+@query(f"{FAMILY}, comp as (select node, other c from reach), big as (select c from comp group by 1 order by count(*) desc, c limit 1) select src, dst, weight from edges where src in (select node from comp join big using (c))")
 def largest_component(s, d):
-    return graph.largest_component(networks.coauthorship(_c(s, d), 12)[1])
+    return graph.largest_component(networks.coauthorship(_c(s, d), 3)[1])
 
 
 @query(f"""{NET}, {WAYS}, {DEG}, e as (select src a, dst b, weight::double / (select max(weight) from edges) w from edges), t as (select x.a p, x.b q, y.b r, pow(x.w * y.w * z.w, 1.0::double / 3) t from e x join e y on y.a = x.b join e z on z.a = x.a and z.b = y.b),
@@ -435,29 +486,79 @@ def pagerank_fixed_iter(s, d):
     return graph.pagerank(_edges(s, d), ROUNDS)
 
 
+def _eigenvector_sql() -> str:
+    steps = [f"{NET}, {WAYS}, e0 as materialized (select distinct node, 1.0::double x from ways)"]
+    for k in range(ROUNDS):
+        steps.append(f"y{k} as (select e.node, e.x + coalesce(g, 0) y from e{k} e left join (select ways.node, sum(x * weight) g from ways join e{k} o on o.node = ways.other group by 1) using (node)), e{k + 1} as materialized (select node, y / sqrt((select sum(y * y) from y{k})) x from y{k})")
+    return ", ".join(steps) + f" select node, round(x, 6) centrality from e{ROUNDS}"
+
+
+@query(_eigenvector_sql())
+def eigenvector_fixed_iter(s, d):
+    return graph.eigenvector(_edges(s, d), ROUNDS, 0.0)
+
+
 @query()
 def eigenvector(s, d):
     return graph.eigenvector(_edges(s, d))
 
 
-@query()
+#: More levels than the networks of the checks have; levels beyond the last node are empty.
+LEVELS = 9
+
+
+def _levels_sql(net: str, nodes: str) -> str:
+    """Tables v0, v1, ... of (s, node, k): nodes that many steps from s and the numbers of shortest paths to them."""
+    steps = [f"{net}, v0 as materialized (select node s, node, 1.0::double k from {nodes}), seen0 as materialized (select s, node from v0)"]
+    for i in range(1, LEVELS + 1):
+        back = " ".join(f"anti join v{j} using (s, node)" for j in (i - 1, i - 2) if j >= 0)
+        steps.append(f"v{i} as materialized (select * from (select s, other node, sum(k) k from v{i - 1} join ways using (node) group by 1, 2) {back})")
+    return ", ".join(steps)
+
+
+def _between() -> str:
+    """A table of betweenness: (node, betweenness)."""
+    steps = [_levels_sql(f"{NET}, {WAYS}", "(select distinct node from ways)"), f"o{LEVELS} as (select s, node, k, 0.0::double owed from v{LEVELS})"]
+    for i in range(LEVELS - 1, -1, -1):
+        steps.append(f"o{i} as materialized (select v.s, v.node, v.k, coalesce(v.k * g, 0) owed from v{i} v left join (select b.s, ways.other node, sum((1 + owed) / b.k) g from o{i + 1} b join ways on ways.node = b.node group by 1, 2) x on x.s = v.s and x.node = v.node)")
+    every = " union all ".join(f"select s, node, owed from o{i}" for i in range(LEVELS))
+    return ", ".join(steps) + f", nn as (select count(distinct node) n from ways), bt as (select node, round(sum(case when s <> node then owed else 0 end) / ((n - 1) * (n - 2)), 4) betweenness from ({every}), nn group by node, n)"
+
+
+@query(f"{_between()} select * from bt")
 def betweenness(s, d):
-    return graph.betweenness(_edges(s, d))
+    return graph.betweenness(_network(s, d)[1])
 
 
-@query()
+@query(f"""{NET.replace('with ', 'with recursive ', 1)}, {WAYS}, far(s, node, d) using key (s, node) as (select distinct node, node, 0.0::double from ways union
+select far.s, ways.other, min(far.d + weight) from far join ways using (node) left join recurring.far known on known.s = far.s and known.node = ways.other where known.d is null or far.d + weight < known.d group by 1, 2),
+t as (select s, sum(d) total, count(*) - 1 reached from far group by 1) select s node, round(case when total > 0 then reached / total * reached / ((select count(distinct node) from ways) - 1) else 0 end, 6) closeness from t""")
 def closeness(s, d):
-    return graph.closeness(_edges(s, d))
+    return graph.closeness(_network(s, d)[1])
 
 
-@query()
+PART_OF = "reach(node, other) using key (node) as (select node, node from every union select every.other, min(reach.other) from reach join every on every.node = reach.node join recurring.reach known on known.node = every.other where reach.other < known.other group by 1)"
+
+
+@query(f"""{_levels_sql(f"{NET.replace('with ', 'with recursive ', 1)}, {WAYS.replace('ways as', 'every as')}, {PART_OF}, big as (select other c from reach group by 1 order by count(*) desc, c limit 1), ways as materialized (select every.* from every join reach on reach.node = every.node join big on big.c = reach.other)", '(select distinct node from ways)')},
+l as ({" union all ".join(f"select s, {i} d from v{i}" for i in range(LEVELS + 1))}) select max(d) diameter, round(sum(d) / (count(*) filter (d > 0)), 6) path_mean from l""")
 def path_lengths(s, d):
-    return graph.path_lengths(_edges(s, d))
+    return graph.path_lengths(_network(s, d)[1])
+
+
+@query("""with c as (select r_name, min(n_name) "first", count(*) n from nation join region on r_regionkey = n_regionkey group by 1) select n_name node, cast(row_number_ - 1 as int) cluster_id from nation join region on r_regionkey = n_regionkey join (select r_name, row_number() over (order by n desc, "first") row_number_ from c) using (r_name)""")
+def louvain_planted(s, d):
+    """Nations of one region are tied closely, consecutive ones of two regions loosely; the regions must come out."""
+    n = table(s, d, "nation").select("n_name", "n_regionkey", "n_nationkey")
+    a, b = n.toDF("src", "ra", "ka"), n.toDF("dst", "rb", "kb")
+    near = a.join(b, F.col("ra") == F.col("rb")).filter("src < dst").select("src", "dst", F.lit(10.0).alias("weight"))
+    far = a.join(b, F.col("kb") == F.col("ka") + 1).filter("ra <> rb").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.lit(0.5).alias("weight"))
+    return graph.communities(near.unionByName(far))
 
 
 @query()
 def louvain(s, d):
-    return graph.communities(cut(_edges(s, d)))
+    return graph.communities(_network(s, d)[1])
 
 
 @query()
@@ -467,12 +568,12 @@ def label_propagation(s, d):
 
 @query(f"{NET}, {PART}, {WAYS}, {DEG}, m as (select sum(weight) m from edges), i as (select a.cluster_id, sum(weight) w from edges join part a on a.node = src join part b on b.node = dst and a.cluster_id = b.cluster_id group by 1), g as (select cluster_id, sum(weighted_degree) d from deg join part using (node) group by 1) select round(sum(coalesce(w, 0) / m - pow(d / (2 * m), 2)), 6) modularity from g left join i using (cluster_id), m")
 def modularity(s, d):
-    return graph.modularity(_edges(s, d), _parts(s, d))
+    return graph.modularity(*_parted(s, d))
 
 
 @query()
 def layout(s, d):
-    return graph.layout(_edges(s, d), 60)
+    return graph.layout(_network(s, d)[1], 60)
 
 
 @query(f"{NET}, {WAYS} select * from ways")
@@ -485,22 +586,60 @@ IDS = f'ids as (select row_number() over (order by item) id, item as "label", n
 
 @query(f"{NET}, {IDS} select * from ids")
 def vos_map(s, d):
-    return exports.vos_map(_nodes(s, d), _edges(s, d))[0]
+    return exports.vos_map(*_network(s, d))[0]
 
 
 @query(f'{NET}, {IDS} select a.id id_a, b.id id_b, edges.weight from edges join ids a on a."label" = src join ids b on b."label" = dst')
 def vos_network(s, d):
-    return exports.vos_map(_nodes(s, d), _edges(s, d))[1]
+    return exports.vos_map(*_network(s, d))[1]
 
 
-@query()
+@query(f"""{NET}, {PART}, {IDS}, t as (select min(weight) a, max(weight) b from ids), n as (select "label" id, "label", round(case when b > a then 10 + (weight - a) / (b - a)::double * 30 else 25 end, 2) size, {COLORS}[cluster_id % 8 + 1] color, cluster_id "cluster", weight occurrences, doc_freq, cast(relevance as decimal(18,6)) relevance from ids join part on node = "label", t)
+select 'node' part, cast(to_json(n) as varchar) as "value" from n union all select 'edge', cast(to_json(e) as varchar) from (select src source, dst target, weight from edges) e""")
 def topology_json(s, d):
-    return exports.topology_json(_nodes(s, d), _edges(s, d))
+    nodes, edges = _network(s, d)
+    return exports.topology_json(nodes, edges, _parts(nodes))
 
 
-@query()
+@query(f"""{NET}, {IDS} select 0 place, '*vertices ' || (select count(*) from ids) line union all select 1, id || ' "' || replace("label", '"', '&quot;') || '"' from ids union all select 2, '*edges' union all
+select 3, a.id || ' ' || b.id || ' ' || edges.weight from edges join ids a on a."label" = src join ids b on b."label" = dst""")
 def pajek_lines(s, d):
-    return exports.pajek(_nodes(s, d), _edges(s, d))
+    return exports.pajek(*_network(s, d))
+
+
+@query(f"""{_between()}, {PART}, {DEG}, y as (select item, round(avg(case when "year" > 0 then "year" end), 1) year_mean from kw group by 1) select item node, coalesce(degree, 0) "degree", coalesce(weighted_degree, 0) weighted_degree, coalesce(betweenness, 0) betweenness, cluster_id, {COLORS}[cluster_id % 8 + 1] color,
+n occurrences, df doc_freq, round({RELEVANCE}, 6) relevance, year_mean from occ join part on part.node = item left join deg on deg.node = item left join bt on bt.node = item join y using (item) where n >= {LEAST}""")
+def node_ranking(s, d):
+    nodes, edges = _network(s, d)
+    years = _terms(s, d).groupBy("term").agg(F.round(F.avg(F.when(F.col("year") > 0, F.col("year"))), 1).alias("year_mean"))
+    return exports.node_ranking(nodes.join(years, "term"), edges, _parts(nodes), graph.betweenness(edges))
+
+
+@query(f"{NET}, {WAYS} select node, place, other, weight from (select node, other, weight, row_number() over (partition by node order by weight desc, other) place from ways) where place <= 8")
+def node_neighbours(s, d):
+    return graph.top_neighbours(_edges(s, d))
+
+
+@query(f"{NET}, {WAYS} select item term from nodes where item in (select node from ways)")
+def linked_nodes(s, d):
+    nodes, edges = _network(s, d)
+    return graph.without_isolates(nodes, edges).select("term")
+
+
+@query(f"{NET}, k as (select greatest(1, floor(count(*) * 0.2)) k from edges) select src, dst, weight from (select *, row_number() over (order by weight desc, src, dst) r from edges), k where r <= k")
+def heaviest_edges(s, d):
+    return graph.heaviest(_network(s, d)[1])
+
+
+@query(f"{NET}, {PART} select node, cluster_id from part where contains(node, 'net') and cluster_id not in (1, 3)")
+def found_nodes(s, d):
+    return graph.find_nodes(_parts(_nodes(s, d)), "NET", [1, 3])
+
+
+@query(f'{NET}, {PART} select count(*) papers, min("year") year_min, max("year") year_max, max(citations) citations_max, round(avg(citations), 2) citations_mean, n nodes, m edges, k clusters, case when n > 1 then round(2.0::double * m / (n * (n - 1)), 4) else 0 end density from c, (select count(*) n from nodes), (select count(*) m from edges), (select max(cluster_id) + 1 k from part) group by n, m, k')
+def network_summary(s, d):
+    nodes, edges = _network(s, d)
+    return metrics.network_summary(_c(s, d), nodes, edges, _parts(nodes))
 
 
 TITLE = "trim(regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{M}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
@@ -545,6 +684,30 @@ def facet_filter(s, d):
     return metrics.facet_filter(_c(s, d), 2000, 2015, True, "en", ["", "Nature"]).select("rec_id", "year", "source")
 
 
+@query(f"with {C}, t as (select source from c where source <> '' group by 1 order by count(*) desc, source limit 10) select rec_id from c where not (source in (select source from t) and source not in ('Nature')) and \"year\" >= 2000")
+def facet_sources(s, d):
+    return metrics.facet_filter(_c(s, d), 2000, checked_sources=["Nature"]).select("rec_id")
+
+
+@query(f"with {C} select rec_id from c where trim(title, ' ') <> ''")
+def titled_records(s, d):
+    return metrics.with_titles(_c(s, d)).select("rec_id")
+
+
+@query(f'with {C} select rec_id, "year", citations from c order by citations desc, rec_id limit 25 offset 25')
+def second_page(s, d):
+    return metrics.page(_c(s, d).select("rec_id", "year", "citations"), [F.desc("citations"), F.asc("rec_id")], 2)
+
+
+SMALL = "small(l, w) as (values " + ", ".join(f"('{code}', '{w}')" for code in sorted(SMALL_WORDS) for w in small_words(code)) + ")"
+
+
+@query(f"""with {SMALL}, t as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+')) w from documents), size as (select doc_id, count(*) n from t group by 1), k as (select doc_id, w, count(*) k from t group by 1, 2), g as (select doc_id, l, sum(k) n from k join small using (w) group by 1, 2),
+best as (select doc_id, arg_min(l, (-n, l)) l, max(n) m from g group by 1) select doc_id, case when m >= 2 then l end as "language", case when m >= 2 then round(m / n, 6) else 0 end "share" from (select doc_id from documents) left join best using (doc_id) left join size using (doc_id)""")
+def text_language(s, d):
+    return table(s, d, "documents").select("doc_id", detected("text").alias("found")).select("doc_id", "found.language", "found.share")
+
+
 @query(f"with {C}, t as (select lower(title || ' ' || abstract) t from c order by citations desc, rec_id limit 10) select count(*) judged, round(avg(case when (contains(t, 'network') or contains(t, 'rede')) and (contains(t, 'citation') or contains(t, 'cita')) then 1.0 else 0.0 end), 6) as \"precision\" from t")
 def precision_at_10(s, d):
     return metrics.precision_at(_c(s, d), [["network", "rede"], ["citation", "cita"]])
@@ -572,11 +735,24 @@ def topics_lda(s, d):
     return search.topics(_c(s, d), rounds=5)
 
 
-@query("select rec_id page_id, trim(coalesce(title, '')) title from records where coalesce(title, '') <> '' and not contains(title, '\"') and not contains(title, '''') and not contains(title, '<')")
+PAGE_AUTHORS = _list("coalesce(authors, '')", "semicolon")
+
+
+@query(f"select rec_id page_id, trim(coalesce(title, ''), ' ') title, trim(coalesce(doi, ''), ' ') doi, array_to_string({PAGE_AUTHORS}, '; ') authors from records where trim(coalesce(title, ''), ' ') <> '' and trim(coalesce(doi, ''), ' ') <> ''")
 def page_metadata(s, d):
-    r = table(s, d, "records").filter("coalesce(title, '') <> '' and not contains(title, '\"') and not contains(title, \"'\") and not contains(title, '<')")
-    pages = r.select(F.col("rec_id").alias("page_id"), F.concat(F.lit('<html><head><meta name="citation_title" content="'), F.trim("title"), F.lit('"></head></html>')).alias("html"))
-    return readers.page_metadata(pages).select("page_id", "title")
+    def attribute(c):
+        """As pages write a value: some between double, some between single quotes."""
+        marked = F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;"))
+        return F.when(F.col("rec_id") % 2 == 0, F.concat(F.lit('"'), marked, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(marked, F.lit("'"), F.lit("&#39;")), F.lit("'")))
+
+    def tag(name, c):
+        return F.concat(F.lit(f'<meta name="{name}" content='), attribute(c), F.lit(">"))
+
+    trimmed_ = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    r = table(s, d, "records").filter((trimmed_("title") != "") & (trimmed_("doi") != ""))
+    names = F.array_join(F.transform(split_semicolon("authors"), lambda x: tag("citation_author", x)), "")
+    pages = r.select(F.col("rec_id").alias("page_id"), F.concat(F.lit("<html><head>"), tag("citation_title", trimmed_("title")), tag("citation_doi", trimmed_("doi")), names, F.lit("</head></html>")).alias("html"))
+    return readers.page_metadata(pages)
 
 
 @query("select project, count(*) events, count(*) filter (lower(trim(coalesce(action, ''))) = 'search') searches, max(ts) last_event from backlog group by 1")
@@ -632,13 +808,18 @@ def stream_counts(s, d):
     return _streamed(s, "stream", windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "36500 days"), "complete")
 
 
-@query()
+KEYED = f"select *, case when {_doi('coalesce(doi, chr(0))').replace('chr(0)', "''")} = '' then 'id:' || rec_id else {_doi("coalesce(doi, '')")} end k from records"
+
+
+@query(f"select k as \"key\", count(distinct k) n from ({KEYED}) group by 1")
 def stream_dedup(s, d):
+    """One record for each DOI; which one it is depends on the order of arrival, so keys are counted."""
     r = table(s, d, "records").select("rec_id", "doi", F.col("harvested_at").cast("timestamp").alias("harvested_at"))
     at = new_folder(s, "stream")
     r.write.parquet(f"{at}/in")
     stream = s.readStream.schema(r.schema).parquet(f"{at}/in")
-    return _streamed(s, "stream", distinct_dois(stream, within="36500 days"), "append").select("rec_id")
+    out = _streamed(s, "stream", distinct_dois(stream, within="36500 days"), "append").withColumn("d", normalised_doi("doi"))
+    return out.groupBy(F.when(F.col("d") == "", F.concat(F.lit("id:"), F.col("rec_id").cast("string"))).otherwise(F.col("d")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def manifest() -> str:

@@ -5,21 +5,27 @@ from __future__ import annotations
 import json
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegrove.functions.text import text, year_of
 from citegrove.operators.corpus import items
 from citegrove.operators.graph import PALETTE, both_ways, degrees, scaled
+from citegrove.plans.tables import cut, numbered_rows
 
 COLOR = "element_at(array({}), cast(pmod(cluster_id, 8) + 1 as int))".format(", ".join(f"'{c}'" for c in PALETTE))
 
 
 def node_ranking(nodes: DataFrame, edges: DataFrame, clusters: DataFrame, between: DataFrame) -> DataFrame:
-    """(node, degree, weighted_degree, betweenness, cluster_id, color, occurrences, doc_freq, relevance), strongest first."""
+    """(node, degree, weighted_degree, betweenness, cluster_id, color, occurrences, doc_freq, relevance, year_mean), strongest first.
+
+    ``year_mean`` is null where nodes have none.
+    """
+    if "year_mean" not in nodes.columns:
+        nodes = nodes.withColumn("year_mean", F.lit(None).cast("double"))
     d = nodes.withColumnRenamed("term", "node").join(degrees(edges), "node", "left").join(clusters, "node", "left").join(between, "node", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return d.select("node", zero("degree"), zero("weighted_degree"), F.round(zero("betweenness"), 4).alias("betweenness"), "cluster_id", F.expr(COLOR).alias("color"), "occurrences", "doc_freq", "relevance").orderBy(F.desc("weighted_degree"), "node")
+    return d.select("node", zero("degree"), zero("weighted_degree"), F.round(zero("betweenness"), 4).alias("betweenness"), "cluster_id", F.expr(COLOR).alias("color"), "occurrences", "doc_freq", "relevance", "year_mean").orderBy(F.desc("weighted_degree"), "node")
 
 
 def edge_list(edges: DataFrame) -> DataFrame:
@@ -31,18 +37,24 @@ def edge_list(edges: DataFrame) -> DataFrame:
 def vos_map(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The map (id, label, weight, relevance, doc_freq) with ids from 1 by label, and the network (id_a, id_b, weight).
 
-    Numbering orders all nodes of the network in one place; a network's nodes are few after its thresholds.
+    Nodes that have them also keep cluster_id, x, y and the two scores year_mean and citations_mean.
     """
-    ids = nodes.select(F.row_number().over(Window.orderBy("term")).alias("id"), F.col("term").alias("label"), F.col("occurrences").alias("weight"), "relevance", "doc_freq")
+    more = [c for c in ("cluster_id", "x", "y", "year_mean", "citations_mean") if c in nodes.columns]
+    placed = cut(numbered_rows(nodes, [F.asc("term")], "_no"), "ids")
+    ids = placed.select((F.col("_no") + 1).alias("id"), F.col("term").alias("label"), F.col("occurrences").alias("weight"), "relevance", "doc_freq", *more)
     a, b = ids.select(F.col("label").alias("src"), F.col("id").alias("id_a")), ids.select(F.col("label").alias("dst"), F.col("id").alias("id_b"))
     return ids, edges.join(a, "src").join(b, "dst").select("id_a", "id_b", "weight")
 
 
-def topology_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One JSON object per node and per edge: (part, value). Sizes are scaled to 10-40."""
-    n = scaled(nodes.select(F.col("term").alias("id"), F.col("occurrences").cast("double").alias("occurrences"), "doc_freq", "relevance"), "occurrences")
-    one = n.select(F.lit("node").alias("part"), F.to_json(F.struct("id", F.col("id").alias("label"), "size", "doc_freq", "relevance")).alias("value"))
-    return one.unionByName(edges.select(F.lit("edge").alias("part"), F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "weight")).alias("value")))
+def topology_json(nodes: DataFrame, edges: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """One JSON object per node and per edge: (part, value). Sizes are scaled to 10-40; nodes have their cluster and its
+    colour, -1 and the first colour where there is none."""
+    n = scaled(nodes.select(F.col("term").alias("node"), F.col("occurrences").cast("double").alias("occurrences"), "doc_freq", "relevance"), "occurrences")
+    n = n.join(clusters, "node", "left") if clusters is not None else n.withColumn("cluster_id", F.lit(None).cast("int"))
+    n = n.withColumn("color", F.coalesce(F.expr(COLOR), F.lit(PALETTE[0]))).withColumn("cluster", F.coalesce("cluster_id", F.lit(-1)))
+    value = F.struct(F.col("node").alias("id"), F.col("node").alias("label"), F.round("size", 2).alias("size"), "color", "cluster", F.col("occurrences").cast("long").alias("occurrences"), "doc_freq", F.col("relevance").cast("decimal(18,6)").alias("relevance"))
+    one = n.select(F.lit("node").alias("part"), F.to_json(value).alias("value"))
+    return one.unionByName(edges.select(F.lit("edge").alias("part"), F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "weight")).alias("value")))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -50,12 +62,12 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both_ways(edges).select("node", "other", "weight")
 
 
-def wide_adjacency(edges: DataFrame, most: int = 2_000) -> DataFrame:
-    """A row and a column per node; for networks of at most ``most`` nodes."""
-    names = [r[0] for r in both_ways(edges).select("node").distinct().orderBy("node").limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"over {most} nodes make too many columns")
-    return both_ways(edges).groupBy("node").pivot("other", names).agg(F.sum("weight")).na.fill(0).orderBy("node")
+def wide_adjacency(edges: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """A row per node and a column per node of ``names``, by default of every node; a column for each is what is asked for."""
+    if names is None:
+        names = [r[0] for r in both_ways(edges).select("node").distinct().orderBy("node").collect()]  # become the columns
+    wide = both_ways(edges).groupBy("node").pivot("other", names or [""]).agg(F.sum("weight")).na.fill(0)
+    return wide.orderBy("node")
 
 
 def _quoted(c: Column) -> Column:
@@ -107,6 +119,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_sheets(at: str, rankings: DataFrame, edges: DataFrame, raw: DataFrame | None = None) -> None:
+    """The three sheets of a workbook (rankings, edges, and the records if given) as a folder of CSV each."""
+    for name, df in {"rankings": rankings, "edges": edges, "records": raw}.items():
+        if df is not None:
+            write_csv(df, f"{at}/{name}")
+
+
 def save_project(at: str, manifest: dict, **tables: DataFrame) -> None:
     """A project: a folder of tables and a manifest with their names and the format's version."""
     for name, df in tables.items():

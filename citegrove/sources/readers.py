@@ -259,9 +259,9 @@ def read_fulltext(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_thesaurus(spark: SparkSession, path: str) -> DataFrame:
-    """(row_no, term, canonical) of a CSV with these headers, in file order."""
+    """(row_no, term, canonical) of a CSV with these headers, row_no ascending in the order of files and lines (not without gaps)."""
     df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    return df.select(F.monotonically_increasing_id().cast("int").alias("row_no"), "term", "canonical")
+    return df.select(F.monotonically_increasing_id().alias("row_no"), "term", "canonical")
 
 
 def read_backlog(spark: SparkSession, path: str) -> DataFrame:
@@ -320,20 +320,32 @@ def append(corpus: DataFrame, new: DataFrame) -> DataFrame:
     return corpus.unionByName(new, allowMissingColumns=True)
 
 
+#: Named marks of web pages (fixed values); numbered ones of ASCII are read too, the ampersand last.
+MARKS = (("&quot;", '"'), ("&#34;", '"'), ("&#x22;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
 def page_metadata(pages: DataFrame) -> DataFrame:
-    """(page_id, title, doi, authors) of web pages by their citation meta tags, with the fallbacks of the page itself."""
+    """(page_id, title, doi, authors) of web pages by their citation meta tags, with the fallbacks of the page itself.
+
+    A value ends at the quote it began with, so the other kind is part of it; named marks are read as what they stand for.
+    """
+    html = F.coalesce("html", F.lit(""))
+
+    def unmarked(c: Column) -> Column:
+        for mark, char in MARKS:
+            c = F.replace(c, F.lit(mark), F.lit(char))
+        return c
 
     def meta(name: str) -> Column:
-        tag = rf"""(?is)<meta[^>]*name=["']{name}["'][^>]*content=["']([^"']*)["']"""
-        return F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(tag), 1)
+        tag = rf"""(?is)<meta[^>]*?name=["']{name}["'][^>]*?content=(["'])(.*?)\1"""
+        return F.transform(F.regexp_extract_all(html, F.lit(tag), 2), unmarked)
 
     first = lambda x: F.coalesce(F.get(x, 0), F.lit(""))
     title, doi = first(meta("citation_title")), first(meta("citation_doi"))
-    body = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<[^>]+>", " ")
+    body = F.regexp_replace(html, r"(?s)<[^>]+>", " ")
     return pages.select(
         "page_id",
-        F.when(title != "", title).otherwise(F.trim(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))).alias("title"),
+        F.when(title != "", title).otherwise(unmarked(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))).alias("title"),
         F.when(doi != "", doi).otherwise(F.regexp_extract(body, r"(10\.\d{4,9}/[-._;()/:a-zA-Z0-9]+)", 1)).alias("doi"),
         F.array_join(meta("citation_author"), "; ").alias("authors"),
     )
-

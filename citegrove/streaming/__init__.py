@@ -14,9 +14,10 @@ def record_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def distinct_dois(stream: DataFrame, time: str = "harvested_at", within: str = "7 days") -> DataFrame:
-    """The first record of each normalised DOI within the watermark; records without DOI, or of null time, all pass.
+    """The first record of each normalised DOI within the watermark; records without DOI all pass.
 
-    State per DOI is dropped once the watermark is past, so it is bounded by the records of that span.
+    State per DOI is dropped once the watermark is past, so it is bounded by the records of that span. A record of null
+    time is compared as any other, but is itself remembered only until the watermark moves.
     """
     keyed = stream.withColumn("_doi", normalised_doi("doi"))
     key = F.when(F.col("_doi") == "", F.concat(F.lit("id:"), F.col("rec_id").cast("string"))).otherwise(F.col("_doi"))

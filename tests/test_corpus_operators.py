@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from citegrove.operators import graph, metrics, networks, search
 from citegrove.operators.corpus import corpus, counts, doc_terms, relevance, with_thesaurus
@@ -81,8 +82,6 @@ def test_bradford_with_open_last_zone(make_records):
 
 
 def test_running_total(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(i, i % 7) for i in range(200)], "i int, n int")
     got = [(r["rank"], r["i"], r["upto"]) for r in tables.running_total(df, [F.desc("n"), F.asc("i")], "n", 5).orderBy("rank").collect()]
     order, total = sorted(range(200), key=lambda i: (-(i % 7), i)), 0
@@ -316,3 +315,27 @@ def test_search(make_records):
 def test_topics(make_records):
     c = corpus(make_records(*({"abstract": a} for a in ("network author link", "network author map", "soil water plant", "soil water field"))))
     assert search.topics(c, k=2, rounds=3).count() == 2
+
+
+def test_feed_facets_pages_and_order(spark, make_records):
+    sources = ["A"] * 3 + [f"s{i:02d}" for i in range(12)] + ["", None]
+    c = corpus(make_records(*({"source": x, "title": None if i % 5 else " T", "language": "" if i else "en", "abstract": "the map of the terms is in the corpus"} for i, x in enumerate(sources))))
+    kept = {r.source for r in metrics.facet_filter(c, checked_sources=["A"]).collect()}
+    assert kept == {"A", "", "s09", "s10", "s11"}  # the other nine of the ten most frequent are unchecked
+    typed = c.withColumn("kind", F.when(F.col("rec_id") < 3, F.lit("Article")))
+    assert metrics.facet_filter(typed, kind="article").count() == 2 and metrics.with_titles(c).count() == 4
+    assert [r.rec_id for r in metrics.page(c.select("rec_id"), [F.asc("rec_id")], 2, 5).collect()] == [6, 7, 8, 9, 10]
+    df = spark.createDataFrame([("10",), ("—",), ("9.5",), ("b",), ("A",)], "v string")
+    assert [r.v for r in metrics.sorted_by(df, "v").collect()] == ["—", "9.5", "10", "A", "b"]
+    assert metrics.single_paper_share(corpus(make_records({"authors": "a; b"}, {"authors": "a"}))).first()[:] == (2, 1, 0.5)
+    assert search.matches(c, Query(language="en")).count() == c.count() and search.matches(c, Query(language="pt")).count() == 0
+
+
+def test_clusters_of_several_networks(spark, monkeypatch):
+    pairs = [(1, f"{s}{i}", f"{s}{j}", 1) for s in "ab" for i, j in combinations(range(4), 2)] + [(1, "a0", "b0", 1), (2, "x", "y", 1)]
+    edges = spark.createDataFrame(pairs, "period int, src string, dst string, weight long")
+    nodes = spark.createDataFrame([(p, n) for p, n in {(p, n) for p, a, b, _ in pairs for n in (a, b)} | {(1, "alone"), (3, "only")}], "period int, node string")
+    assert rows(graph.communities_by(nodes, edges, "period")) == [(1, 3), (2, 1), (3, 1)]
+    monkeypatch.setattr(graph, "HELD_EDGES", 5)
+    assert rows(graph.communities_by(nodes, edges, "period")) == [(1, 3), (2, 1), (3, 1)]
+    assert graph.communities_by(nodes, edges.limit(0), "period").count() == 3

@@ -94,22 +94,127 @@ def test_queries_and_urls():
     assert connectors.pubmed_term(connectors.Query("x", language="pt", since=2000)) == "x[Title/Abstract] AND 2000:3000[DP] AND por[LA]"
 
 
-def test_fetch_retries():
-    calls = []
+class Web:
+    """Recorded answers by what a URL contains, a clock that only sleeping moves, and the URLs asked for."""
+
+    def __init__(self, *answers):
+        self.answers, self.urls, self.now, self.slept = answers, [], 0.0, []
+
+    def open(self, url, timeout):
+        self.urls.append(url)
+        for part, body in self.answers:
+            if part in url:
+                body = body.pop(0) if isinstance(body, list) else body
+                if isinstance(body, Exception):
+                    raise body
+                return io.BytesIO((body if isinstance(body, str) else json.dumps(body)).encode())
+        raise urllib.error.HTTPError(url, 404, "no", {}, None)
 
-    def opener(url, timeout):
-        calls.append(url)
-        if len(calls) < 3:
-            raise urllib.error.HTTPError(url, 503, "busy", {}, None)
-        return io.BytesIO(b"ok")
+    def sleep(self, seconds):
+        self.slept.append(seconds)
+        self.now += seconds
 
-    assert connectors.fetch("http://x", wait=0, opener=opener) == "ok" and len(calls) == 3
+    def client(self, provider, **more):
+        return connectors.Client(provider, self.open, clock=lambda: self.now, sleep=self.sleep, **more)
 
-    def missing(url, timeout):
-        raise urllib.error.HTTPError(url, 404, "no", {}, None)
 
+def test_client_retries_waits_keeps_and_stops():
+    busy = [urllib.error.HTTPError("u", 503, "busy", {}, None), OSError("lost"), "ok"]
+    web = Web(("//x", busy), ("//y", "also"))
+    client = web.client("pubmed")
+    assert client.get("http://x") == "ok" and web.slept == [1.0, 2.0] and client.get("http://x") == "ok" and len(web.urls) == 3
+    assert client.get("http://y") == "also" and web.slept[-1] == pytest.approx(0.34)
     with pytest.raises(urllib.error.HTTPError):
-        connectors.fetch("http://x", wait=0, opener=missing)
+        client.get("http://z")
+    assert web.urls.count("http://z") == 1
+    with pytest.raises(connectors.Cancelled):
+        web.client("pubmed", cancelled=lambda: True).get("http://new")
+    many = web.client("openalex")
+    for i in range(connectors.KEPT + 20):
+        many.kept[f"u{i}"] = ""
+    many.get("http://y")
+    assert len(many.kept) == connectors.KEPT
+
+
+def test_openalex_follows_its_cursor():
+    page = lambda n, cursor: {"meta": {"count": 450, "next_cursor": cursor}, "results": [WORK] * n}
+    web = Web(("per-page=1&", page(1, "z")), ("cursor=%2A", page(200, "c1")), ("cursor=c1", page(200, "c2")), ("cursor=c2", page(50, None)))
+    q = connectors.query_of({"query": 'TITLE("open maps")', "since": "2000", "until": "2010", "language": "pt", "open_access": "true", "type": "article"})
+    assert len(list(connectors.search("openalex", q, 10_000, web.client("openalex")))) == 450 and len(web.urls) == 3
+    for part in ("publication_year%3A2000-2010", "language%3Apt", "is_oa%3Atrue", "type%3Aarticle", "title.search%3Aopen+maps"):
+        assert part in web.urls[0]
+    web.urls.clear()
+    assert len(list(connectors.search("openalex", q, 150, web.client("openalex")))) == 150 and len(web.urls) == 1
+    assert connectors.count("openalex", q, web.client("openalex")) == 450
+
+
+def test_crossref_filters_by_itself_what_the_service_cannot():
+    open_, closed = {**ITEM, "language": "pt"}, {k: v for k, v in ITEM.items() if k != "license"}
+    answer = lambda items, cursor: {"message": {"total-results": 77, "items": items, "next-cursor": cursor}}
+    web = Web(("rows=0", answer([], None)), ("cursor=%2A", answer([open_, closed, {**ITEM, "language": "en"}], "n")), ("cursor=n", answer([], "m")))
+    q = connectors.query_of({"query": "x", "open_access": "true", "language": "pt", "since": "1999"})
+    found = list(connectors.search("crossref", q, 1_000, web.client("crossref")))
+    assert [r["language"] for r in found] == ["pt"] and "from-pub-date%3A1999" in web.urls[0] and len(web.urls) == 2
+    assert connectors.count("crossref", q, web.client("crossref")) == 77
+
+
+def test_pubmed_searches_then_fetches():
+    ids = [str(i) for i in range(250)]
+    medline = "PMID- 1\nTI  - A\nAU  - Silva J\nDP  - 2001\n\nPMID- 2\nTI  - B\n"
+    web = Web(("esearch", {"esearchresult": {"count": "250", "idlist": ids}}), ("efetch", medline))
+    q = connectors.query_of({"query": "soil", "language": "pt"})
+    found = list(connectors.search("pubmed", q, 1_000, web.client("pubmed")))
+    assert [r["title"] for r in found] == ["A", "B", "A", "B"] and found[0]["origin"] == "PubMed"
+    assert len(web.urls) == 3 and "por%5BLA%5D" in web.urls[0] and web.urls[2].count("%2C") == 49
+    assert connectors.count("pubmed", q, web.client("pubmed")) == 250
+
+
+def test_zotero_pages():
+    item = {"data": {"title": "Z", "date": "2001", "creators": []}}
+    web = Web(("start=0", [[item] * 100, [item] * 100]), ("start=100", [[], []]))
+    assert len(list(connectors.search("zotero", connectors.Query("x"), 1_000, web.client("zotero"), library="users/7"))) == 100
+    assert "/users/7/items" in web.urls[0] and "q=x" in web.urls[0]
+    assert len(list(connectors.search("zotero", connectors.Query("x"), 20, web.client("zotero"), library="users/7"))) == 20
+
+
+def test_searches_are_planned_by_cursor_or_year():
+    reader = connectors.LiteratureReader({"live": "true", "provider": "pubmed", "query": "x", "since": "2001", "until": "2004"})
+    assert [p.at.since for p in reader.partitions()] == [2001]
+    reader.options["by_year"] = "true"
+    assert [(p.at.since, p.at.until) for p in reader.partitions()] == [(y, y) for y in range(2001, 2005)]
+    with pytest.raises(ValueError):
+        connectors.LiteratureReader({}).partitions()
+    assert connectors.warning(2_001) and connectors.warning(2_000) is None
+
+
+def test_command_and_lookup(spark, tmp_path, capsys):
+    from citegrove.sources import command
+
+    web = Web(("per-page", {"meta": {"count": 3_000, "next_cursor": None}, "results": [WORK]}))
+    out = tmp_path / "found.json"
+    assert command.main(["--query", "x", "--out", str(out), "--since", "2000"], web.client) == 0
+    assert json.loads(out.read_text())[0]["title"] == "T" and "publication_year%3A%3E1999" in web.urls[0]
+    assert command.main(["--query", "x", "--count"], web.client) == 0 and "3000 records" in capsys.readouterr().out
+    at = str(tmp_path / "log")
+    assert connectors.append_found(spark, at, web.client("openalex"), doi="10.1/X")["title"] == "T"
+    assert connectors.append_found(spark, at, web.client("openalex"), title="T")["doi"].endswith("10.1/x")
+    assert connectors.append_found(spark, at, web.client("openalex"), doi="10.9/none") is None and spark.read.json(at).count() == 2
+
+
+def test_pages_with_quotes_and_marks(spark):
+    html = [
+        """<meta name="citation_title" content="L'analyse d'un &quot;mot&quot;"><meta name='citation_author' content='A "b"'><meta name='citation_author' content="D'O">""",
+        """<title> A &amp;lt; b </title><p>doi 10.1234/ab.c, x""", None, "", "<meta name='citation_title' content=''><title>T</title>",
+    ]
+    got = {r.page_id: (r.title, r.doi, r.authors) for r in readers.page_metadata(spark.createDataFrame(list(enumerate(html)), "page_id int, html string")).collect()}
+    assert got == {0: ("L'analyse d'un \"mot\"", "", "A \"b\"; D'O"), 1: ("A &lt; b", "10.1234/ab.c", ""), 2: ("", "", ""), 3: ("", "", ""), 4: ("T", "", "")}
+
+
+def test_thesaurus_of_two_files(spark, tmp_path):
+    for i in range(2):
+        write(tmp_path, f"t{i}.csv", "term,canonical\na,b\nc,d\n")
+    got = readers.read_thesaurus(spark, str(tmp_path)).orderBy("row_no").collect()
+    assert [r.term for r in got] == ["a", "c", "a", "c"] and len({r.row_no for r in got}) == 4
 
 
 def test_exports(spark, make_records, tmp_path):

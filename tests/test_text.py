@@ -84,3 +84,22 @@ def test_ratio_matches_difflib(spark):
         got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(ratio_at_least(least)("a", "b")).collect()]
         assert got == [w if w >= least else 0 for w in want]
     assert _common({"a": 0b101, "b": 0b010}, 3, "abba") == 3
+
+
+def test_language_of_a_text(spark):
+    from citegrove.functions.language import detected
+
+    texts = {
+        "en": "The map of the terms shows what is in the corpus", "pt": "O mapa não mostra os termos que estão na coleção", "es": "El mapa de los términos no muestra lo que hay en la colección",
+        "fr": "La carte des termes ne montre pas ce qui est dans le corpus", "de": "Die Karte zeigt nicht, was in der Sammlung ist", "it": "La mappa dei termini non mostra quello che è nella raccolta",
+    }
+    df = spark.createDataFrame([*texts.items(), (None, None), (None, ""), (None, "xyz 123"), (None, "the")], "want string, t string")
+    for r in df.select("want", detected("t").alias("d")).collect():
+        assert r.d.language == r.want and (r.d.share > 0.2 if r.want else r.d.share == 0)
+
+
+def test_label_answers(spark):
+    from citegrove.functions.text import label_answers
+
+    df = spark.createDataFrame([(" 0 : Open maps\nnothing\n12:Soil: risk \n3:",), (None,), ("",)], "t string")
+    assert [[tuple(x) for x in r[0]] for r in df.select(label_answers("t")).collect()] == [[(0, "Open maps"), (12, "Soil: risk")], [], []]

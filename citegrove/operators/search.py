@@ -78,6 +78,5 @@ def topics(c: DataFrame, k: int = 5, top: int = 5, seed: int = 42, rounds: int =
         if "vocabulary" in str(e).lower():
             return spark.createDataFrame([], "topic int, terms string")
         raise
-    found = LDA(k=k, seed=seed, maxIter=rounds).fit(model.transform(docs)).describeTopics(top)
-    names = F.array(*(F.lit(w) for w in model.vocabulary))
-    return found.select("topic", F.array_join(F.transform("termIndices", lambda i: F.element_at(names, i + 1)), ", ").alias("terms"))
+    found = LDA(k=k, seed=seed, maxIter=rounds).fit(model.transform(docs)).describeTopics(top).select("topic", "termIndices").collect()  # k rows
+    return spark.createDataFrame([(r.topic, ", ".join(model.vocabulary[i] for i in r.termIndices)) for r in found], "topic int, terms string")

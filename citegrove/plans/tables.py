@@ -108,9 +108,10 @@ def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str
 
 def hot_keys(lookup: DataFrame, keys: list[str], weight: str) -> DataFrame | None:
     """(keys, _slices) of the hot keys of a lookup as salted_join has them, written once for joins that are repeated; None where no key is hot."""
-    least = lookup.agg(F.greatest(F.lit(HOT_ROWS), F.ceil(F.coalesce(F.sum(weight), F.lit(0)) / HOT_KEYS)).alias("least")).first().least
-    hot = lookup.filter(F.col(weight) > least).select(*keys, F.ceil(F.col(weight) / least).cast("int").alias("_slices"))
-    return None if hot.isEmpty() else cut(hot, "hot")
+    found = lookup.agg(F.greatest(F.lit(HOT_ROWS), F.ceil(F.coalesce(F.sum(weight), F.lit(0)) / HOT_KEYS)).alias("least"), F.max(weight).alias("most")).first()
+    if (found.most or 0) <= found.least:
+        return None
+    return cut(lookup.filter(F.col(weight) > found.least).select(*keys, F.ceil(F.col(weight) / found.least).cast("int").alias("_slices")), "hot")
 
 
 def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:

@@ -20,6 +20,8 @@ BLOCK_ROWS = 20_000
 PHASES = 64
 #: Most changes by one document with which a source is then brought nearer to its tokens.
 CHANGES = 12
+#: Part of its tokens within which a source needs no further change.
+NEAR = 0.002
 
 
 def source_key(c: Column | str) -> Column:
@@ -162,7 +164,7 @@ class Mix:
         sample = cut(self._sampled(), "sample")
         left = {r.source: self.goals[r.source] - r.got for r in sample.groupBy("source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("got")).collect()}  # a row per target source
         changed: dict[tuple[str, int], int] = {}
-        open_ = dict(left)
+        open_ = {s: r for s, r in left.items() if abs(r) > NEAR * self.goals[s]}
         for _ in range(CHANGES):
             if not open_:
                 break
@@ -178,7 +180,7 @@ class Mix:
                 key = (r.source, r.w.doc_id)
                 changed[key] = changed.get(key, 0) + r.w.change
                 left[r.source] -= r.w.change * r.w.n_tokens
-                if abs(left[r.source]) > 1e-4 * self.goals[r.source]:
+                if abs(left[r.source]) > NEAR * self.goals[r.source]:
                     open_[r.source] = left[r.source]
         return self._with(sample, changed)
 

@@ -674,6 +674,11 @@ def dedup_greedy(s, d):
     return dedup.fuzzy_kept(table(s, d, "records")).select("rec_id")
 
 
+@query()
+def author_spellings(s, d):
+    return dedup.harmonise_authors(_c(s, d))
+
+
 @query(f"with {C}, f as (select 'language' facet, \"language\" as \"value\" from c union all select 'year', cast(\"year\" as varchar) from c union all select 'source', source from c), n as (select facet, \"value\", count(*) n from f group by 1, 2) select * from n qualify row_number() over (partition by facet order by n desc, \"value\") <= 3")
 def facets(s, d):
     return metrics.facet_counts(_c(s, d))

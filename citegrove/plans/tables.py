@@ -160,11 +160,13 @@ def meetings(rows: DataFrame, keys: list[str], order: str, pair_rows: int | None
     return calm.unionByName(turned)
 
 
-def running_total(df: DataFrame, order: list[Column], value: str, blocks: int = 200) -> DataFrame:
+def running_total(df: DataFrame, order: list[Column], value: str, blocks: int | None = None) -> DataFrame:
     """df with ``rank`` (from 1) and ``upto`` (sum of value so far) over the whole order, without one task seeing all rows.
 
-    Rows are range-partitioned by the order; only the rows and sum of each partition (at most ``blocks`` of them) meet.
+    Rows are range-partitioned by the order; only the rows and sum of each partition meet, of which there are at most
+    ``blocks``, by default the session's shuffle partitions.
     """
+    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = df.repartitionByRange(blocks, *order).withColumn("_part", F.spark_partition_id())
     inner = Window.partitionBy("_part").orderBy(*order)
     local = parts.withColumn("_r", F.row_number().over(inner)).withColumn("_s", F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, 0)))

@@ -170,3 +170,39 @@ def best(a: Texts, b: Texts, threshold: float, before: np.ndarray | None = None)
             if score > top or (score == top and a.texts[x] > who):
                 top, who, out[y] = score, a.texts[x], x
     return out
+
+
+def _similar(match: difflib.SequenceMatcher, ready: list, x: str, y: str, threshold: float) -> bool:
+    if ready[0] != y:
+        ready[0] = y
+        match.set_seq2(y)
+    match.set_seq1(x)
+    return match.ratio() >= threshold
+
+
+def met(a: Texts, b: Texts, threshold: float) -> np.ndarray:
+    """Whether each text of b is similar to one of a."""
+    out, match, ready = np.zeros(len(b.texts), bool), difflib.SequenceMatcher(None, autojunk=False), [None]
+    for i, j, bound in near(a, b, threshold):
+        order = np.lexsort((-bound, j))
+        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            if not out[y] and _similar(match, ready, a.texts[x], b.texts[y], threshold):
+                out[y] = True
+    return out
+
+
+def similar(t: Texts, which: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of the similar ones among texts, a before b, of some b."""
+    match, ready = difflib.SequenceMatcher(None, autojunk=False), [None]
+    for i, j, _ in near(t, t.some(which), threshold, which):
+        fit = np.array([_similar(match, ready, t.texts[x], t.texts[y], threshold) for x, y in zip(i.tolist(), which[j].tolist(), strict=True)], bool)
+        yield i[fit], which[j[fit]]
+
+
+def removed(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of n texts those that are similar to an earlier one that is not removed; (a, b) are similar, a before b."""
+    gone, order = np.zeros(n, bool), np.argsort(b, kind="stable")
+    for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        if not gone[x]:
+            gone[y] = True
+    return np.flatnonzero(gone)

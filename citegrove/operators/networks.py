@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citegrove.functions.text import first_surname, normalised_doi, year_of
 from citegrove.operators.corpus import counts, items, relevance
-from citegrove.plans.tables import cut, fits, lookup_join, meetings, salted_join
+from citegrove.plans.tables import cut, fits, lookup_join, numbered_rows, salted_join
+
+#: Records of a block of coupling, and pairs of them that a task counts at a time.
+COUPLED_ROWS, COUPLED_PAIRS = 100_000, 2_000_000
 
 
 def pair_weights(docs: DataFrame, value: str = "item", counting: str = "full", dedup: bool = True) -> DataFrame:
@@ -89,20 +97,97 @@ def patent_classes(c: DataFrame, min_count: int = 1) -> tuple[DataFrame, DataFra
 def coupling(c: DataFrame, least: int = 2) -> DataFrame:
     """(src, dst, weight): records that share at least ``least`` distinct references.
 
-    Two such records share one even after each has lost its least - 1 most cited references, so candidates are joined
-    on the rest only: the references that a large part of all records cites almost never meet each other. The shared
-    number is then counted on the whole sets. The list of a reference that is still hot is dealt into blocks that meet
-    pairwise (see meetings).
+    Two such records share one even after each has lost its least - 1 most cited references, so pairs are looked for
+    among the rest only: the references that a large part of all records cites almost never meet each other. What else
+    they share is then added. Records are dealt into blocks of COUPLED_ROWS at most, and each two blocks are one task's,
+    which counts their pairs some at a time; no pair is shuffled.
     """
     refs = items(c, "refs", "semicolon", keep=("rec_id",)).select("rec_id", "item").distinct()
     cited = cut(refs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "cited")
-    counted = cut(lookup_join(refs, cited, ["item"], "n"), "counted")
-    order = Window.partitionBy("rec_id").orderBy(F.desc("n"), "item")
-    rest = cut(counted.withColumn("k", F.row_number().over(order)).filter(F.col("k") >= least).select("item", "rec_id"), "rest")
-    found = meetings(rest, ["item"], "rec_id").select(F.col("a.rec_id").alias("src"), F.col("b.rec_id").alias("dst")).distinct()
-    sets = cut(counted.groupBy("rec_id").agg(F.collect_set("item").alias("set")), "sets")
-    both = found.join(sets.select(F.col("rec_id").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("rec_id").alias("dst"), F.col("set").alias("b")), "dst")
-    return both.select("src", "dst", F.size(F.array_intersect("a", "b")).cast("long").alias("weight")).filter(F.col("weight") >= least)
+    cited = cut(numbered_rows(cited, [F.desc("n"), F.asc("item")], "ref"), "numbered")
+    sets = lookup_join(refs, cited, ["item"], "n").groupBy("rec_id").agg(F.sort_array(F.collect_list("ref")).alias("refs"))
+    sets = cut(numbered_rows(sets.filter(F.size("refs") >= least), [F.asc("rec_id")], "no"), "sets")
+    n, kind = sets.count(), c.schema["rec_id"].dataType.simpleString()
+    rows = min(COUPLED_ROWS, max(2_048, -(-n // 12)))
+    last, pairs = max(0, -(-n // rows) - 1), max(1, -(-n // rows) * (-(-n // rows) + 1) // 2)
+
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("no")
+        return pd.DataFrame({"block": [part["block"].iloc[0]], "ids": [part["rec_id"].tolist()], "size": [part["refs"].map(len).to_numpy(np.int64).tobytes()], "refs": [np.concatenate(part["refs"].to_list()).astype(np.int64).tobytes()]})
+
+    blocks = sets.withColumn("block", F.floor(F.col("no") / rows).cast("int")).select("block", "no", "rec_id", "refs")
+    blocks = cut(blocks.groupBy("block").applyInPandas(packed, f"block int, ids array<{kind}>, size binary, refs binary"), "blocks")
+    side = lambda x: F.struct("ids", "size", "refs").alias(x)
+    one = blocks.select(F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(last))).alias("j"), side("a")).repartition(min(pairs, 1_000), "i", "j")
+    two = blocks.select(F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), side("b")).repartition(min(pairs, 1_000), "i", "j")
+
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for row in range(part.num_rows):
+                a, b = (part.column(k)[row] for k in (0, 1))
+                ids = [x["ids"].values for x in (a, b)]
+                arrays = ([np.frombuffer(x[k].as_py(), np.int64) for k in ("size", "refs")] for x in (a, b))
+                for i, j, weight in _shared(*arrays, least, part.column(2)[row].as_py()):
+                    yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(i)), ids[1].take(pa.array(j)), pa.array(weight)], ["src", "dst", "weight"])
+
+    return one.join(two, ["i", "j"]).select("a", "b", F.col("i") == F.col("j")).mapInArrow(counted, f"src {kind}, dst {kind}, weight long")
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray], least: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, weight) of the records of two blocks that share ``least`` references; of the ``same`` block, i before j.
+
+    A block is the numbers of references of its records, and these, of each record in order of citations.
+    """
+
+    def rows_of(block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(block[0])), block[0])
+        return row, np.arange(len(row)) - (np.cumsum(block[0]) - block[0])[row]
+
+    (row, rank), (other, place) = rows_of(a), rows_of(b)
+    top = np.full((2, max(least - 1, 0), max(len(a[0]), len(b[0]))), -1, np.int64)  # the most cited references of each record
+    lists = []  # of both kinds of references of b: the references in order, and whose they are
+    for k, (r, x, refs) in enumerate(((row, rank, a[1]), (other, place, b[1]))):
+        most = x < least - 1
+        top[k, x[most], r[most]] = refs[most]
+        for kind in (~most, most) if k else ():
+            order = np.argsort(refs[kind], kind="stable")
+            lists.append((refs[kind][order], r[kind][order]))
+
+    def ends(refs: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        low = np.searchsorted(lists[kind][0], refs)
+        return low, np.searchsorted(lists[kind][0], refs, "right") - low
+
+    def met(rows: np.ndarray, low: np.ndarray, n: np.ndarray, kind: int) -> np.ndarray:
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)
+        return np.repeat(rows, n) * len(b[0]) + lists[kind][1][at]
+
+    rest = rank >= least - 1
+    near = [ends(a[1], kind) for kind in (0, 1)]
+    work = np.cumsum(np.bincount(row, np.where(rest, near[0][1] + near[1][1], near[0][1]), len(a[0])))
+    begin = np.r_[0, np.cumsum(a[0])]
+    low = 0
+    while low < len(a[0]):
+        high = max(low + 1, int(np.searchsorted(work, (work[low - 1] if low else 0) + COUPLED_PAIRS, "right")))
+        some = slice(begin[low], begin[high])
+        keep = rest[some]
+        pick = lambda x, which: x[some][which]  # noqa: E731, B023
+        key = np.sort(met(pick(row, keep), pick(near[0][0], keep), pick(near[0][1], keep), 0))
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        weight, key = np.diff(np.r_[first, len(key)]), key[first]
+        if len(key) and least > 1:
+            for which, kind in ((~keep, 0), (keep, 1)):  # a most cited one of either record among the others of the other
+                more = met(pick(row, which), pick(near[kind][0], which), pick(near[kind][1], which), kind)
+                at = np.minimum(np.searchsorted(key, more), len(key) - 1)
+                weight = weight + np.bincount(at[key[at] == more], minlength=len(key))
+            i, j = key // len(b[0]), key % len(b[0])
+            for x in top[0]:
+                for y in top[1]:
+                    weight = weight + (x[i] == y[j])
+        i, j = key // len(b[0]), key % len(b[0])
+        fit = (weight >= least) & (i < j) if same else weight >= least
+        if fit.any():
+            yield i[fit], j[fit], weight[fit].astype(np.int64)
+        low = high
 
 
 def first_labels(c: DataFrame, width: int = 25) -> DataFrame:

@@ -164,10 +164,11 @@ def running_total(df: DataFrame, order: list[Column], value: str, blocks: int |
     """df with ``rank`` (from 1) and ``upto`` (sum of value so far) over the whole order, without one task seeing all rows.
 
     Rows are range-partitioned by the order; only the rows and sum of each partition meet, of which there are at most
-    ``blocks``, by default the session's shuffle partitions.
+    ``blocks``, by default the session's shuffle partitions. The partitions are written, since their bounds are sampled
+    and would not be the same a second time.
     """
     blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(blocks, *order).withColumn("_part", F.spark_partition_id())
+    parts = cut(df.repartitionByRange(blocks, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     inner = Window.partitionBy("_part").orderBy(*order)
     local = parts.withColumn("_r", F.row_number().over(inner)).withColumn("_s", F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     ends = local.groupBy("_part").agg(F.max("_r").alias("_n"), F.sum(value).alias("_v"))

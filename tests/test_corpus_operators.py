@@ -49,6 +49,23 @@ def test_coupling_against_brute_force(make_records, monkeypatch, crowd):
         assert set(map(tuple, networks.coupling(c, k).collect())) == want
 
 
+@pytest.mark.parametrize("rows", [7, 100_000])
+def test_coupling_shuffles_no_pairs(spark, make_records, monkeypatch, rows):
+    monkeypatch.setattr(networks, "COUPLED_ROWS", rows)
+    monkeypatch.setattr(networks, "COUPLED_PAIRS", 40)
+    rng = random.Random(6)
+    n = 60
+    refs = [{f"r{int(rng.random() ** 2 * 14)}" for _ in range(rng.randint(0, 8))} for _ in range(n)]
+    c = corpus(make_records(*({"refs": "; ".join(sorted(x)), "rec_id": 1000 - 7 * i} for i, x in enumerate(refs))))
+    for k in (1, 3):
+        got = networks.coupling(c, k)
+        want = {(1000 - 7 * j, 1000 - 7 * i, len(refs[i] & refs[j])) for i, j in combinations(range(n), 2) if len(refs[i] & refs[j]) >= k}
+        found = list(map(tuple, got.collect()))
+        assert set(found) == want and len(found) == len(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("MapInArrow")  # pairs are counted last, so none are shuffled
+
+
 def test_indices_against_brute_force(make_records):
     rng = random.Random(7)
     papers = [(rng.choice("XYZ"), rng.choice([0, 0, 1, 2, 3, 5, 8, 30])) for _ in range(60)]

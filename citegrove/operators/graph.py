@@ -14,8 +14,10 @@ from pyspark.sql.window import Window
 from citegrove.plans.tables import cut, forget, hot_keys, numbered_rows, spread_join
 
 #: Up to this many edges (counted first) a task holds a graph for algorithms that walk it or move its nodes; beyond it
-#: the same is done by joins of tables.
-HELD_EDGES = 2_000_000
+#: the same is done by joins of tables. Links are numbers there, 16 bytes each way, and a task may need six times that.
+HELD_EDGES = 10_000_000
+#: Up to this many edges a task holds a graph for a layout, or one of several networks by the names of its nodes.
+PLACED_EDGES = 2_000_000
 #: Up to this many nodes (counted first) one place holds all positions of a layout.
 HELD_NODES = 100_000
 #: Sources of walks that are joined at a time where the graph is not held.
@@ -514,34 +516,102 @@ class _Quality:
         return True
 
 
+def _rows_of(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of these rows in arrays whose rows begin at ``start``, and their numbers a row."""
+    n = start[rows + 1] - start[rows]
+    return np.arange(n.sum()) + np.repeat(start[rows] - np.cumsum(n) + n, n), n
+
+
+class _Around:
+    """What each node is linked into: a slot for each link and one for the node's own group, of which a group uses one.
+
+    Only the rows of nodes whose neighbours have moved are counted again.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> None:
+        self.n, self.b, self.w = n, b, w
+        self.start = np.searchsorted(a, np.arange(n + 1))
+        self.slots = self.start + np.arange(n + 1)
+        self.row = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.slots))
+        self.to, self.into = np.zeros(len(self.row), np.int32), np.full(len(self.row), -np.inf)
+        self.inside = np.zeros(n)
+
+    def count(self, rows: np.ndarray, group: np.ndarray) -> None:
+        step = max(1, 4_000_000 * len(rows) // max(int((self.start[rows + 1] - self.start[rows]).sum()), 1))
+        for k in range(0, len(rows), step):  # some at a time, as they are sorted
+            self._count(rows[k : k + step], group)
+
+    def _count(self, rows: np.ndarray, group: np.ndarray) -> None:
+        edge, n = _rows_of(self.start, rows)
+        every = np.arange(len(rows))
+        key = np.r_[np.repeat(every, n) * self.n + group[self.b[edge]], every * self.n + group[rows]]
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        into = np.add.reduceat(np.r_[self.w[edge], np.zeros(len(rows))][order], first)
+        row, to = key[first] // self.n, key[first] % self.n
+        slot = _rows_of(self.slots, rows)[0]
+        self.into[slot] = -np.inf  # not used
+        at = self.slots[rows][row] + np.arange(len(row)) - np.searchsorted(row, every)[row]
+        self.to[at], self.into[at] = to, into
+        own = to == group[rows][row]
+        self.inside[rows] = into[own]
+
+    def wishes(self, group: np.ndarray, strength: np.ndarray, weight: np.ndarray, total: float, resolution: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of each node the best group, the least of equal ones, and what it gains by it."""
+        wanted, gain = np.zeros(self.n, group.dtype), np.zeros(self.n)
+        step = max(1, 4_000_000 * self.n // max(len(self.row), 1))
+        for k in range(0, self.n, step):
+            low, high = self.slots[k], self.slots[min(k + step, self.n)]
+            used = low + np.flatnonzero(self.into[low:high] > -np.inf)
+            row, to = self.row[used], self.to[used]
+            mine = np.flatnonzero(to == group[row])  # one a row
+            rest, force = weight[to], strength[row]
+            rest[mine] -= force[mine]
+            value = self.into[used] - resolution * force * rest / total
+            first = np.searchsorted(used, self.slots[k : min(k + step, self.n)])
+            best = np.maximum.reduceat(value, first)
+            top = np.flatnonzero(value == np.repeat(best, np.diff(np.r_[first, len(used)])))
+            at = row[top]
+            once = np.r_[True, at[1:] != at[:-1]]  # groups of a row are in order
+            wanted[k : k + step] = to[top[once]]
+            gain[k : k + step] = best - value[mine]
+        return wanted, gain
+
+
 def _held_moves(a: np.ndarray, b: np.ndarray, w: np.ndarray, own: np.ndarray, resolution: float) -> tuple[np.ndarray, np.ndarray]:
-    """Groups in which no node gains by another one, and each node's links into its group; (a, b, w) are links both ways."""
+    """Groups in which no node gains by another one, and each node's links into its group; (a, b, w) are links both ways, by a."""
     n = len(own)
     strength = np.bincount(a, w, n) + 2 * own
     total = strength.sum() or 1.0
-    least, every, q = 1e-9 * total / max(n, 1), np.arange(n), _Quality()
-    group, kept = every, None
+    least, group, q = 1e-9 * total / max(n, 1), np.arange(n), _Quality()
+    around = _Around(a, b, w, n)
+    around.count(group, group)
+    inside, weight = 0.0, strength.copy()
+    q.rose(2 * own.sum() / total - resolution * ((weight / total) ** 2).sum())
+    wanted, gain = around.wishes(group, strength, weight, total, resolution)
     while True:
-        weight = np.bincount(group, strength, n)
-        key, place = np.unique(np.r_[a * n + group[b], every * n + group], return_inverse=True)
-        into = np.bincount(place, np.r_[w, np.zeros(n)], len(key))
-        row, to = key // n, key % n
-        stays = to == group[row]
-        value = into - resolution * strength[row] * (weight[to] - np.where(stays, strength[row], 0.0)) / total
-        best = np.lexsort((to, -value, row))[np.r_[0, np.flatnonzero(np.diff(row)) + 1]]
-        now = (group, to[best], value[best] - value[stays], into[stays])
-        quality = (now[3].sum() + 2 * own.sum()) / total - resolution * ((weight / total) ** 2).sum()
-        kept = now if q.rose(quality) else kept
-        group, wanted, gain, inside = kept
         wish = np.flatnonzero(gain > least)
         if not len(wish):
-            return group, inside
+            return group, around.inside
         q.turn += 1
         go = wish[(wish % CIRCLE * TURN + q.turn * STEP) % CIRCLE < q.share * CIRCLE]
         if q.share * len(wish) < 1 or not len(go):
             go = wish[[int(np.argmax(gain[wish]))]]
-        group = group.copy()
-        group[go] = wanted[go]
+        after = group.copy()
+        after[go] = wanted[go]
+        moves = np.zeros(n, bool)
+        moves[go] = True
+        edge, links = _rows_of(around.start, go)
+        x, y = np.repeat(go, links), b[edge]
+        change = (after[x] == after[y]).astype(float) - (group[x] == group[y])
+        more = float((change * w[edge] * np.where(moves[y], 1.0, 2.0)).sum())  # a link to a node that stays counts from there too
+        heavy = np.bincount(after, strength, n)
+        if q.rose((inside + more + 2 * own.sum()) / total - resolution * ((heavy / total) ** 2).sum()):
+            moves[y] = True
+            group, weight, inside = after, heavy, inside + more
+            around.count(np.flatnonzero(moves), group)
+            wanted, gain = around.wishes(group, strength, weight, total, resolution)
 
 
 def held_louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, own: np.ndarray, resolution: float) -> np.ndarray:
@@ -555,7 +625,7 @@ def held_louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, own: np.ndarray, r
         where, n = number[where], len(used)
         own = np.bincount(number, own + inside / 2, n)
         apart = number[a] != number[b]
-        key, place = np.unique(number[a][apart] * n + number[b][apart], return_inverse=True)
+        key, place = np.unique(number[a[apart]] * n + number[b[apart]], return_inverse=True)
         a, b, w = key // n, key % n, np.bincount(place, w[apart], len(key))
     return where
 
@@ -635,16 +705,19 @@ def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     links = spread_join(both.filter("node <> other"), names.select("node", F.col("no").alias("a")), ["node"], hot)
     links = spread_join(links.drop("node"), names.select(F.col("node").alias("other"), F.col("no").alias("b")), ["other"], hot and hot.withColumnRenamed("node", "other"))
     links = cut(links.groupBy("a", "b").agg(F.sum("weight").alias("w")), "links")
-    if links.count() <= 2 * HELD_EDGES:
+    m = links.count()
+    if m <= 2 * HELD_EDGES:
 
         def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
-            a, b, w = (np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, kind) for k, kind in enumerate((np.int64, np.int64, float)))
-            loop = b < 0  # the loops come as links to no node
-            own = np.zeros(n)
-            own[a[loop]] = w[loop]
-            order = np.lexsort((b[~loop], a[~loop]))
-            group = held_louvain(a[~loop][order], b[~loop][order], w[~loop][order], own, resolution)
+            a, b, w, own, k = np.zeros(m, np.int32), np.zeros(m, np.int32), np.zeros(m), np.zeros(n), 0
+            for batch in batches:
+                x, y, z = (batch.column(c).to_numpy() for c in range(3))
+                loop = y < 0  # the loops come as links to no node
+                own[x[loop]] = z[loop]
+                to = slice(k, k := k + len(x) - int(loop.sum()))
+                a[to], b[to], w[to] = x[~loop], y[~loop], z[~loop]
+            order = np.argsort(a.astype(np.int64) * n + b)
+            group = held_louvain(a[order], b[order], w[order], own, resolution)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(group.astype(np.int64))], ["no", "community"])
 
         loops = names.filter("own <> 0").select(F.col("no").alias("a"), F.lit(-1).cast("long").alias("b"), F.col("own").alias("w"))
@@ -663,11 +736,11 @@ def communities_by(nodes: DataFrame, edges: DataFrame, by: str, resolution: floa
     """(by, clusters): the number of Louvain's communities of each of several networks, a node without edges being one of its own.
 
     ``nodes`` has by and node, ``edges`` by, src, dst and weight. Networks that a task can hold are one task's each, all
-    at once; larger ones (of more than HELD_EDGES edges) are taken one by one.
+    at once; larger ones (of more than PLACED_EDGES edges) are taken one by one.
     """
     edges = cut(edges.select(by, "src", "dst", F.col("weight").cast("double").alias("weight")), "networks")
     size = edges.groupBy(by).agg(F.count(F.lit(1)).alias("m"))
-    large = [r[by] for r in size.filter(F.col("m") > HELD_EDGES).select(by).collect()]  # few, as each holds that many edges
+    large = [r[by] for r in size.filter(F.col("m") > min(HELD_EDGES, PLACED_EDGES)).select(by).collect()]  # few, as each holds that many edges
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         names, place = np.unique(np.r_[rows["src"], rows["dst"]].astype(object), return_inverse=True)
@@ -772,7 +845,7 @@ def layout(edges: DataFrame, steps: int = 200, seed: int = 42, linlog: bool = Fa
     ``linlog``), repulsion by degree.
 
     Nodes repel each other by the centres of mass of a grid's cells, of which there are CELLS squared at any size, so a
-    step costs nodes times cells. Up to HELD_NODES nodes and HELD_EDGES edges one task makes all steps, beyond it each
+    step costs nodes times cells. Up to HELD_NODES nodes and PLACED_EDGES edges one task makes all steps, beyond it each
     step is a join of positions with edges, with the same result.
     """
     both = both_ways(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight")))
@@ -781,7 +854,7 @@ def layout(edges: DataFrame, steps: int = 200, seed: int = 42, linlog: bool = Fa
     links = spread_join(both.filter("node <> other"), names.select("node", F.col("no").alias("a")), ["node"], hot)
     links = spread_join(links, names.select(F.col("node").alias("other"), F.col("no").alias("b")), ["other"], hot and hot.withColumnRenamed("node", "other"))
     links = cut(links.groupBy("a", "b").agg(F.sum("weight").alias("w")), "links")
-    if n <= HELD_NODES and links.count() <= 2 * HELD_EDGES:
+    if n <= HELD_NODES and links.count() <= 2 * PLACED_EDGES:
 
         def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,6 +20,8 @@ HELD_EDGES = 10_000_000
 PLACED_EDGES = 2_000_000
 #: Up to this many nodes (counted first) one place holds all positions of a layout.
 HELD_NODES = 100_000
+#: Nodes that bound the distances of others, and the most different lengths of edges for which sources are walked as bits.
+LANDMARKS, LENGTHS = 8, 64
 #: Sources of walks that are joined at a time where the graph is not held.
 SOURCES = 256
 
@@ -158,19 +160,32 @@ def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) ->
     return x.select("node", F.round("x", 6).alias("centrality"))
 
 
+def _rows_of(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of these rows in arrays whose rows begin at ``start``, and their numbers a row."""
+    n = start[rows + 1] - start[rows]
+    return np.arange(n.sum()) + np.repeat(start[rows] - np.cumsum(n) + n, n), n
+
+
 class _Held:
     """Adjacency of a graph of a checked size, by rows: names in order, and of each node its neighbours and weights."""
 
     def __init__(self, edges: DataFrame) -> None:
-        rows = edges.filter("src <> dst").select("src", "dst", F.col("weight").cast("double").alias("weight")).toPandas()  # HELD_EDGES at most
-        alone = edges.filter("src = dst").select("src").distinct().toPandas()
-        names, place = np.unique(np.r_[rows["src"].to_numpy(object), rows["dst"].to_numpy(object), alone["src"].to_numpy(object)], return_inverse=True)
-        m = len(rows)
-        a, b, w = np.r_[place[:m], place[m : 2 * m]], np.r_[place[m : 2 * m], place[:m]], np.r_[rows["weight"], rows["weight"]].astype(float)
-        order = np.lexsort((b, a))
-        self.names = names.tolist()
-        self.to, self.weight = b[order].astype(np.int64), w[order]
-        self.start = np.searchsorted(a[order], np.arange(len(names) + 1))
+        ends = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight"))
+        degree = ends.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        names = cut(numbered_rows(degree, [F.asc("node")], "no"), "names")
+        hot, rows = hot_keys(names, ["node"], "degree"), ends.filter("src <> dst")
+        for end, no in (("src", "a"), ("dst", "b")):
+            rows = spread_join(rows, names.select(F.col("node").alias(end), F.col("no").cast("int").alias(no)), [end], hot and hot.withColumnRenamed("node", end)).drop(end)
+        rows = rows.select("a", "b", "weight").toArrow()  # HELD_EDGES at most, as numbers
+        a, b, w = (rows.column(k).to_numpy() for k in range(3))
+        named = names.select("no", "node").toArrow()
+        self.names = named.column(1).take(pa.array(np.argsort(named.column(0).to_numpy()))).to_pylist()
+        self._set(np.r_[a, b], np.r_[b, a], np.r_[w, w])
+
+    def _set(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
+        order = np.argsort(a.astype(np.int64) * len(self.names) + b)
+        self.to, self.weight = b[order], w[order]
+        self.start = np.r_[0, np.cumsum(np.bincount(a, minlength=len(self.names)))]
 
     def out(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the edges from these nodes: the place of the node in them, and of the edge in ``to`` and ``weight``."""
@@ -198,14 +213,106 @@ class _Held:
         d = np.full(len(self.names), np.inf)
         d[source], active = 0.0, np.array([source])
         while len(active):
-            at, edge = self.out(active)
-            to, far = self.to[edge], d[active][at] + self.weight[edge]
-            closer = far < d[to] - 1e-12
-            to = to[closer]
-            np.minimum.at(d, to, far[closer])
-            active = np.unique(to)
+            changed = np.zeros(len(d), bool)
+            upto = np.cumsum(self.start[active + 1] - self.start[active])
+            for some in np.split(active, np.flatnonzero(np.diff(upto // 1_000_000)) + 1):  # some edges at a time
+                at, edge = self.out(some)
+                to, far = self.to[edge], d[some][at] + self.weight[edge]
+                closer = far < d[to] - 1e-12
+                to = to[closer]
+                np.minimum.at(d, to, far[closer])
+                changed[to] = True
+            active = np.flatnonzero(changed)
         return d
 
+    def parts(self) -> np.ndarray:
+        """Of each node the least number of a node that it is connected with."""
+        part, rows = np.arange(len(self.names)), np.flatnonzero(np.diff(self.start))
+        while len(rows):
+            least = part.copy()
+            least[rows] = np.minimum(part[rows], np.minimum.reduceat(part[self.to], self.start[rows]))
+            while (least[least] < least).any():
+                least = least[least]
+            if (least == part).all():
+                break
+            part = least
+        return part
+
+    def without_detours(self) -> None:
+        """Leave out edges longer than the way between their ends by one of LANDMARKS nodes of most edges: no least distance needs them."""
+        a = np.repeat(np.arange(len(self.names), dtype=np.int32), np.diff(self.start))
+        kept = np.ones(len(a), bool)
+        for mark in np.argsort(-np.diff(self.start), kind="stable")[:LANDMARKS]:
+            d = self.distances(mark)
+            for k in range(0, len(a), 1_000_000):
+                some = slice(k, k + 1_000_000)
+                kept[some] &= self.weight[some] <= d[a[some]] + d[self.to[some]] + 1e-9
+        self.to, self.weight = self.to[kept], self.weight[kept]
+        self.start = np.r_[0, np.cumsum(np.bincount(a[kept], minlength=len(self.names)))]
+
+    def by_steps(self) -> bool:
+        """Sort edges by weight for ``reach``, if these are few different multiples of one number. Then weights are counted in it."""
+        lengths = np.unique(self.weight)
+        if len(lengths) > LENGTHS or (lengths != np.rint(lengths)).any() or (lengths < 1).any() or (lengths > 1 << 40).any():
+            return False
+        self.unit = int(np.gcd.reduce(lengths.astype(np.int64))) if len(lengths) else 1
+        a, part = np.repeat(np.arange(len(self.names), dtype=np.int32), np.diff(self.start)), self.parts()
+        self.lengths, self.sorted = (lengths / self.unit).astype(np.int64).tolist(), []
+        for length in lengths:
+            of = self.weight == length
+            start = np.r_[0, np.cumsum(np.bincount(a[of], minlength=len(part)))]
+            self.sorted.append((start, np.flatnonzero(np.diff(start)), self.to[of].astype(np.int32)))
+        self.part, self.order = part, np.argsort(part, kind="stable")  # sources of one part are taken together
+        self.to = self.weight = self.start = None
+        return True
+
+    def reach(self, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the least distances between each node and up to 64 sources, and the number of these it is connected with, itself aside.
+
+        A source is a bit. Nodes first reached at a distance hand their bits on over the edges of each length.
+        """
+        n = len(self.part)
+        bits = np.uint64(1) << np.arange(len(sources), dtype=np.uint64)
+        seen, every = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        seen[sources] = bits
+        np.bitwise_or.at(every, self.part[sources], bits)
+        every = every[self.part]  # what a node can be reached by
+        total, reached = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        open_ = seen != every
+        fronts, due = {0: seen.copy()}, {length: [(0, k)] for k, length in enumerate(self.lengths)}
+        while due and open_.any():
+            far = min(due)
+            new = np.zeros(n, np.uint64)
+            for begun, k in due.pop(far):
+                self._handed(fronts[begun], *self.sorted[k], open_, new)
+            new &= ~seen
+            if new.any():
+                seen |= new
+                found = np.bitwise_count(new).astype(np.int64)
+                total += far * found
+                reached += found
+                open_ = seen != every
+                fronts[far] = new
+                for k, length in enumerate(self.lengths):
+                    due.setdefault(far + length, []).append((far, k))
+            fronts = {k: v for k, v in fronts.items() if k + self.lengths[-1] > far}
+        return total, reached
+
+    @staticmethod
+    def _handed(front: np.ndarray, start: np.ndarray, rows: np.ndarray, to: np.ndarray, open_: np.ndarray, new: np.ndarray) -> None:
+        """Add to ``new`` the bits of ``front`` at the other ends of edges: from the front's nodes if they have few edges, else of the nodes still open."""
+        given, asking = np.flatnonzero(front), rows[open_[rows]]
+        give, ask = (int((start[x + 1] - start[x]).sum()) for x in (given, asking))
+        if not give or not ask:
+            return
+        if 4 * give < ask:
+            edge, n = _rows_of(start, given)
+            np.bitwise_or.at(new, to[edge], np.repeat(front[given], n))
+        elif 2 * ask > len(to):
+            new[rows] |= np.bitwise_or.reduceat(front[to], start[rows])
+        else:
+            edge, n = _rows_of(start, asking)
+            new[asking] |= np.bitwise_or.reduceat(front[to[edge]], np.cumsum(n) - n)
 
     def owed_by_weight(self, g: int) -> np.ndarray:
         """Shares of the shortest ways from g, by weight, that pass each node, the ends aside.
@@ -252,6 +359,23 @@ def _from_each_node(edges: DataFrame, step: Callable, schema: str) -> DataFrame:
     return spark.range(0, len(g.names), 1, tasks).mapInPandas(run, schema)
 
 
+def _summed(spark: SparkSession, g: _Held, blocks: int, work: Callable, schema: str) -> DataFrame:
+    """(node, sums): of every node the sums of the arrays that work(graph, numbers of blocks) gives in many tasks that each hold the graph."""
+    held = spark.sparkContext.broadcast(g)  # of HELD_EDGES edges at most
+    columns = [x.split()[0] for x in schema.split(",")]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = work(held.value, (k for part in parts for k in part.column(0).to_pylist()))
+        for k in range(0, len(found[0]), 10_000):
+            some = [x[k : k + 10_000] for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(held.value.names[k : k + 10_000], pa.string()), *map(pa.array, some)], ["node", *columns])
+
+    tasks = max(1, min(blocks, 4 * spark.sparkContext.defaultParallelism))
+    # blocks of one task are far from each other, so that tasks have about as much to do
+    numbers = spark.range(0, blocks, 1, tasks) if blocks <= tasks else spark.range(blocks).repartition(tasks)
+    return numbers.mapInArrow(run, f"node string, {schema}").groupBy("node").agg(*(F.sum(x).alias(x) for x in columns))
+
+
 class _Walks:
     """Walks from every node by joins, for graphs that no task holds: batches of sources, a table per level.
 
@@ -389,14 +513,26 @@ def betweenness(edges: DataFrame, weighted: bool = False) -> DataFrame:
 def closeness(edges: DataFrame) -> DataFrame:
     """(node, closeness) with the weight as distance, scaled by the part of the nodes that is reached."""
     if _is_held(edges):
-
-        def step(g: _Held, source: int) -> tuple[list[str], list[float]]:
-            d = g.distances(source)
-            near, n = np.isfinite(d), len(d)
-            total, reached = d[near].sum(), int(near.sum()) - 1
-            return [g.names[source]], [round(reached / total * reached / (n - 1), 6) if total > 0 and n > 1 else 0.0]
-
-        return _from_each_node(edges, step, "node string, closeness double")
+        g = _Held(edges)
+        g.without_detours()
+        n, each = len(g.names), 64 if g.by_steps() else 1
+
+        def work(g: _Held, blocks: Iterator[int]) -> tuple[np.ndarray, np.ndarray]:
+            total, reached = np.zeros(n), np.zeros(n, np.int64)
+            for k in blocks:
+                if each == 1:
+                    d = g.distances(k)
+                    near = np.isfinite(d)
+                    total[k], reached[k] = d[near].sum(), near.sum() - 1
+                else:
+                    far, others = g.reach(g.order[k * each : (k + 1) * each])
+                    total += far * g.unit
+                    reached += others
+            return total, reached
+
+        sums = _summed(edges.sparkSession, g, -(-n // each), work, "total double, reached long")
+        score = F.when(F.col("total") > 0, F.round(F.col("reached") / F.col("total") * F.col("reached") / max(n - 1, 1), 6)).otherwise(0.0)
+        return sums.select("node", score.alias("closeness"))
     walks = _Walks(edges)
     far = [cut(walks.distances(b).groupBy(F.col("s").alias("node")).agg(F.sum("d").alias("total"), (F.count(F.lit(1)) - 1).alias("reached")), "far") for b in walks.batches()]
     score = F.when(F.col("total") > 0, F.round(F.col("reached") / F.col("total") * F.col("reached") / max(walks.size - 1, 1), 6)).otherwise(0.0)
@@ -516,12 +652,6 @@ class _Quality:
         return True
 
 
-def _rows_of(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slots of these rows in arrays whose rows begin at ``start``, and their numbers a row."""
-    n = start[rows + 1] - start[rows]
-    return np.arange(n.sum()) + np.repeat(start[rows] - np.cumsum(n) + n, n), n
-
-
 class _Around:
     """What each node is linked into: a slot for each link and one for the node's own group, of which a group uses one.
 

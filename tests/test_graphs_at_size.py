@@ -36,3 +36,31 @@ def test_moves_count_the_rows_around_moved_nodes_only(monkeypatch):
         value = into - weight[v] * rest / total
         near = np.unique(np.r_[group[b[mine]], group[v]])
         assert value[near].max() <= value[group[v]] + 1e-9 * total / n + 1e-9
+
+
+def held(n, a, b, w):
+    g = graph._Held.__new__(graph._Held)
+    g.names = [f"n{v}" for v in range(n)]
+    g._set(a, b, w)
+    return g
+
+
+def test_sources_as_bits_reach_as_single_walks_do():
+    n = 400
+    a, b, w = links(n, 900, 6, heavy=9)
+    far = a >= n - 30  # a part of its own, and nodes without edges
+    kept = far == (b >= n - 30)
+    a, b, w = a[kept], b[kept], 3 * w[kept]
+    g, one = held(n, a, b, w), held(n, a, b, w)
+    g.without_detours()
+    assert len(g.to) < len(one.to) and g.by_steps() and g.unit == 3 and (np.diff(one.start) == 0).any()
+    d = np.array([one.distances(v) for v in range(n)])
+    total, reached = (sum(x) for x in zip(*(g.reach(g.order[k : k + 64]) for k in range(0, n, 64)), strict=True))
+    near = np.isfinite(d)
+    assert (total * g.unit).tolist() == np.where(near, d, 0).sum(0).astype(int).tolist() and reached.tolist() == (near.sum(0) - 1).tolist()
+    assert not held(n, a, b, w + 0.5).by_steps()
+
+
+def test_closeness_by_lengths_that_are_no_steps(spark):
+    line = spark.createDataFrame([("a", "b", 1.5), ("b", "c", 2.25), ("z", "z", 1.0)], "src string, dst string, weight double")
+    assert {r.node: r.closeness for r in graph.closeness(line).collect()} == {"a": 0.253968, "b": 0.355556, "c": 0.222222, "z": 0.0}

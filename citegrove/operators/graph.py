@@ -22,6 +22,8 @@ PLACED_EDGES = 2_000_000
 HELD_NODES = 100_000
 #: Nodes that bound the distances of others, and the most different lengths of edges for which sources are walked as bits.
 LANDMARKS, LENGTHS = 8, 64
+#: Nodes of this many links at most are taken by matrices.
+FEW = 100
 #: Sources of walks that are joined at a time where the graph is not held.
 SOURCES = 256
 
@@ -186,6 +188,7 @@ class _Held:
         order = np.argsort(a.astype(np.int64) * len(self.names) + b)
         self.to, self.weight = b[order], w[order]
         self.start = np.r_[0, np.cumsum(np.bincount(a, minlength=len(self.names)))]
+        self.single = not ((self.to[1:] == self.to[:-1]) & (np.diff(a[order]) == 0)).any()  # no edge is there twice
 
     def out(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the edges from these nodes: the place of the node in them, and of the edge in ``to`` and ``weight``."""
@@ -225,6 +228,78 @@ class _Held:
             active = np.flatnonzero(changed)
         return d
 
+    def by_degree(self) -> None:
+        """Number nodes anew, those of most links first, so that what walks look up most lies together."""
+        order = np.argsort(-np.diff(self.start), kind="stable")
+        number = np.zeros(len(order), np.int32)
+        number[order] = np.arange(len(order))
+        a = np.repeat(number, np.diff(self.start))
+        self.names = [self.names[v] for v in order.tolist()]
+        self._set(a, number[self.to], self.weight)
+        self.to = self.to.astype(np.int64)
+        # nodes of equally many links are rows of a matrix; the first of each, from FEW links down to one
+        self.firsts = np.searchsorted(-np.diff(self.start), -np.arange(FEW, -1, -1))
+
+    def _asked(self, nodes: np.ndarray) -> np.ndarray:
+        """The other ends of the edges of nodes in order, by matrices of those that have FEW links at most."""
+        upto = np.searchsorted(nodes, self.firsts)
+        found = [self.to[_rows_of(self.start, nodes[: upto[0]])[0]]]
+        for k, low, a, b in zip(range(FEW, 0, -1), self.firsts[:-1].tolist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+            if b > a:
+                high = int(nodes[b - 1]) + 1
+                rows = self.to[self.start[low] : self.start[high]].reshape(-1, k)
+                found.append(rows.take(nodes[a:b] - low, 0).ravel())
+        return np.concatenate(found)
+
+    def owed(self, source: int) -> np.ndarray:
+        """Shares of the shortest ways from the source, by steps, that pass each node, the ends aside.
+
+        The next level is found from the edges of the last one or from those of the nodes not yet found, whichever are
+        fewer: nearly all nodes are found in two steps, and those left have few edges.
+        """
+        n, links = len(self.names), np.diff(self.start)
+        if not links[source]:
+            return np.zeros(n)
+        paths = np.ones(n)
+        left = links > 0
+        left[source] = False
+        at_hand, level, ways = int(links[left].sum()), np.array([source]), []
+        while len(level) and at_hand:
+            n_level = links[level]
+            if n_level.sum() <= 2 * at_hand:
+                to = np.concatenate([self.to[self.start[v] : self.start[v + 1]] for v in level.tolist()])
+                got = np.bincount(to, np.repeat(paths[level], n_level) if len(ways) > 1 or not self.single else None, n) if len(level) > 1 else np.bincount(to, minlength=n) * paths[level]
+                following = np.flatnonzero((got > 0) & left)
+                ways.append((level, following, to, np.cumsum(n_level) - n_level, None))
+                paths[following] = got[following]
+            else:
+                asking = np.flatnonzero(left)
+                to, count = self._asked(asking), links[asking]
+                before = np.zeros(n)
+                before[level] = paths[level]
+                got = np.add.reduceat(before.take(to), np.cumsum(count) - count)
+                found = got > 0
+                following = asking[found]
+                ways.append((level, following, to, None, (found, count)))
+                paths[following] = got[found]
+            left[following] = False
+            at_hand -= int(links[following].sum())
+            level = following
+        owed = np.zeros(n)
+        for level, following, to, first, count in reversed(ways):
+            each = (1 + owed[following]) / paths[following]
+            if first is None:
+                share = np.zeros(len(count[0]))
+                share[count[0]] = each
+                back = np.bincount(to, np.repeat(share, count[1]), n)[level]
+            else:
+                share = np.zeros(n)
+                share[following] = each
+                back = np.add.reduceat(share.take(to), first)
+            owed[level] = paths[level] * back
+        owed[source] = 0.0
+        return owed
+
     def parts(self) -> np.ndarray:
         """Of each node the least number of a node that it is connected with."""
         part, rows = np.arange(len(self.names)), np.flatnonzero(np.diff(self.start))
@@ -482,25 +557,20 @@ def betweenness(edges: DataFrame, weighted: bool = False) -> DataFrame:
     n = both_ways(edges).agg(F.countDistinct("node").alias("n"))  # one row
     if _is_held(edges):
 
-        def step(g: _Held, source: int) -> tuple[list[str], np.ndarray]:
-            if weighted:
-                total = g.owed_by_weight(source)
-                used = np.flatnonzero(total)
-                return [g.names[i] for i in used], total[used]
-            levels = list(g.levels(source))
-            owed, total = np.zeros(0), np.zeros(len(g.names))
-            for k in range(len(levels) - 1, -1, -1):
-                nodes, paths, a, b = levels[k]
-                back = np.zeros(len(nodes))
-                if len(a):
-                    back = np.bincount(a, paths[a] / levels[k + 1][1][b] * (1 + owed[b]), len(nodes))
-                owed = back
-                total[nodes] = owed
-            total[source] = 0.0
-            used = np.flatnonzero(total)
-            return [g.names[i] for i in used], total[used]
-
-        score = _from_each_node(edges, step, "node string, part double")
+        g = _Held(edges)
+        blocks = min(len(g.names), 64 * edges.sparkSession.sparkContext.defaultParallelism)
+
+        def work(g: _Held, numbers: Iterator[int]) -> tuple[np.ndarray]:
+            total = np.zeros(len(g.names))
+            for k in numbers:
+                for source in range(k, len(g.names), blocks):
+                    total += g.owed_by_weight(source) if weighted else g.owed(source)
+            return (total,)
+
+        if not weighted:
+            g.by_degree()
+            g.weight = None
+        score = _summed(edges.sparkSession, g, blocks, work, "part double")
     else:
         walks = _Walks(edges)
         score = _together([cut(walks.owed_by_weight(b) if weighted else walks.owed(walks.levels(b)), "parts") for b in walks.batches()], edges.sparkSession.createDataFrame([], "node string, part double"))

@@ -64,3 +64,30 @@ def test_sources_as_bits_reach_as_single_walks_do():
 def test_closeness_by_lengths_that_are_no_steps(spark):
     line = spark.createDataFrame([("a", "b", 1.5), ("b", "c", 2.25), ("z", "z", 1.0)], "src string, dst string, weight double")
     assert {r.node: r.closeness for r in graph.closeness(line).collect()} == {"a": 0.253968, "b": 0.355556, "c": 0.222222, "z": 0.0}
+
+
+def test_shares_of_ways_from_either_end(monkeypatch):
+    n = 300
+    a, b, w = links(n, 700, 7)
+    kept = (a >= n - 30) == (b >= n - 30)
+    a, b, w = a[kept], b[kept], w[kept]
+    monkeypatch.setattr(graph, "FEW", 6)
+    for x, y in ((a, b), (np.r_[a, a[:1], b[:1]], np.r_[b, b[:1], a[:1]])):  # one edge twice
+        g = held(n, x, y, np.ones(len(x)))
+        g.by_degree()
+        one = held(n, x, y, np.ones(len(x)))
+        assert g.names != one.names and np.diff(g.start).tolist() == sorted(np.diff(one.start), reverse=True)
+        place = {name: k for k, name in enumerate(g.names)}
+        order = np.array([place[name] for name in one.names])
+        for v in range(n):
+            assert np.allclose(g.owed(order[v])[order], one.owed_by_weight(v) if g.single else _owed(one, v))
+
+
+def _owed(g, source):
+    levels, owed, total = list(g.levels(source)), np.zeros(0), np.zeros(len(g.names))
+    for k in range(len(levels) - 1, -1, -1):
+        nodes, paths, a, b = levels[k]
+        owed = np.bincount(a, paths[a] / levels[k + 1][1][b] * (1 + owed[b]), len(nodes)) if len(a) else np.zeros(len(nodes))
+        total[nodes] = owed
+    total[source] = 0.0
+    return total

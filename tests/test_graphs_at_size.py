@@ -3,6 +3,7 @@
 import numpy as np
 
 from citegrove.operators import graph
+from citegrove.plans import bibliometrics
 
 
 def links(n, m, seed, groups=1, heavy=4):
@@ -91,3 +92,10 @@ def _owed(g, source):
         total[nodes] = owed
     total[source] = 0.0
     return total
+
+
+def test_themes_of_networks_beyond_layouts_stay_in_arrays(spark, data, monkeypatch):
+    want = sorted(map(tuple, bibliometrics.QUERIES["louvain_themes"](spark, data).collect()))
+    monkeypatch.setattr(graph, "PLACED_EDGES", 0)
+    monkeypatch.setattr(graph, "_table_louvain", None)
+    assert want and sorted(map(tuple, bibliometrics.QUERIES["louvain_themes"](spark, data).collect())) == want

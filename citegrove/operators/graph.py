@@ -9,9 +9,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 from pyspark.sql.window import Window
 
-from citegrove.plans.tables import cut, forget, hot_keys, numbered_rows, spread_join
+from citegrove.plans.tables import cut, forget, hot_keys, lookup_join, numbered_rows, spread_join
 
 #: Up to this many edges (counted first) a task holds a graph for algorithms that walk it or move its nodes; beyond it
 #: the same is done by joins of tables. Links are numbers there, 16 bytes each way, and a task may need six times that.
@@ -22,6 +23,8 @@ PLACED_EDGES = 2_000_000
 HELD_NODES = 100_000
 #: Nodes that bound the distances of others, and the most different lengths of edges for which sources are walked as bits.
 LANDMARKS, LENGTHS = 8, 64
+#: Links of moved nodes that are carried from group to group at a time.
+CARRIED = 2_000_000
 #: Nodes of this many links at most are taken by matrices.
 FEW = 100
 #: Sources of walks that are joined at a time where the graph is not held.
@@ -168,6 +171,16 @@ def _rows_of(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(n.sum()) + np.repeat(start[rows] - np.cumsum(n) + n, n), n
 
 
+def _in_order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (none under 0) in order and the place each had, those that are equal as they came; as one number each where 63 bits hold both."""
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()) >> (63 - bits):
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    both = np.sort((key << bits) | np.arange(len(key)))
+    return both >> bits, both & ((1 << bits) - 1)
+
+
 class _Held:
     """Adjacency of a graph of a checked size, by rows: names in order, and of each node its neighbours and weights."""
 
@@ -723,18 +736,20 @@ class _Quality:
 
 
 class _Around:
-    """What each node is linked into: a slot for each link and one for the node's own group, of which a group uses one.
+    """What each node is linked into: a slot for each link and one for the node's own group, of which its groups use the first ``many``.
 
-    Only the rows of nodes whose neighbours have moved are counted again.
+    Only the rows of nodes whose neighbours have moved are counted again, or changed by what the moved ones carry where
+    weights are whole numbers.
     """
 
     def __init__(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> None:
         self.n, self.b, self.w = n, b, w
         self.start = np.searchsorted(a, np.arange(n + 1))
         self.slots = self.start + np.arange(n + 1)
-        self.row = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.slots))
-        self.to, self.into = np.zeros(len(self.row), np.int32), np.full(len(self.row), -np.inf)
+        self.many = np.zeros(n, np.int64)
+        self.to, self.into = np.zeros(len(b) + n, np.int32), np.zeros(len(b) + n)
         self.inside = np.zeros(n)
+        self.whole = bool((w > 0).all() and (w == np.floor(w)).all() and w.sum() < 1 << 53)
 
     def count(self, rows: np.ndarray, group: np.ndarray) -> None:
         step = max(1, 4_000_000 * len(rows) // max(int((self.start[rows + 1] - self.start[rows]).sum()), 1))
@@ -745,33 +760,66 @@ class _Around:
         edge, n = _rows_of(self.start, rows)
         every = np.arange(len(rows))
         key = np.r_[np.repeat(every, n) * self.n + group[self.b[edge]], every * self.n + group[rows]]
-        order = np.argsort(key)
-        key = key[order]
+        key, order = _in_order(key)
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         into = np.add.reduceat(np.r_[self.w[edge], np.zeros(len(rows))][order], first)
-        row, to = key[first] // self.n, key[first] % self.n
-        slot = _rows_of(self.slots, rows)[0]
-        self.into[slot] = -np.inf  # not used
-        at = self.slots[rows][row] + np.arange(len(row)) - np.searchsorted(row, every)[row]
+        self._put(rows, key[first] // self.n, key[first] % self.n, into, group)
+
+    def _used(self, rows: np.ndarray) -> np.ndarray:
+        n = self.many[rows]
+        return np.arange(n.sum()) + np.repeat(self.slots[rows] - np.cumsum(n) + n, n)
+
+    def _put(self, rows: np.ndarray, row: np.ndarray, to: np.ndarray, into: np.ndarray, group: np.ndarray) -> None:
+        """Write the links of these rows into groups; ``row`` is a place in ``rows``."""
+        self.many[rows] = np.bincount(row, minlength=len(rows))
+        at = self._used(rows)
         self.to[at], self.into[at] = to, into
         own = to == group[rows][row]
         self.inside[rows] = into[own]
 
+    def moved(self, go: np.ndarray, near: np.ndarray, was: np.ndarray, group: np.ndarray) -> None:
+        """Follow the moves of nodes ``go`` with neighbours ``near``: by counting the rows around them, or where that is less by what they carry from group to group."""
+        changed = np.zeros(self.n, bool)
+        changed[go] = changed[near] = True
+        rows = np.flatnonzero(changed)
+        if not self.whole or 4 * len(near) + 2 * int(self.many[rows].sum()) > int((self.start[rows + 1] - self.start[rows]).sum()):
+            return self.count(rows, group)
+        now, links = was.copy(), np.cumsum(self.start[go + 1] - self.start[go])
+        for some in np.split(go, np.searchsorted(links, np.arange(CARRIED, links[-1], CARRIED))):  # some at a time, as what they carry is sorted
+            if len(some):  # none where one node has more
+                before = now.copy()
+                now[some] = group[some]
+                self._carry(some, before, now)
+
+    def _carry(self, go: np.ndarray, was: np.ndarray, group: np.ndarray) -> None:
+        edge, n = _rows_of(self.start, go)
+        x, y, w = np.repeat(go, n), self.b[edge].astype(np.int64), self.w[edge]
+        changed = np.zeros(self.n, bool)
+        changed[go] = changed[y] = True
+        rows = np.flatnonzero(changed)
+        used = self._used(rows)
+        key = np.r_[np.repeat(rows, self.many[rows]) * self.n + self.to[used], y * self.n + was[x], y * self.n + group[x], rows * self.n + group[rows]]
+        key, order = _in_order(key)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        into = np.add.reduceat(np.r_[self.into[used], -w, w, np.zeros(len(rows))][order], first)
+        row, to = key[first] // self.n, key[first] % self.n
+        left = (into > 0) | (to == group[row])  # sums of whole numbers are exact, so a group without links has 0
+        self._put(rows, np.searchsorted(rows, row[left]), to[left], into[left], group)
+
     def wishes(self, group: np.ndarray, strength: np.ndarray, weight: np.ndarray, total: float, resolution: float) -> tuple[np.ndarray, np.ndarray]:
         """Of each node the best group, the least of equal ones, and what it gains by it."""
         wanted, gain = np.zeros(self.n, group.dtype), np.zeros(self.n)
-        step = max(1, 4_000_000 * self.n // max(len(self.row), 1))
+        step = max(1, 4_000_000 * self.n // max(int(self.many.sum()), 1))
         for k in range(0, self.n, step):
-            low, high = self.slots[k], self.slots[min(k + step, self.n)]
-            used = low + np.flatnonzero(self.into[low:high] > -np.inf)
-            row, to = self.row[used], self.to[used]
+            rows = np.arange(k, min(k + step, self.n))
+            n, used = self.many[rows], self._used(rows)
+            row, to = np.repeat(rows, n), self.to[used]
             mine = np.flatnonzero(to == group[row])  # one a row
             rest, force = weight[to], strength[row]
             rest[mine] -= force[mine]
             value = self.into[used] - resolution * force * rest / total
-            first = np.searchsorted(used, self.slots[k : min(k + step, self.n)])
-            best = np.maximum.reduceat(value, first)
-            top = np.flatnonzero(value == np.repeat(best, np.diff(np.r_[first, len(used)])))
+            best = np.maximum.reduceat(value, np.cumsum(n) - n)
+            top = np.flatnonzero(value == np.repeat(best, n))
             at = row[top]
             once = np.r_[True, at[1:] != at[:-1]]  # groups of a row are in order
             wanted[k : k + step] = to[top[once]]
@@ -808,9 +856,8 @@ def _held_moves(a: np.ndarray, b: np.ndarray, w: np.ndarray, own: np.ndarray, re
         more = float((change * w[edge] * np.where(moves[y], 1.0, 2.0)).sum())  # a link to a node that stays counts from there too
         heavy = np.bincount(after, strength, n)
         if q.rose((inside + more + 2 * own.sum()) / total - resolution * ((heavy / total) ** 2).sum()):
-            moves[y] = True
+            around.moved(go, y, group, after)
             group, weight, inside = after, heavy, inside + more
-            around.count(np.flatnonzero(moves), group)
             wanted, gain = around.wishes(group, strength, weight, total, resolution)
 
 
@@ -891,13 +938,51 @@ def _table_louvain(links: DataFrame, nodes: DataFrame, resolution: float) -> Dat
         links = cut(links.filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w")), "links")
 
 
+def _number_louvain(edges: DataFrame, resolution: float) -> DataFrame:
+    """louvain of edges between numbers, by one task."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[batch.column(c).to_numpy() for c in range(3)] for batch in batches]
+        if not parts:
+            return
+        x, y, w = (np.concatenate(column) for column in zip(*parts, strict=True))
+        parts.clear()
+        nodes = np.unique(np.r_[np.unique(x), np.unique(y)])
+        n = len(nodes)
+        if nodes[-1] - nodes[0] < 4 * len(x):
+            place = np.zeros(nodes[-1] - nodes[0] + 1, np.int32)
+            place[nodes - nodes[0]] = np.arange(n)
+            x, y = place[x - nodes[0]], place[y - nodes[0]]
+        else:
+            x, y = (np.searchsorted(nodes, z).astype(np.int32) for z in (x, y))
+        loop = x == y
+        own = np.bincount(x[loop], w[loop], n)
+        x, y, w = x[~loop], y[~loop], w[~loop]
+        key, order = _in_order(np.r_[x.astype(np.int64) * n + y, y.astype(np.int64) * n + x])
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else order
+        w = np.r_[w, w][order]
+        if len(first) < len(key):  # edges that come more than once
+            key, w = key[first], np.add.reduceat(w, first)
+        del x, y, order, first
+        group = held_louvain((key // n).astype(np.int32), (key % n).astype(np.int32), w, own, resolution)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(group.astype(np.int64))], ["node", "label"])
+
+    ends = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double"))
+    return ends.coalesce(1).mapInArrow(held, "node long, label long").select("node", F.col("label").cast("string").alias("label"))
+
+
 def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(node, label): communities by modularity moves and aggregation until nothing moves, the same at every size.
 
     A graph of HELD_EDGES edges at most is one task's; the moves of a larger one are made by joins, with the same result.
-    Nodes are numbered by name, so the result does not depend on partitions.
+    Nodes are numbered by name, so the result does not depend on partitions. Edges whose nodes are numbers already (in
+    the order of names) should be cheap to read twice (see cut); they need no names in Spark.
     """
-    ends = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight"))
+    numbers = all(isinstance(edges.schema[x].dataType, (IntegerType, LongType)) for x in ("src", "dst"))
+    if numbers and edges.count() <= HELD_EDGES:
+        return _number_louvain(edges, resolution)
+    kind = "long" if numbers else "string"
+    ends = edges.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), F.col("weight").cast("double").alias("weight"))
     both = both_ways(ends)
     degree = both.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.sum(F.when(F.col("node") == F.col("other"), F.col("weight")).otherwise(0.0)).alias("own"))
     names = cut(numbered_rows(degree, [F.asc("node")], "no"), "names")
@@ -986,11 +1071,12 @@ def cluster_report(edges: DataFrame, clusters: DataFrame, top: int = 5) -> DataF
 
 def callon(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     """(cluster_id, size, centrality, density, label): external weight, internal weight per node, strongest node."""
-    a, b = (clusters.select(F.col("node").alias(x), F.col("cluster_id").alias(f"c{x}")) for x in ("src", "dst"))
-    e = edges.join(a, "src").join(b, "dst")
+    d = cut(clusters.join(degrees(edges), "node", "left"), "members")
+    e = edges
+    for x in ("src", "dst"):
+        e = lookup_join(e, d.select(F.col("node").alias(x), F.col("cluster_id").alias(f"c{x}"), F.col("degree").alias(f"n{x}")), [x], f"n{x}")
     ends = e.select(F.inline(F.array(F.struct(F.col("csrc").alias("cluster_id"), (F.col("csrc") != F.col("cdst")).alias("out"), "weight"), F.struct(F.col("cdst").alias("cluster_id"), (F.col("csrc") != F.col("cdst")).alias("out"), F.when(F.col("csrc") != F.col("cdst"), F.col("weight")).alias("weight")))))
     sums = ends.groupBy("cluster_id").agg(F.coalesce(F.sum(F.when(F.col("out"), F.col("weight"))), F.lit(0)).alias("external"), F.coalesce(F.sum(F.when(~F.col("out"), F.col("weight"))), F.lit(0)).alias("internal"))
-    d = clusters.join(degrees(edges), "node", "left")
     head = d.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.struct((-F.coalesce("weighted_degree", F.lit(0.0))).alias("w"), "node")).alias("label"))
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     return head.join(sums, "cluster_id", "left").select("cluster_id", "size", F.round(zero("external").cast("double"), 4).alias("centrality"), F.round(zero("internal") / F.col("size"), 4).alias("density"), "label")
@@ -998,6 +1084,7 @@ def callon(edges: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def quadrants(themes: DataFrame) -> DataFrame:
     """callon's rows with ``quadrant`` by the medians of centrality and density: motor, basic, niche, emerging."""
+    themes = cut(themes, "themes")
     m = themes.agg(F.median("centrality").alias("mc"), F.median("density").alias("md"))  # one row
     central, dense = F.col("centrality") >= F.col("mc"), F.col("density") >= F.col("md")
     name = F.when(central & dense, "motor").when(central, "basic").when(dense, "niche").otherwise("emerging")

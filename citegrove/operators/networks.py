@@ -59,6 +59,14 @@ def cooccurrence(terms: DataFrame, nodes: DataFrame, counting: str = "full") ->
     return pair_weights(among(terms, "term", nodes, "occurrences").select("rec_id", F.col("term").alias("item")), counting=counting)
 
 
+def numbered_cooccurrence(terms: DataFrame, min_occurrence: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(no, term) of the terms with enough occurrences, numbered by name, and cooccurrence's edges between these numbers."""
+    nodes = cut(terms.groupBy("term").agg(F.count(F.lit(1)).alias("occurrences")).filter(F.col("occurrences") >= min_occurrence), "nodes")
+    names = cut(numbered_rows(nodes, [F.asc("term")], "no"), "names")
+    docs = lookup_join(terms.select("rec_id", "term"), names.select("term", "occurrences", "no"), ["term"], "occurrences").select("rec_id", "no")
+    return names.select("no", "term"), cut(pair_weights(docs, "no"), "edges")
+
+
 def association_strength(edges: DataFrame, terms: DataFrame) -> DataFrame:
     """weight = raw / (occ_src * occ_dst / total), total over all terms; the raw weight is kept as weight_raw."""
     occ = terms.groupBy("term").agg(F.count(F.lit(1)).alias("occ"))

@@ -432,8 +432,9 @@ def louvain_report(s, d):
 
 @query()
 def louvain_themes(s, d):
-    edges = _network(s, d)[1]
-    return graph.quadrants(graph.callon(edges, cut(graph.communities(edges), "clusters")))
+    names, edges = networks.numbered_cooccurrence(_terms(s, d), LEAST)
+    themes = graph.callon(edges, cut(graph.communities(edges), "clusters")).withColumnRenamed("label", "no").join(names, "no")
+    return graph.quadrants(themes.select("cluster_id", "size", "centrality", "density", F.col("term").alias("label")))
 
 
 @query(f"{NET}, {WAYS}, {DEG} select * from deg")

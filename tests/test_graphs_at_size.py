@@ -99,3 +99,55 @@ def test_themes_of_networks_beyond_layouts_stay_in_arrays(spark, data, monkeypat
     monkeypatch.setattr(graph, "PLACED_EDGES", 0)
     monkeypatch.setattr(graph, "_table_louvain", None)
     assert want and sorted(map(tuple, bibliometrics.QUERIES["louvain_themes"](spark, data).collect())) == want
+
+
+def test_moves_that_are_carried_leave_what_counting_leaves(monkeypatch):
+    n = 400
+    a, b, w = links(n, 20_000, 5, groups=8)
+    monkeypatch.setattr(graph, "CARRIED", 100)
+    carried, carry, moved = [], graph._Around._carry, graph._Around.moved
+
+    def checked(self, go, near, was, group):
+        moved(self, go, near, was, group)
+        fresh = graph._Around(a, b, self.w, n)
+        fresh.count(np.arange(n), group)
+        used = fresh._used(np.arange(n))
+        assert self.many.tolist() == fresh.many.tolist() and self.to[used].tolist() == fresh.to[used].tolist()
+        assert np.allclose(self.into[used], fresh.into[used], rtol=0, atol=1e-9) and np.allclose(self.inside, fresh.inside, rtol=0, atol=1e-9)
+
+    monkeypatch.setattr(graph._Around, "moved", checked)
+    monkeypatch.setattr(graph._Around, "_carry", lambda self, *x: (carried.append(self.w is w), carry(self, *x)))
+    graph._held_moves(a, b, w, np.zeros(n), 1.0)
+    assert carried and all(carried)
+    carried.clear()
+    graph._held_moves(a, b, w + 0.3, np.zeros(n), 1.0)  # sums that are not exact are counted
+    assert not carried
+
+
+def test_communities_of_numbered_nodes_are_those_of_names(spark, monkeypatch):
+    a, b, w = links(300, 900, 8, groups=6)
+    once = a <= b
+    rows = [(int(x), int(y), float(z)) for x, y, z in zip(a[once], b[once], w[once], strict=True)]
+    rows += [(7, 7, 2.0), (rows[0][1], rows[0][0], 3.0), rows[1]]  # a loop, an edge from its other end, an edge twice
+    named = spark.createDataFrame([(f"n{x:03d}", f"n{y:03d}", z) for x, y, z in rows], "src string, dst string, weight double")
+    want = {int(r.node[1:]): r.label for r in graph.louvain(named).collect()}
+    assert len(set(want.values())) > 1
+    for far in (1, 10_000_000_000):  # numbers close to each other and far apart
+        edges = spark.createDataFrame([(x * far, y * far, z) for x, y, z in rows], "src long, dst long, weight double").repartition(5)
+        assert {r.node // far: r.label for r in graph.louvain(edges).collect()} == want
+    assert graph.louvain(edges.limit(0)).count() == 0
+    only = spark.createDataFrame([(4, 4, 1.0)], "src long, dst long, weight double")
+    assert [r.node for r in graph.louvain(only).collect()] == [4]
+    few = spark.createDataFrame([(x, y, 1.0) for g in (0, 20) for x in range(g, g + 4) for y in range(x + 1, g + 4)] + [(3, 20, 1.0)], "src long, dst long, weight double")
+    held = {r.node: r.label for r in graph.louvain(few).collect()}
+    monkeypatch.setattr(graph, "HELD_EDGES", 0)
+    assert {r.node: r.label for r in graph.louvain(few).collect()} == held and len(set(held.values())) == 2
+
+
+def test_themes_number_no_names_of_edges(spark, data, monkeypatch):
+    edges = bibliometrics._network(spark, data)[1]
+    want = sorted(map(tuple, graph.quadrants(graph.callon(edges, graph.cut(graph.communities(edges), "clusters"))).collect()))
+    communities, kinds = graph.communities, []
+    monkeypatch.setattr(graph, "communities", lambda e, *x: (kinds.append(dict(e.dtypes)["src"]), communities(e, *x))[1])
+    assert want and sorted(map(tuple, bibliometrics.QUERIES["louvain_themes"](spark, data).collect())) == want
+    assert kinds == ["bigint"]

@@ -62,7 +62,8 @@ def cooccurrence(terms: DataFrame, nodes: DataFrame, counting: str = "full") ->
 def numbered_cooccurrence(terms: DataFrame, min_occurrence: int = 1) -> tuple[DataFrame, DataFrame]:
     """(no, term) of the terms with enough occurrences, numbered by name, and cooccurrence's edges between these numbers."""
     nodes = cut(terms.groupBy("term").agg(F.count(F.lit(1)).alias("occurrences")).filter(F.col("occurrences") >= min_occurrence), "nodes")
-    names = cut(numbered_rows(nodes, [F.asc("term")], "no"), "names")
+    blocks = min(int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + nodes.count() // 20_000)
+    names = cut(numbered_rows(nodes, [F.asc("term")], "no", blocks), "names")
     docs = lookup_join(terms.select("rec_id", "term"), names.select("term", "occurrences", "no"), ["term"], "occurrences").select("rec_id", "no")
     return names.select("no", "term"), cut(pair_weights(docs, "no"), "edges")
 

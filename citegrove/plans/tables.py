@@ -178,6 +178,6 @@ def running_total(df: DataFrame, order: list[Column], value: str, blocks: int |
     return out.withColumn("rank", F.col("_r") + F.col("_n0")).withColumn("upto", F.col("_s") + F.col("_v0")).drop("_part", "_r", "_s", "_n0", "_v0")
 
 
-def numbered_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with ``name``: the place of each row in the order, from 0."""
-    return running_total(df.withColumn("_one", F.lit(1)), order, "_one").withColumn(name, (F.col("rank") - 1).cast("long")).drop("_one", "rank", "upto")
+def numbered_rows(df: DataFrame, order: list[Column], name: str, blocks: int | None = None) -> DataFrame:
+    """df with ``name``: the place of each row in the order, from 0. ``blocks`` as in running_total."""
+    return running_total(df.withColumn("_one", F.lit(1)), order, "_one", blocks).withColumn(name, (F.col("rank") - 1).cast("long")).drop("_one", "rank", "upto")
